@@ -1,13 +1,26 @@
-"""The registered queries of this package: each applies one operator to its whole table."""
+"""The registered queries of this package: each applies one operator to its whole table.
+
+None of them has an SQL twin: tokenizers, XXH64 majorities, learned models, record files and byte windows are not in
+SQL, or far too slow over whole tables; tests/llm compares each with a brute-force version.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, token_files
+from aerolith.llm import bpe, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_files, topk, url_filter
 from aerolith.llm.shared import read
 
+#: Fixed values of the URL query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents labelled good and not toxic."""
+    return read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -18,5 +31,36 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files)}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_files.token_lengths(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(lengths.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")), (1024, 2048, 4096))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality_rules(docs, quality.fit(docs, trusted(spark, sf_dir)))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.simhash_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"), window=200, with_bytes=False)
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), window=35, with_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op9_suffixes, op10_substrings)}
 SQL: dict[str, str] = {}
