@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_files, topk, url_filter
+from aerolith.llm import bpe, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_files, topk, url_filter, warc
 from aerolith.llm.shared import read
 
 #: Fixed values of the URL query.
@@ -54,6 +54,10 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_warc(warc.write_warc(read(spark, sf_dir, "pages"), least_bytes=0))
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"), window=200, with_bytes=False)
 
@@ -62,5 +66,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), window=35, with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op9_suffixes, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op8_warc, op9_suffixes, op10_substrings)}
 SQL: dict[str, str] = {}

@@ -102,3 +102,111 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, segments: i
     named = written(placed.join(names, "root").select("fp", "component_id"), "named")
     discard(distinct, roots, placed)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- near duplicates by similarity: sampled fingerprints find candidates, shingle sets verify them -------------------
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted; shorter texts are one shingle, without words there is none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(seed)), np.uint64, len(joined)))
+
+
+def node_of(text: str | None) -> int:
+    """One number for texts of equal lower-case words."""
+    return xxhash.xxh3_64_intdigest(b" ".join((text or "").encode().lower().split())) - (1 << 63)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in more than half of a few hashes, as a signed long."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def sampled_fingerprints(hashes: np.ndarray, views: int, sample: int) -> list[int]:
+    """One fingerprint a view: of the `sample` shingles that the view's scramble puts first."""
+    out = []
+    for view in range(views):
+        x = (hashes ^ np.uint64((view + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
+        n = min(sample, len(hashes))
+        out.append(majority(hashes[np.argpartition(x, n - 1)[:n]]))
+    return out
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, sample: int = 3, segments: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every document: components of links whose shingle sets have at least this Jaccard similarity.
+
+    A whole text's 64-bit fingerprint moves by 5 to 14 bits at a similarity of 0.8, too far for any grid of bit counts.
+    So a document has further fingerprints, each of a few sampled shingles; texts of similarity s agree in a
+    view with a chance of about s ** sample. Candidates are texts whose whole fingerprints link (near_links), or whose
+    sampled ones fall into one cell and are equal; each is paired with the smallest document there, and in view t also with the
+    smallest that shares view t + 1, so that candidates grow with documents in groups of any size. All candidates are verified
+    on their shingle sets. Texts of equal words are one node.
+    """
+
+    def describe(batches):
+        for batch in batches:
+            nodes, whole, seen = [], [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                found = shingle_hashes(text, shingle, seed)
+                nodes.append(node_of(text))
+                print_ = fingerprint(text, shingle, seed)
+                whole.append(print_ - (1 << 64) if print_ >> 63 else print_)
+                seen.append(sampled_fingerprints(found, views, sample) if len(found) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(whole, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "views"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    described = written(source.mapInArrow(describe, "doc_id long, node long, fp long, views array<long>"), "described")
+    nodes = described.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.min("views").alias("views"))
+    nodes = written(nodes, "nodes")
+    node = F.struct("least_id", "node")
+    # The cell of a sampled fingerprint, at Manhattan distance 0, and then the fingerprint itself.
+    views_of = nodes.where("size(views) > 0").select("node", "least_id", F.posexplode("views").alias("view", "fp"), "views")
+    placed = views_of.select("node", "least_id", "view", cells(F.col("fp"), segments)[0].alias("cell"), "fp", F.col("views")[F.pmod(F.col("view") + 1, F.lit(views))].alias("next"))
+    placed = written(placed, "placed")
+    pairs = None
+    for key in (["view", "cell", "fp"], ["view", "cell", "fp", "next"]):
+        heads = placed.groupBy(*key).agg(F.min(node).alias("head"), F.max(node).alias("last")).where("head < last").select(*key, F.col("head.node").alias("head"))
+        found = placed.join(heads, key).where("node != head").select("node", "head")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    close = near_links(nodes.select("fp").distinct(), segments)
+    first = nodes.groupBy("fp").agg(F.min(node).alias("head"))
+    same = nodes.join(first, "fp").select("node", F.col("head.node").alias("head")).where("node != head")
+    linked = close.join(first.withColumnRenamed("fp", "a").withColumnRenamed("head", "x"), "a").join(first.withColumnRenamed("fp", "b").withColumnRenamed("head", "y"), "b").select(F.col("x.node").alias("node"), F.col("y.node").alias("head"))
+    pairs = written(pairs.unionByName(same).unionByName(linked).select(F.greatest("node", "head").alias("node"), F.least("node", "head").alias("head")).distinct(), "pairs")
+    discard(placed)
+
+    def sets(batches):
+        for batch in batches:  # rows of another text under the same id are passed over
+            rows = [(n.as_py(), t.as_py()) for n, t in zip(batch.column(0), batch.column(1)) if n.as_py() == node_of(t.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([shingle_hashes(t, shingle, seed).tobytes() for _, t in rows], pa.binary())], ["node", "items"])
+
+    # One document's text for each node that has a candidate.
+    asked = pairs.select("node").unionByName(pairs.select(F.col("head").alias("node"))).distinct()
+    chosen = described.join(asked, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    one = source.join(chosen.where("doc_id is not null").hint("shuffle_hash"), "doc_id").select("node", "text")
+    items = written(one.mapInArrow(sets, "node long, items binary").groupBy("node").agg(F.first("items").alias("items")), "items")
+
+    def verify(batches):
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["node", "head"]).filter(pa.array(good, pa.bool_()))
+
+    sized = pairs.join(items, "node").join(items.select(F.col("node").alias("head"), F.col("items").alias("others")), "head").select("node", "head", "items", "others")
+    links = written(sized.mapInArrow(verify, "node long, head long"), "verified")
+    roots = written(components(links.select(F.col("node").alias("a"), F.col("head").alias("b"))), "roots")
+    placed = written(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "placed")
+    names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = written(placed.join(names, "root").select("node", "component_id"), "named")
+    discard(nodes, pairs, items, links, roots, placed)
+    return described.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
