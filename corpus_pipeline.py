@@ -19,11 +19,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates, by fingerprints of five-word shingles.
+    """The document of the smallest id of each group of near duplicates, by five-word shingles and a similarity of 0.8.
 
     Documents without an id all stay.
     """
-    groups = written(simhash_dedup.simhash_dedup(docs, shingle=5), "groups")
+    groups = written(simhash_dedup.near_duplicates(docs, shingle=5, similarity=0.8), "groups")
     goes = groups.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(goes.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
