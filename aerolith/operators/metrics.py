@@ -89,8 +89,8 @@ def bin_of(p: Column, bins: int, lower: bool = False) -> Column:
 
 def reliability(rows: DataFrame, truth: str, proba: str, bins: int = 10, lower: bool = False) -> DataFrame:
     """class_id, bin, mean probability, share of the class, n."""
-    long = rows.select(truth, F.posexplode(proba).alias("class_id", "p"))
-    is_class = (F.col(truth) == F.col("class_id")).cast("double")
+    long = rows.select(F.col(truth).alias("_truth"), F.posexplode(proba).alias("class_id", "p"))
+    is_class = (F.col("_truth") == F.col("class_id")).cast("double")
     return long.groupBy("class_id", bin_of(F.col("p"), bins, lower).alias("bin")).agg(F.avg("p").alias("mean_p"), F.avg(is_class).alias("share"), F.count(F.lit(1)).alias("n"))
 
 

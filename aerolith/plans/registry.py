@@ -25,7 +25,7 @@ def query(twin: str | None = None):
 
 
 def _load() -> None:
-    from aerolith.plans import decision_queries, panel_queries, source_queries, statistics_queries  # noqa: F401
+    from aerolith.plans import decision_queries, model_queries, panel_queries, source_queries, statistics_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,3 +1,46 @@
-"""Queries of sources and sinks."""
+"""Queries of sources and sinks that work on derived tables."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from aerolith.operators import spatial
+from aerolith.plans import adapters as A
+from aerolith.plans.panel_queries import rounded
+from aerolith.plans.registry import query
+from aerolith.sources import files
+
+
+@query("""SELECT station_id, ts, round(temp, 5) AS temp, round(humidity, 5) AS humidity FROM (
+ SELECT s_suppkey AS station_id, TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INTEGER)) AS ts, s_acctbal + h AS temp, CASE WHEN h < 20 THEN s_acctbal - h END AS humidity FROM supplier, (SELECT unnest(generate_series(0, 23)) AS h))""")
+def source_flat_weather(spark, d):
+    hours = F.sequence(F.lit(0), F.lit(23))
+    blobs = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("station_id"), F.struct(
+        F.transform(hours, lambda h: F.concat(F.lit("2024-01-01T"), F.lpad(h.cast("string"), 2, "0"), F.lit(":00"))).alias("time"),
+        F.transform(hours, lambda h: F.col("s_acctbal") + h).alias("temp"), F.transform(F.slice(hours, 1, 20), lambda h: F.col("s_acctbal") - h).alias("humidity")).alias("hourly"))
+    return rounded(files.flat_weather(blobs, ("temp", "humidity", "blh")).drop("blh"))
+
+
+@query("SELECT day FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) WHERE day NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_orderkey % 11 = 0) OR day > (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 3")
+def source_work_list(spark, d):
+    spine = A.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return files.work_list(spine, A.table(spark, d, "lineitem").where("l_orderkey % 11 = 0").select(F.to_date("l_shipdate").alias("day")))
+
+
+@query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY day DESC LIMIT 7")
+def source_target_window(spark, d):
+    names = A.table(spark, d, "orders").select(F.concat(F.lit("feed/"), F.to_date("o_orderdate").cast("string"), F.lit("_measurements.json")).alias("name"))
+    return files.target_window(names)
+
+
+@query("SELECT station_id, day, round(pm10, 5) AS pm10 FROM daily_target WHERE day BETWEEN DATE '1998-03-10' AND DATE '1998-03-16'")
+def source_heal_window(spark, d):
+    return rounded(files.heal_window(A.daily_target(spark, d), F.lit("1998-03-31").cast("date")))
+
+
+@query("SELECT station_id, round(min(sqrt((lng - zx) * (lng - zx) + (lat - zy) * (lat - zy))), 6) AS distance FROM stations, (SELECT 9 + s_suppkey * 0.03::DOUBLE AS zx, 45 + (s_suppkey % 10) * 0.1::DOUBLE AS zy FROM supplier WHERE s_suppkey < 100) GROUP BY 1")
+def source_nearest_point(spark, d):
+    k = F.col("s_suppkey")
+    points = A.table(spark, d, "supplier").where("s_suppkey < 100").select((9 + k * 0.03).alias("x"), (45 + (k % 10) * 0.1).alias("y"))
+    stations = A.stations(spark, d).select("station_id", F.col("lng").alias("x"), F.col("lat").alias("y"))
+    return rounded(spatial.nearest_point(stations, points, 0.5), 6)
