@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
 
-BY_DAY = Window.partitionBy("station_id").orderBy("day")
 LAGGED = ("pressure_mean", "wind_speed_mean", "blh_mean", "temp_mean")
 KEYS = ("station_id", "day")
 #: Columns that follow from others and are dropped.
@@ -22,6 +21,10 @@ WEATHER = ("temp", "humidity", "dewpoint", "precip", "pressure", "cloud", "wind"
 POLLUTANT = ("no2_", "o3_", "co_", "pm25_")
 
 
+def by_day() -> WindowSpec:
+    return Window.partitionBy("station_id").orderBy("day")
+
+
 def fill_days(rows: DataFrame, constant: Sequence[str] = ()) -> DataFrame:
     """Every day from a station's first to its last; new days are null but for the station's constant columns."""
     spine = rows.groupBy("station_id").agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"), *(F.min_by(c, "day").alias(c) for c in constant))
@@ -31,8 +34,8 @@ def fill_days(rows: DataFrame, constant: Sequence[str] = ()) -> DataFrame:
 
 def fill_static(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls take the last earlier value of the station, else the first later one."""
-    back = BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = BY_DAY.rowsBetween(0, Window.unboundedFollowing)
+    back = by_day().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = by_day().rowsBetween(0, Window.unboundedFollowing)
     return rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in columns})
 
 
@@ -42,13 +45,13 @@ def join_sources(pm10: DataFrame, weather: DataFrame, pollutants: DataFrame, pro
 
 def trailing_mean(c: str, days: int, at_least: int) -> Column:
     """Mean of the days before, without today; null with fewer than at_least values."""
-    frame = BY_DAY.rowsBetween(-days, -1)
+    frame = by_day().rowsBetween(-days, -1)
     return F.when(F.count(c).over(frame) >= at_least, F.avg(c).over(frame))
 
 
 def with_lags(panel: DataFrame) -> DataFrame:
     """Calendar lags and trailing means of a panel without gaps."""
-    new = {f"{c}_lag{k}": F.lag(c, k).over(BY_DAY) for c in ("pm10", *LAGGED) for k in (1, 2)}
+    new = {f"{c}_lag{k}": F.lag(c, k).over(by_day()) for c in ("pm10", *LAGGED) for k in (1, 2)}
     new |= {"pm10_roll7": trailing_mean("pm10", 7, 1), "pm10_roll3": trailing_mean("pm10", 3, 1)}
     new |= {"pressure_roll3": trailing_mean("pressure_mean", 3, 3), "wind_speed_roll3": trailing_mean("wind_speed_mean", 3, 3)}
     return panel.withColumns(new).withColumn("pm10_diff", F.col("pm10_lag1") - F.col("pm10_lag2"))
@@ -97,7 +100,7 @@ def covered_stations(panel: DataFrame, least: float = 0.5) -> DataFrame:
 def carry_forward(panel: DataFrame) -> DataFrame:
     """Pollutants, lags and trailing means take their last known earlier value."""
     chosen = [c for c in panel.columns if c.startswith(POLLUTANT) or c.endswith(LAG_ENDINGS)]
-    return panel.withColumns({c: F.last(c, ignorenulls=True).over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0)) for c in chosen})
+    return panel.withColumns({c: F.last(c, ignorenulls=True).over(by_day().rowsBetween(Window.unboundedPreceding, 0)) for c in chosen})
 
 
 def clean(panel: DataFrame) -> DataFrame:
