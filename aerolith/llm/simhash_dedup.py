@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
 def cells(fp: Column, segments: int) -> Column:
     """Own cell of a fingerprint and the 2 * segments cells one step away, as one number.
 
-    Counts are digits of base 16, or of 5 where there are 16 segments. A step over a digit's end may fall on a cell of
+    Counts are digits of base 16, or of the least base that 16 segments and more leave room for. A step over a digit's end may fall on a cell of
     another count, which costs a false candidate at most.
     """
     width = 64 // segments
@@ -81,7 +81,7 @@ def cells(fp: Column, segments: int) -> Column:
     return F.transform(F.array(*(F.lit(s).cast("long") for s in steps)), lambda step: own + step)
 
 
-def near_links(fps: DataFrame, segments: int = 16) -> DataFrame:
+def near_links(fps: DataFrame, segments: int = 32) -> DataFrame:
     """Links (a, b) among distinct fingerprints fp that join all within two bits, without listing pairs."""
     cell = fps.select("fp", F.explode(cells(F.col("fp"), segments)).alias("cell"))
     met = cell.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("cell")
@@ -92,7 +92,7 @@ def near_links(fps: DataFrame, segments: int = 16) -> DataFrame:
     return hubs.join(least, "hub").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, segments: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, segments: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links."""
     marked = written(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
@@ -138,7 +138,7 @@ def sampled_fingerprints(hashes: np.ndarray, views: int, sample: int) -> list[in
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, sample: int = 3, segments: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, sample: int = 3, segments: int = 32, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of every document: components of links whose shingle sets have at least this Jaccard similarity.
 
     A whole text's 64-bit fingerprint moves by 5 to 14 bits at a similarity of 0.8, too far for any grid of bit counts.
