@@ -190,7 +190,8 @@ def scan(manifest: DataFrame, block: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array([leave[r["offset"]] for r in rows[i : i + 10_000]], pa.int64())], [*part.schema.names, "leave"])
 
     ranges = manifest.select("path", F.col("n_bytes").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / block))).alias("block"))
-    return ranges.select("path", "size", "block").repartition(F.col("path"), F.col("block")).mapInArrow(run, RECORD + ", leave long")
+    n = max(1, min(10_000, ranges.count()))  # a fixed number, else adaptive execution gathers the tiny rows into one task
+    return ranges.select("path", "size", "block").repartition(n, "path", "block").mapInArrow(run, RECORD + ", leave long")
 
 
 def reached(steps: DataFrame, manifest: DataFrame) -> DataFrame:
