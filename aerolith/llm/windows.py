@@ -75,26 +75,35 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(values: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """key, content, first window, number of windows of the runs of a stretch of at most 2 * CHUNK - 1 units."""
+def runs(parts: list[np.ndarray], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """key, content, part, first window, number of windows of the runs of many stretches, hashed in one go.
+
+    The stretches have at least `window` units each and less than 2 * CHUNK together.
+    """
     powers, inverses, _ = tables()
-    n = len(values)
+    values = np.concatenate(parts)
+    sizes = np.array([len(x) for x in parts])
+    begins = np.cumsum(sizes) - sizes
+    n, n_windows = len(values), sizes - window + 1
+    owner = np.repeat(np.arange(len(parts)), n_windows)
+    valid = np.arange(len(owner)) + (begins - np.cumsum(n_windows) + n_windows)[owner]  # windows inside one stretch
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * powers[0][:n], out=sums[1:])
     hashes = mixed((sums[gram:] - sums[:-gram]) * inverses[0][: n - gram + 1])
     if gram < window:
         bits = np.uint64(20)
         places = np.arange(len(hashes), dtype=np.uint64)
-        at = (_least((hashes >> bits) << bits | places, window - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        at = (_least((hashes >> bits) << bits | places, window - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)[valid]
         first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
         count = np.diff(np.append(first, len(at)))
         keys = hashes[at[first]]
     else:
-        first, count, keys = np.arange(len(hashes)), np.ones(len(hashes), np.int64), hashes
+        first, count, keys = np.arange(len(valid)), np.ones(len(valid), np.int64), hashes[valid]
     np.cumsum(mixed(values) * powers[1][:n], out=sums[1:])
-    last = first + count - 1 + window
-    content = mixed((sums[last] - sums[first]) * inverses[1][first]) ^ count.astype(np.uint64)
-    return keys.view(np.int64), content.view(np.int64), first, count
+    begin, part = valid[first], owner[first]
+    last = begin + count - 1 + window
+    content = mixed((sums[last] - sums[begin]) * inverses[1][begin]) ^ count.astype(np.uint64)
+    return keys.view(np.int64), content.view(np.int64), part, begin - begins[part], count
 
 
 def _stretches(n: int, window: int, spans) -> Iterator[tuple[int, int]]:
@@ -106,36 +115,42 @@ def _stretches(n: int, window: int, spans) -> Iterator[tuple[int, int]]:
 
 def extract(unit: str, window: int, gram: int, spanned: bool) -> Callable:
     def run(batches):
-        held: list[tuple] = []
-        n_held = 0
+        parts: list[np.ndarray] = []
+        names: list[tuple[int, int, int]] = []
+        size = 0
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
                 units = codes(columns[2][i].as_py(), unit)
                 if len(units) < window:
                     continue
-                spans = [(s["start"], s["n"]) for s in columns[3][i].as_py()] if spanned else None
+                spans = None
+                if spanned:
+                    flat = columns[3][i].values
+                    spans = list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist()))
                 k_id, k_th = columns[0][i].as_py(), columns[1][i].as_py()
                 for a, b in _stretches(len(units), window, spans):
-                    part = tables()[2][units[a:b]] if unit == "bytes" else units[a:b]
-                    keys, content, first, count = runs(part, window, gram)
-                    held.append((keys, content, np.full(len(keys), k_id, np.int64), np.full(len(keys), k_th, np.int32), (first + a).astype(np.int32), count.astype(np.int32)))
-                    n_held += len(keys)
-                    if n_held >= 50_000:
-                        yield packed(held)
-                        held, n_held = [], 0
-        if held:
-            yield packed(held)
+                    if size + b - a >= CHUNK + window:
+                        yield packed(parts, names, window, gram)
+                        parts, names, size = [], [], 0
+                    parts.append(tables()[2][units[a:b]] if unit == "bytes" else units[a:b])
+                    names.append((k_id, k_th, a))
+                    size += b - a
+        if parts:
+            yield packed(parts, names, window, gram)
 
     return run
 
 
-def packed(held: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=_ARROW)
+def packed(parts: list[np.ndarray], names: list[tuple[int, int, int]], window: int, gram: int) -> pa.RecordBatch:
+    keys, content, part, start, count = runs(parts, window, gram)
+    k_id, k_th, offset = (np.array(c, np.int64)[part] for c in zip(*names))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, content, k_id, k_th.astype(np.int32), (start + offset).astype(np.int32), count.astype(np.int32))], schema=_ARROW)
 
 
 def keys_found_twice(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    """Written, so that the join with it deals both sides and Spark can split a hot key."""
+    return written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "twice")
 
 
 def repeated_windows(docs: DataFrame, unit: str, window: int, grams: tuple[int, ...], twice: Callable[[DataFrame], DataFrame] = keys_found_twice) -> list[DataFrame]:
