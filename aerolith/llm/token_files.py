@@ -17,9 +17,13 @@ table writes no shard and reads as an empty table; other columns are ignored.
 from __future__ import annotations
 
 import os
+import string
 import struct
+import sys
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +39,8 @@ from aerolith.llm.shared import fresh_path, opened, written
 MASK_DELTA = 0xA282EAD8
 HEAD, FOOT, KEY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<q?B")
 #: Most cached words of a worker process in each of two generations, most bytes of a cached word, bytes of text encoded at a time.
-CACHED, CACHED_LEN, AT_ONCE = 400_000, 48, 1 << 20
+CACHED, CACHED_LEN, AT_ONCE = 800_000, 48, 1 << 20
+PUNCTUATION = string.punctuation.encode()
 MANIFEST = "shard int, path string, n_records long, n_ids long, n_bytes long"
 
 
@@ -81,23 +86,51 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of distinct words: of the word without the punctuation at its end, and of that punctuation.
+
+        A token never holds both letters and punctuation, so a split between them changes no id. ASCII words are
+        taken in lower case, as the tokenizer does. Words that may hold a special token are left whole.
+        """
+        parts = {w: (w, b"") if b"<|" in w else self.split(w) for w in words}
+        young, old = self.young, self.old
+        need = {x for pair in parts.values() for x in pair if x}
+        known = {x: young[x] if x in young else old[x] for x in need if x in young or x in old}
+        fresh = list(need - known.keys())
+        codes = self.tokenizer.encode_batch([x.decode() for x in fresh], add_special_tokens=False)
+        known |= {x: self.packed(c.ids) for x, c in zip(fresh, codes)}
+        known[b""] = b""
+        young.update((x, known[x]) for x in fresh if len(x) <= CACHED_LEN)
+        return {w: known[core] + known[tail] for w, (core, tail) in parts.items()}
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    @staticmethod
+    def split(word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(PUNCTUATION)
+        if not core or not (core[-1:].isalnum() or core[-1] > 127 and unicodedata.normalize("NFC", core.decode()).lower()[-1].isalpha()):
+            return word, b""
+        return core.lower() if core.isascii() else core, word[len(core) :]
+
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of UTF-8 texts."""
         words = [t.split() for t in texts]
-        found = [list(map(self.young.get, w)) for w in words]
-        missing = {w for ws, got in zip(words, found) if None in got for w, ids in zip(ws, got) if ids is None}
-        if missing:
-            fresh = {w: self.old[w] for w in missing if w in self.old}
-            new = list(missing - fresh.keys())
-            codes = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            fresh |= {w: np.array(c.ids, self.type).tobytes() for w, c in zip(new, codes)}
-            for ws, got in zip(words, found):
-                if None in got:
-                    got[:] = [fresh[w] if ids is None else ids for w, ids in zip(ws, got)]
-            if len(self.young) >= CACHED:
-                self.old, self.young = self.young, {}
-            self.young.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_LEN)
-        return [b"".join(got) for got in found]
+        if len(self.young) >= CACHED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = [w for w in set().union(*words) if w not in young]
+        young.update((w, old[w]) for w in missing if w in old)
+        new = self.encode_new([w for w in missing if w not in young])
+        young.update(new)
+        out = [b"".join(map(young.__getitem__, ws)) for ws in words]
+        for w in new:
+            if len(w) > CACHED_LEN:
+                del young[w]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -198,11 +231,12 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids before it in shard order), n_tokens, ids_crc32 of every record, checksums verified.
 
-    The running start needs one number a shard: a window over the manifest, which has a row a shard.
+    The running start needs one number a shard: a window over the manifest, which has a row a shard. A fixed number of
+    partitions keeps adaptive execution from gathering the shards, whose rows here are tiny, into one task.
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.lit(0).cast("long").alias("first"), F.col("n_records").alias("last"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
-    return placed.repartition(F.col("path")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, manifest.count()), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,4 +259,4 @@ def record_table(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 for doc, ids in read_records(path):
                     yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, "doc_id long, ids array<long>")
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(run, "doc_id long, ids array<long>")
