@@ -83,7 +83,9 @@ def cells(fp: Column, segments: int) -> Column:
 
 def near_links(fps: DataFrame, segments: int = 32) -> DataFrame:
     """Links (a, b) among distinct fingerprints fp that join all within two bits, without listing pairs."""
-    cell = fps.select("fp", F.explode(cells(F.col("fp"), segments)).alias("cell"))
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = fps.select("fp").repartition(n, "fp")  # a few small files would else be exploded in as few tasks
+    cell = spread.select("fp", F.explode(cells(F.col("fp"), segments)).alias("cell")).repartition(n, "cell")  # one exchange for both uses
     met = cell.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("cell")
     close = written(cell.join(met, "cell", "left_semi").select("fp").distinct(), "close")
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))
