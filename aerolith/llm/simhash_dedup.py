@@ -65,20 +65,28 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def cells(fp: Column, segments: int) -> Column:
-    """Own cell of a fingerprint and the 2 * segments cells one step away, as one number.
+def base_of(segments: int) -> int:
+    """Counts are digits of base 16, or of the least base that 16 segments and more leave room for."""
+    return 16 if segments <= 12 else 64 // segments + 1
 
-    Counts are digits of base 16, or of the least base that 16 segments and more leave room for. A step over a digit's end may fall on a cell of
-    another count, which costs a false candidate at most.
-    """
-    width = 64 // segments
-    base = 16 if segments <= 12 else width + 1
+
+def own_cell(fp: Column, segments: int) -> Column:
+    """The counts of set bits of a fingerprint's segments, as one number."""
+    width, base = 64 // segments, base_of(segments)
     counts = [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for i in range(segments)]
     own = counts[0]
-    for i in range(1, segments):
-        own = own * base + counts[i]
-    steps = [0] + [s * base**i for i in range(segments) for s in (1, -1)]
-    return F.transform(F.array(*(F.lit(s).cast("long") for s in steps)), lambda step: own + step)
+    for c in counts[1:]:
+        own = own * base + c
+    return own
+
+
+def cells(fp: Column, segments: int) -> Column:
+    """Own cell of a fingerprint and the 2 * segments cells one step away.
+
+    A step over a digit's end may fall on a cell of another count, which costs a false candidate at most.
+    """
+    steps = [0] + [s * base_of(segments) ** i for i in range(segments) for s in (1, -1)]
+    return F.transform(F.array(*(F.lit(s).cast("long") for s in steps)), lambda step: own_cell(fp, segments) + step)
 
 
 def near_links(fps: DataFrame, segments: int = 32) -> DataFrame:
@@ -170,7 +178,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     node = F.struct("least_id", "node")
     # The cell of a sampled fingerprint, at Manhattan distance 0, and then the fingerprint itself.
     views_of = nodes.where("size(views) > 0").select("node", "least_id", F.posexplode("views").alias("view", "fp"), "views")
-    placed = views_of.select("node", "least_id", "view", cells(F.col("fp"), segments)[0].alias("cell"), "fp", F.col("views")[F.pmod(F.col("view") + 1, F.lit(views))].alias("next"))
+    placed = views_of.select("node", "least_id", "view", own_cell(F.col("fp"), segments).alias("cell"), "fp", F.col("views")[F.pmod(F.col("view") + 1, F.lit(views))].alias("next"))
     placed = written(placed, "placed")
     pairs = None
     for key in (["view", "cell", "fp"], ["view", "cell", "fp", "next"]):
