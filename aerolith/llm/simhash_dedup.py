@@ -32,6 +32,8 @@ from aerolith.llm.shared import discard, written
 
 #: Hashes that a worker counts at a time.
 AT_ONCE = 1 << 14
+#: Members, and shingles of members, of a group that are compared in one block, about.
+MEMBERS, ITEMS = 1 << 10, 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int, seed: int) -> int:
@@ -89,8 +91,8 @@ def cells(fp: Column, segments: int) -> Column:
     return F.transform(F.array(*(F.lit(s).cast("long") for s in steps)), lambda step: own_cell(fp, segments) + step)
 
 
-def near_links(fps: DataFrame, segments: int = 32) -> DataFrame:
-    """Links (a, b) among distinct fingerprints fp that join all within two bits, without listing pairs."""
+def near_hubs(fps: DataFrame, segments: int = 32) -> DataFrame:
+    """hub, fp, b: the distinct fingerprints fp within one bit of a number hub that more than one is near to, b the least of them."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = fps.select("fp").repartition(n, "fp")  # a few small files would else be exploded in as few tasks
     cell = spread.select("fp", F.explode(cells(F.col("fp"), segments)).alias("cell")).repartition(n, "cell")  # one exchange for both uses
@@ -99,7 +101,12 @@ def near_links(fps: DataFrame, segments: int = 32) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))
     hubs = close.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("hub"))
     least = hubs.groupBy("hub").agg(F.min("fp").alias("b"), F.max("fp").alias("other")).where("b < other").select("hub", "b")
-    return hubs.join(least, "hub").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+    return hubs.join(least, "hub")
+
+
+def near_links(fps: DataFrame, segments: int = 32) -> DataFrame:
+    """Links (a, b) among distinct fingerprints fp that join all within two bits, without listing pairs."""
+    return near_hubs(fps, segments).where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, segments: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,15 +155,81 @@ def sampled_fingerprints(hashes: np.ndarray, views: int, sample: int) -> list[in
     return out
 
 
+def links_across(asks: list[tuple[int, int, bytes]], answers: list[tuple[int, int, bytes]], similarity: float) -> list[tuple[int, int]]:
+    """Links of (node, root, items) in asks to those in answers; none between rows that share a root or are linked already."""
+    codes = np.unique(np.array([r for _, r, _ in asks + answers], np.int64), return_inverse=True)[1]
+    label = np.arange(len(asks) + len(answers))
+    sets = [np.frombuffer(i, np.uint64) for _, _, i in answers]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    values, places = np.unique(np.concatenate(sets), return_inverse=True)
+    theirs, out = codes[len(asks) :], []
+    for (node, _, items), code in zip(asks, codes):
+        if (label[theirs] == label[code]).all():
+            continue
+        own = np.frombuffer(items, np.uint64)
+        seen = np.zeros(len(values), bool)
+        seen[np.searchsorted(values, own[np.isin(own, values, assume_unique=True)])] = True
+        sums = np.concatenate(([0], np.cumsum(seen[places])))
+        both = sums[ends] - sums[ends - sizes]
+        for i in np.flatnonzero((both >= similarity * (len(own) + sizes - both)) & (label[theirs] != label[code])).tolist():
+            if label[theirs[i]] != label[code]:
+                out.append((node, answers[i][0]))
+                label[label == label[theirs[i]]] = label[code]
+    return out
+
+
+def links_left(members: DataFrame, roots: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """node, head: links among the members (view, fp, node) of each group (view, fp), between those whose roots differ.
+
+    After these, any two members of a group are in one component or have been compared. Members of the group's largest component ask
+    nobody, so a group that is nearly one component costs its size. Large groups are dealt in blocks of asking and of answering members.
+    """
+    rows = members.join(roots, "node", "left").select("view", "fp", "node", F.coalesce("root", "node").alias("root"))
+    rows = written(rows.join(items.select("node", (F.length("items") / 8).cast("long").alias("n_items")), "node"), "members")
+    part = rows.groupBy("view", "fp", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_items").alias("n_items"))
+    total = part.groupBy("view", "fp").agg(
+        F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.sum("n_items").alias("n_items")
+    )
+    blocks = lambda n: F.greatest(F.ceil(n / MEMBERS), F.ceil(F.col("n_items") / ITEMS))
+    undone = total.where("parts > 1").select("view", "fp", "main", blocks(F.col("n") - F.col("n_main")).alias("asking"), blocks(F.col("n")).alias("answering"))
+    undone = rows.join(undone, ["view", "fp"]).withColumn("deal", F.xxhash64("node"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.col("deal"), F.col(n))
+    key = ["view", "fp", "a", "b"]
+    left = undone.where("root != main").select("view", "fp", own("asking").alias("a"), upto("answering").alias("b"), F.lit(True).alias("asks"), "node", "root")
+    right = undone.select("view", "fp", upto("asking").alias("a"), own("answering").alias("b"), F.lit(False).alias("asks"), "node", "root")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.unionByName(right).join(items, "node").select(*key, "asks", "node", "root", "items").repartition(n, *key).sortWithinPartitions(*key)
+
+    def compare(batches):
+        at, asks, answers = None, [], []
+        for batch in batches:
+            out = []
+            for *where, asking, node, root, found in zip(*(c.to_pylist() for c in batch.columns)):
+                if where != at:
+                    out += links_across(asks, answers, similarity) if asks and answers else []
+                    at, asks, answers = where, [], []
+                (asks if asking else answers).append((node, root, found))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["node", "head"])
+        out = links_across(asks, answers, similarity) if asks and answers else []
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["node", "head"])
+
+    links = written(dealt.mapInArrow(compare, "node long, head long"), "links-left")
+    discard(rows)
+    return links
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, sample: int = 3, segments: int = 32, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of every document: components of links whose shingle sets have at least this Jaccard similarity.
 
     A whole text's 64-bit fingerprint moves by 5 to 14 bits at a similarity of 0.8, too far for any grid of bit counts.
     So a document has further fingerprints, each of a few sampled shingles; texts of similarity s agree in a
     view with a chance of about s ** sample. Candidates are texts whose whole fingerprints link (near_links), or whose
-    sampled ones fall into one cell and are equal; each is paired with the smallest document there, and in view t also with the
-    smallest that shares view t + 1, so that candidates grow with documents in groups of any size. All candidates are verified
-    on their shingle sets. Texts of equal words are one node.
+    sampled ones fall into one cell and are equal. First each is paired with the smallest document there, and in view t also with
+    the smallest that shares view t + 1; these pairs are verified on their shingle sets and linked. Groups that are not one
+    component then are done in full (links_left): any two candidates end in one component or have been compared.
+    Texts of equal words are one node.
     """
 
     def describe(batches):
@@ -183,11 +256,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     pairs = None
     for key in (["view", "cell", "fp"], ["view", "cell", "fp", "next"]):
         heads = placed.groupBy(*key).agg(F.min(node).alias("head"), F.max(node).alias("last")).where("head < last").select(*key, F.col("head.node").alias("head"))
-        found = placed.join(heads, key).where("node != head").select("node", "head")
+        found = placed.join(heads, key).where("node != head").select("view", "fp", "node", "head")
+        if pairs is None:
+            met = found = written(found, "met")  # all but the head of each group
+        found = found.select("node", "head")
         pairs = found if pairs is None else pairs.unionByName(found)
-    close = near_links(nodes.select("fp").distinct(), segments)
+    hubs = written(near_hubs(nodes.select("fp").distinct(), segments), "hubs")
+    close = hubs.where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     first = nodes.groupBy("fp").agg(F.min(node).alias("head"))
-    same = nodes.join(first, "fp").select("node", F.col("head.node").alias("head")).where("node != head")
+    same = nodes.join(first, "fp").select("fp", "node", F.col("head.node").alias("head")).where("node != head")
+    around = nodes.select("fp", "node").join(hubs.select("fp", "hub"), "fp").select(F.lit(-2).alias("view"), F.col("hub").alias("fp"), "node")
+    members = met.select("view", "fp", "node").unionByName(same.select(F.lit(-1).alias("view"), "fp", "node")).unionByName(around)
+    same = same.select("node", "head")
     linked = close.join(first.withColumnRenamed("fp", "a").withColumnRenamed("head", "x"), "a").join(first.withColumnRenamed("fp", "b").withColumnRenamed("head", "y"), "b").select(F.col("x.node").alias("node"), F.col("y.node").alias("head"))
     pairs = written(pairs.unionByName(same).unionByName(linked).select(F.greatest("node", "head").alias("node"), F.least("node", "head").alias("head")).distinct(), "pairs")
     discard(placed)
@@ -198,7 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([shingle_hashes(t, shingle, seed).tobytes() for _, t in rows], pa.binary())], ["node", "items"])
 
     # One document's text for each node that has a candidate.
-    asked = pairs.select("node").unionByName(pairs.select(F.col("head").alias("node"))).distinct()
+    asked = pairs.select("node").unionByName(pairs.select(F.col("head").alias("node"))).unionByName(around.select("node")).distinct()
     chosen = described.join(asked, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     one = source.join(chosen.where("doc_id is not null").hint("shuffle_hash"), "doc_id").select("node", "text")
     items = written(one.mapInArrow(sets, "node long, items binary").groupBy("node").agg(F.first("items").alias("items")), "items")
@@ -215,8 +295,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     sized = pairs.join(items, "node").join(items.select(F.col("node").alias("head"), F.col("items").alias("others")), "head").select("node", "head", "items", "others")
     links = written(sized.mapInArrow(verify, "node long, head long"), "verified")
     roots = written(components(links.select(F.col("node").alias("a"), F.col("head").alias("b"))), "roots")
+    left = links_left(members, roots, items, similarity)
+    if not left.isEmpty():
+        before = roots
+        roots = written(components(before.unionByName(left.select("node", F.col("head").alias("root"))).select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")
+        discard(before)
     placed = written(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "placed")
     names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = written(placed.join(names, "root").select("node", "component_id"), "named")
-    discard(nodes, pairs, items, links, roots, placed)
+    discard(nodes, met, hubs, pairs, items, links, left, roots, placed)
     return described.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

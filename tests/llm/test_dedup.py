@@ -1,8 +1,10 @@
 """Substring, suffix and near-duplicate removal against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -117,3 +119,37 @@ def test_near_duplicates(documents, corpus, similarity, no_documents):
     assert {i: got[i] for i in plain} == root
     assert simhash_dedup.near_duplicates(documents).count() == len(corpus)
     assert simhash_dedup.near_duplicates(no_documents).count() == 0
+
+
+def test_near_duplicates_around_a_late_original(spark):
+    """Copies near one original of the largest id, but not near each other."""
+    rng = random.Random(1)
+    original = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(5000, " ".join(original))]
+    for i in range(1000):
+        words = list(original)
+        for k in range(6):
+            words[50 * k + rng.randrange(5, 45)] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    sets = [simhash_dedup.shingle_hashes(t, 5, 42) for _, t in rows[:3]]
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert alike(sets[0], sets[1]) >= 0.8 > alike(sets[1], sets[2])
+    got = simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 1001 and {r.component_id for r in got} == {0}
+    got = simhash_dedup.near_duplicates(spark.createDataFrame(rows[1:], "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(1000)}
+
+
+def test_links_across_blocks(spark, monkeypatch):
+    """A group dealt in blocks: the same components as one by one."""
+    monkeypatch.setattr(simhash_dedup, "MEMBERS", 4)
+    rng = random.Random(2)
+    sets = {i: np.unique(np.array([rng.randrange(12) for _ in range(6)], np.uint64)) for i in range(40)}
+    items = spark.createDataFrame([(i, x.tobytes()) for i, x in sets.items()], "node long, items binary")
+    members = spark.createDataFrame([(0, 7, i) for i in sets], "view int, fp long, node long")
+    known = spark.createDataFrame([(i, 0) for i in range(5)], "node long, root long")
+    found = [(r.node, r.head) for r in simhash_dedup.links_left(members, known, items, 0.6).collect()]
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))
+    assert all(alike(a, b) for a, b in found)
+    given = [(i, 0) for i in range(5)]
+    assert roots(list(sets), found + given) == roots(list(sets), [(a, b) for a in sets for b in range(a) if alike(a, b)] + given)
