@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
 from aerolith.operators import cluster, ingest, models, panel, profiles, serve, spatial, spectral, splits
+from aerolith.plans import adapters as A
+from aerolith.plans import registry
 from aerolith.sources import files
 
 
@@ -177,3 +179,13 @@ def test_models(spark):
     proba = models.fit_classifier(add(rows), "logistic", classes=4)(add(rows)).first().proba
     assert sum(proba) == pytest.approx(1.0) and proba[3] == 0.0
     assert models.permuted(rows, "x", 1, 1).agg(F.sum("x")).first() == rows.agg(F.sum("x")).first()
+
+
+def test_nearest_point_takes_all_suppliers(spark, data, tmp_path):
+    for name in ("customer", "nation"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.range(95, 160, 5).select(F.col("id").alias("s_suppkey")).where("id >= 100").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.station_id: r.distance for r in registry.queries()["source_nearest_point"](spark, str(tmp_path)).collect()}
+    points = np.array([(9 + k * 0.03, 45 + k % 10 * 0.1) for k in range(100, 160, 5)])
+    places = {r.station_id: (r.lng, r.lat) for r in A.stations(spark, str(tmp_path)).collect()}
+    assert got and got == pytest.approx({i: np.hypot(*(points - p).T).min() for i, p in places.items()}, abs=1e-5)
