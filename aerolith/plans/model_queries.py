@@ -17,6 +17,9 @@ from aerolith.streaming import jobs
 
 NUMERIC = ["pm10_lag1", "pm10_lag2", "pm10_roll3", "pm10_roll7", "month_sin", "month_cos", "temp_mean", "wind_speed_mean"]
 
+#: Radius of neighbours among whole embeddings.
+EPS = 1.17
+
 
 def shared(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -31,7 +34,7 @@ def split_rows(spark, d) -> DataFrame:
 
 
 def points(spark, d) -> DataFrame:
-    return A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"))
+    return A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
 @query()
@@ -103,12 +106,21 @@ def cluster_ward(spark, d):
 def cluster_eps_neighbours(spark, d):
     from aerolith.operators.kernels import eps_neighbours
 
-    return eps_neighbours(points(spark, d), 0.2).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    first = points(spark, d).withColumn("x", F.slice("x", 1, 8))  # as the SQL has it
+    return eps_neighbours(first, 0.2).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def cluster_eps_neighbours_whole(spark, d):
+    """Neighbours over all components; their eps is the median distance to the third neighbour on the small tables."""
+    from aerolith.operators.kernels import eps_neighbours
+
+    return eps_neighbours(points(spark, d), EPS).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def cluster_dbscan(spark, d):
-    return cluster.dbscan(points(spark, d), 0.2, 3).select("id", "cluster")
+    return cluster.dbscan(points(spark, d), EPS, 3).select("id", "cluster")
 
 
 @query()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from aerolith.functions import columns as C
 from aerolith.operators import cluster, ingest, models, panel, profiles, serve, spatial, spectral, splits
 from aerolith.plans import adapters as A
-from aerolith.plans import registry
+from aerolith.plans import model_queries, registry
 from aerolith.sources import files
 
 
@@ -189,3 +189,15 @@ def test_nearest_point_takes_all_suppliers(spark, data, tmp_path):
     points = np.array([(9 + k * 0.03, 45 + k % 10 * 0.1) for k in range(100, 160, 5)])
     places = {r.station_id: (r.lng, r.lat) for r in A.stations(spark, str(tmp_path)).collect()}
     assert got and got == pytest.approx({i: np.hypot(*(points - p).T).min() for i, p in places.items()}, abs=1e-5)
+
+
+def test_neighbours_of_whole_embeddings(spark, data):
+    rows = A.table(spark, data, "embeddings").select("vec_id", "embedding").collect()
+    assert {len(r.x) for r in model_queries.points(spark, data).collect()} == {len(rows[0].embedding)}
+    x = np.array([r.embedding for r in rows], float)
+    n = (np.sqrt(((x[:, None] - x) ** 2).sum(2)) <= model_queries.EPS).sum(1) - 1
+    got = {r.id: r.n for r in registry.queries()["cluster_eps_neighbours_whole"](spark, data).collect()}
+    assert got == {r.vec_id: k for r, k in zip(rows, n.tolist()) if k}
+    assert registry.queries()["cluster_dbscan"](spark, data).count() == len(rows)
+    for name in ("cluster_kmeans", "cluster_ward", "cluster_pca"):
+        assert registry.queries()[name](spark, data).count()
