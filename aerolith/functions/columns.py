@@ -61,9 +61,12 @@ def calendar(day: str | Column) -> dict[str, Column]:
 
 
 def stagnation_flag(pressure: Column, wind: Column, mixing: Column, limits: tuple[float, float, float] = (HIGH_PRESSURE, LOW_WIND, LOW_MIXING)) -> Column:
-    """1 for high pressure, little wind and a low mixing layer; null if any is missing."""
+    """1 for high pressure, little wind and a low mixing layer; null if any is missing.
+
+    Means are compared to six places: further ones depend on the order in which their values were added up.
+    """
     known = pressure.isNotNull() & wind.isNotNull() & mixing.isNotNull()
-    return F.when(known, ((pressure > limits[0]) & (wind < limits[1]) & (mixing < limits[2])).cast("int"))
+    return F.when(known, ((F.round(pressure, 6) > limits[0]) & (F.round(wind, 6) < limits[1]) & (F.round(mixing, 6) < limits[2])).cast("int"))
 
 
 def stagnation_index(wind: Column, mixing: Column, rain: Column) -> Column:
@@ -90,17 +93,20 @@ def ordered_probabilities(probabilities: Column, classes: Column, n: int = 4) ->
 def hybrid_decision(predicted: str | Column, probabilities: str | Column, delta: float | Column, least: float | Column) -> dict[str, Column]:
     """The threshold-aware rule: near a class limit, a more severe class of the classifier overrides the regression.
 
-    Only escalations are made, and only where the severe class has at least the probability `least`.
+    Only escalations are made, and only where the severe class has at least the probability `least`. `prudential` marks where the
+    rule takes the severe class, `escalated` where that changes the class. `source` tells who decided: outside the zone the
+    regression, inside it an agreement, an override (a sure severe class, even if it is the regression's own), or none.
     """
     predicted, p = _col(predicted), _col(probabilities)
     by_value, by_class, distance = class_of_prediction(predicted), argmax(p), threshold_distance(predicted)
     severe = F.greatest(by_value, by_class)
     near, differ, sure = distance <= delta, by_value != by_class, F.get(p, severe) >= least
-    up = near & differ & sure & (severe > by_value)
+    prudential = near & differ & sure
+    up = prudential & (severe > by_value)
     return {
         "class_by_value": by_value, "class_by_model": by_class, "distance": distance, "near": near, "differ": differ, "severe_class": severe,
-        "severe_probability": F.get(p, severe), "escalated": up, "class_final": F.when(up, severe).otherwise(by_value),
-        "source": F.when(up, "hybrid_override").when(~differ, "hybrid_agreement").when(near, "hybrid_no_override").otherwise("regression"),
+        "severe_probability": F.get(p, severe), "prudential": prudential, "escalated": up, "class_final": F.when(up, severe).otherwise(by_value),
+        "source": F.when(~near, "regression").when(~differ, "hybrid_agreement").when(sure, "hybrid_override").otherwise("hybrid_no_override"),
     }
 
 

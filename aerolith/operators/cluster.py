@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -12,19 +13,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.operators.kernels import blocked_silhouette, eps_neighbours
+from aerolith.sources.scratch import written
 
 
 def kmeans(points: DataFrame, k: int, seeds: int = 10) -> tuple[DataFrame, float]:
     """points (id, x) with cluster, and the inertia, of the best of several starts."""
     rows = points.withColumn("features", array_to_vector("x"))
-    models = [KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster").fit(rows) for s in range(seeds)]
+    with ThreadPoolExecutor(min(4, seeds)) as pool:
+        models = list(pool.map(lambda s: KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster").fit(rows), range(seeds)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).drop("features").withColumn("cluster", F.col("cluster").cast("long")), best.summary.trainingCost
 
 
-def kmeans_grid(points: DataFrame, ks: Sequence[int] = range(2, 9), seeds: int = 10) -> list[tuple[int, float, float]]:
-    """k, inertia, silhouette."""
-    return [(k, cost, silhouette(labelled)) for k in ks for labelled, cost in [kmeans(points, k, seeds)]]
+def sizes(labelled: DataFrame) -> list[int]:
+    """Points of each cluster but noise: a number a cluster."""
+    return [r[1] for r in sorted(labelled.where("cluster >= 0").groupBy("cluster").count().collect())]
+
+
+def kmeans_grid(points: DataFrame, ks: Sequence[int] = range(2, 9), seeds: int = 10) -> list[tuple[int, float, float, list[int]]]:
+    """k, inertia, silhouette, sizes."""
+    made = [(k, *kmeans(points, k, seeds)) for k in ks]
+    return [(k, cost, silhouette(labelled), sizes(labelled)) for k, labelled, cost in made]
+
+
+def ward_grid(points: DataFrame, ks: Sequence[int] = range(2, 9), micro: int = 256) -> list[tuple[int, float, list[int]]]:
+    """k, silhouette, sizes."""
+    made = [(k, written(ward(points, k, micro), "ward")) for k in ks]
+    return [(k, silhouette(labelled), sizes(labelled)) for k, labelled in made]
+
+
+def dbscan_grid(points: DataFrame, eps: Sequence[float] = (0.5, 0.75, 1.0, 1.25, 1.5), min_samples: int = 3) -> list[tuple[float, int, int, float]]:
+    """eps, clusters, noise points, silhouette without noise."""
+    out = []
+    for e in eps:
+        labelled = written(dbscan(points, e, min_samples), "dbscan")
+        noise, found = labelled.agg(F.count_if(F.col("cluster") < 0), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster")))).first()
+        out.append((e, found, noise, silhouette(labelled)))
+    return out
 
 
 def silhouette(labelled: DataFrame) -> float:
@@ -72,22 +97,19 @@ def ward(points: DataFrame, k: int, micro: int = 256) -> DataFrame:
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 3) -> DataFrame:
     """points with cluster: the smallest core id of its component, by id; a border point joins its lowest core; noise is -1."""
-    spark = points.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    near = eps_neighbours(points.select("id", "x"), eps).checkpoint()
+    near = written(eps_neighbours(points.select("id", "x"), eps), "near")
     degrees = near.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n"))
     core = degrees.where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
     alone = points.select("id").where(F.lit(min_samples <= 1))
-    core = core.union(alone).distinct().checkpoint()
-    links = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b").checkpoint()
+    core = written(core.union(alone).distinct(), "core")
+    links = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    links = written(links, "links")
     labels = core.withColumn("root", F.col("id"))
     while True:
         least = links.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("seen"))
         stepped = labels.join(least.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("root", F.coalesce("seen", "root")).alias("root"))
-        jumped = stepped.join(stepped.select(F.col("id").alias("root"), F.col("root").alias("far")), "root").select("id", F.least("root", "far").alias("root")).checkpoint()
+        jumped = stepped.join(stepped.select(F.col("id").alias("root"), F.col("root").alias("far")), "root").select("id", F.least("root", "far").alias("root"))
+        jumped = written(jumped, "labels")
         if jumped.join(labels.withColumnRenamed("root", "old"), "id").where("root != old").isEmpty():
             break
         labels = jumped

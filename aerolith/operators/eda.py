@@ -54,7 +54,8 @@ def correlations(rows: DataFrame, target: str, columns: Sequence[str]) -> DataFr
 
 
 def top_correlations(rows: DataFrame, target: str, columns: Sequence[str], n: int = 10) -> DataFrame:
-    return correlations(rows, target, columns).where("r is not null and not isnan(r)").orderBy(F.desc(F.abs("r")), "column_name").limit(n)
+    """The n columns of largest absolute r; r equal to nine places is a tie, which goes by name."""
+    return correlations(rows, target, columns).where("r is not null and not isnan(r)").orderBy(F.desc(F.round(F.abs("r"), 9)), "column_name").limit(n)
 
 
 def correlation_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -72,9 +73,9 @@ def missing_by_station(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy("station_id").agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns))
 
 
-def histogram(rows: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """bin (from 0), n between the smallest and largest value; the last bin is closed."""
-    lo, hi = rows.agg(F.min(column), F.max(column)).first()
+def histogram(rows: DataFrame, column: str, bins: int = 50, ends: tuple[float, float] | None = None) -> DataFrame:
+    """bin (from 0), n between the smallest and largest value (ends, where they are known); the last bin is closed."""
+    lo, hi = ends or rows.agg(F.min(column), F.max(column)).first()
     if lo is None:
         return rows.sparkSession.createDataFrame([], "bin int, n long")
     width = (hi - lo) / bins or 1.0
@@ -88,7 +89,7 @@ def density(rows: DataFrame, column: str, points: int = 100) -> DataFrame:
     if not n or not std:
         return rows.sparkSession.createDataFrame([], "x double, density double")
     h, bins = std * n**-0.2, 1024
-    centres = histogram(rows, column, bins).select((F.lit(lo) + (F.col("bin") + 0.5) * ((hi - lo) / bins)).alias("c"), "n")
+    centres = histogram(rows, column, bins, (lo, hi)).select((F.lit(lo) + (F.col("bin") + 0.5) * ((hi - lo) / bins)).alias("c"), "n")
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lo - 3 * h + i * ((hi - lo + 6 * h) / (points - 1)))).alias("x")
     z = (F.col("x") - F.col("c")) / h
     return centres.select("c", "n", grid).groupBy("x").agg((F.sum(F.col("n") * F.exp(-z * z / 2)) / (n * h * (2 * 3.141592653589793) ** 0.5)).alias("density"))

@@ -1,10 +1,10 @@
-"""Vectorised helpers: pair distances in blocks, Gram sums of shifted groups, distances to polygon edges."""
+"""Vectorised helpers: pair distances in blocks, neighbours by pivots, Gram sums of null models."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,23 +22,26 @@ def block_pairs(points: DataFrame, block: int = 2048):
     return left.groupBy("lb", "rb"), right.groupBy("lb", "rb")
 
 
-def _distances(left: pa.Table, right: pa.Table) -> np.ndarray:
-    a, b = _matrix(left["x"]), _matrix(right["x"])
-    out = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-    out[np.array(left["id"].to_pylist())[:, None] == np.array(right["id"].to_pylist())] = np.inf
-    return out
-
-
 def blocked_nearest(points: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """id, distance to the k-th nearest other point; null with fewer."""
+    """id, distance to the k-th nearest other point; null with fewer. All pairs of blocks, as the curve needs every point's distance.
+
+    The product form of the distance picks the k nearest of a block; their distances are then taken by subtraction, which
+    keeps the digits that the product form loses for near points.
+    """
 
     def meet(left, right):
         if not left.num_rows or not right.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        d = np.sort(_distances(left, right), axis=1)[:, :k]
-        ids = np.repeat(np.array(left["id"].to_pylist()), d.shape[1])
-        keep = np.isfinite(d.ravel())
-        return pa.table({"id": ids[keep], "distance": d.ravel()[keep]})
+        a, b = _matrix(left["x"]), _matrix(right["x"])
+        d = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+        same = np.array(left["id"].to_pylist())[:, None] == np.array(right["id"].to_pylist())
+        d[same] = np.inf
+        near = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+        exact = np.sqrt(((a[:, None] - b[near]) ** 2).sum(2))
+        exact[np.take_along_axis(same, near, axis=1)] = np.inf
+        ids = np.repeat(np.array(left["id"].to_pylist()), near.shape[1])
+        keep = np.isfinite(exact.ravel())
+        return pa.table({"id": ids[keep], "distance": exact.ravel()[keep]})
 
     left, right = block_pairs(points, block)
     best = left.cogroup(right).applyInArrow(meet, "id long, distance double")
@@ -67,19 +70,30 @@ def blocked_silhouette(points: DataFrame, block: int = 2048) -> DataFrame:
 
     left, right = block_pairs(labelled, block)
     sums = left.cogroup(right).applyInArrow(meet, "id long, cluster long, other long, total double, n long")
-    means = sums.groupBy("id", "cluster", "other").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    means = sums.groupBy("id", "cluster", "other").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
     own = F.min(F.when(F.col("cluster") == F.col("other"), F.col("mean")))
     near = F.min(F.when(F.col("cluster") != F.col("other"), F.col("mean")))
     return means.groupBy("id", "cluster").agg(own.alias("a"), near.alias("b")).select("id", "cluster", F.when(F.col("a").isNull() | F.isnan("a"), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
-def eps_neighbours(points: DataFrame, eps: float) -> DataFrame:
-    """a, b of points (id, x) within eps, by a band join on the first coordinate and an exact test."""
-    band = F.floor(F.get("x", F.lit(0)) / eps)
-    left = points.select(F.col("id").alias("a"), F.col("x").alias("xa"), band.alias("band"))
-    right = points.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    square = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    return left.join(right, "band").where((F.col("a") != F.col("b")) & (square <= eps * eps)).select("a", "b")
+def eps_neighbours(points: DataFrame, eps: float, pivots: int = 6) -> DataFrame:
+    """a, b of points (id, x) within eps of each other.
+
+    Distances to a few pivot points differ by at most eps for such a pair. Points lie on a grid of their distances to the
+    first two pivots and meet those of the nine cells around them; the other pivots drop most false pairs before the exact test.
+    """
+    apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    chosen = [r[0] for r in points.orderBy(F.xxhash64("id")).limit(pivots).select("x").collect()]
+    if not chosen:
+        return points.sparkSession.createDataFrame([], "a long, b long")
+    chosen += chosen[:1] * (2 - len(chosen))
+    far = F.array(*(apart(F.col("x"), F.array(*map(F.lit, p))) for p in chosen))
+    placed = points.withColumn("far", far).withColumns({f"c{i}": F.floor(F.get("far", F.lit(i)) / eps).cast("long") for i in (0, 1)})
+    left = placed.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("far").alias("fa"), "c0", "c1")
+    around = F.explode(F.array(*(F.struct((F.col("c0") + i).alias("c0"), (F.col("c1") + j).alias("c1")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    right = placed.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.col("far").alias("fb"), around.alias("c")).select("b", "xb", "fb", "c.*")
+    bound = F.array_max(F.zip_with("fa", "fb", lambda p, q: F.abs(p - q)))
+    return left.join(right, ["c0", "c1"]).where((F.col("a") != F.col("b")) & (bound <= eps * (1 + 1e-9)) & (apart(F.col("xa"), F.col("xb")) <= eps)).select("a", "b")
 
 
 def grouped_shift_gram(rows: DataFrame, columns: list[str], group: str, order: str, iterations: int, seed: int = 0) -> DataFrame:
@@ -87,29 +101,85 @@ def grouped_shift_gram(rows: DataFrame, columns: list[str], group: str, order: s
 
     Iteration 0 is unshifted. A shift only permutes a column inside a group, so means and deviations stay.
     """
-    import xxhash
-
-    p = len(columns)
 
     def shifted(table: pa.Table) -> pa.Table:
         z = np.column_stack([table[c].to_numpy() for c in columns])[np.argsort(table[order].to_numpy(), kind="stable")]
         name, n = table[group][0].as_py(), len(z)
-        grams = []
-        for i in range(iterations + 1):
-            w = z
-            if i and n > 1:
-                w = np.column_stack([np.roll(z[:, j], 1 + xxhash.xxh64_intdigest(f"{i}|{name}|{c}", seed) % (n - 1)) for j, c in enumerate(columns)])
-            grams.append((w.T @ w).ravel())
-        return pa.table({"iteration": pa.array(range(iterations + 1), pa.int32()), "gram": pa.array([g.tolist() for g in grams], pa.list_(pa.float64()))})
-
-    parts = rows.select(group, order, *columns).groupBy(group).applyInArrow(shifted, "iteration int, gram array<double>")
+        moved = lambda i: np.column_stack([np.roll(z[:, j], shift_of(seed, i, name, c, n) if i else 0) for j, c in enumerate(columns)])
+        return _grams([(i, moved(i)) for i in range(iterations + 1)])
+
+    return summed_grams(rows.select(group, order, *columns).groupBy(group).applyInArrow(shifted, GRAM))
+
+
+def shift_of(seed: int, iteration: int, name: object, column: str, n: int) -> int:
+    """A shift from 1 to n - 1 that depends on its arguments alone; 0 where there is none."""
+    import xxhash
+
+    return 1 + xxhash.xxh64_intdigest(f"{iteration}|{name}|{column}", seed) % (n - 1) if n > 1 else 0
+
+
+def summed_grams(parts: DataFrame) -> DataFrame:
+    """iteration, gram: the sums of flat partial Grams (iteration, gram)."""
     flat = parts.select("iteration", F.posexplode("gram").alias("i", "v")).groupBy("iteration", "i").agg(F.sum("v").alias("v"))
     return flat.groupBy("iteration").agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("gram"))
 
 
-def segment_distance(px: np.ndarray, py: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Distance of points to segments, elementwise."""
-    dx, dy = bx - ax, by - ay
-    square = dx * dx + dy * dy
-    t = np.clip(np.divide((px - ax) * dx + (py - ay) * dy, square, out=np.zeros_like(square), where=square > 0), 0, 1)
-    return np.hypot(px - ax - t * dx, py - ay - t * dy)
+GRAM = "iteration int, gram array<double>"
+
+
+def _grams(found: list[tuple[int, np.ndarray]]) -> pa.Table:
+    return pa.table({"iteration": pa.array([i for i, _ in found], pa.int32()), "gram": pa.array([(w.T @ w).ravel().tolist() for _, w in found], pa.list_(pa.float64()))})
+
+
+def shuffled_gram(rows: DataFrame, columns: list[str], group: str, order: str, iterations: int, seed: int = 0, bucket: int = 4096) -> DataFrame:
+    """iteration, gram of columns that are each permuted on their own; iteration 0 is not.
+
+    Rows are dealt by hash into buckets of about `bucket` rows and permuted inside them, so no task holds a whole column.
+    """
+    n = max(1, -(-rows.count() // bucket))
+    dealt = rows.select(F.pmod(F.xxhash64(F.lit(seed), group, order), F.lit(n)).alias("_b"), group, order, *columns)
+
+    def permuted(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(group, "ascending"), (order, "ascending")])
+        z, b = np.column_stack([table[c].to_numpy() for c in columns]), table["_b"][0].as_py()
+        mixed = lambda i, j: np.random.default_rng((seed, i, b, j)).permutation(z[:, j]) if i else z[:, j]
+        return _grams([(i, np.column_stack([mixed(i, j) for j in range(len(columns))])) for i in range(iterations + 1)])
+
+    return summed_grams(dealt.groupBy("_b").applyInArrow(permuted, GRAM))
+
+
+def global_shift_gram(rows: DataFrame, columns: list[str], group: str, order: str, iterations: int, seed: int = 0, chunk: int = 4096) -> DataFrame:
+    """iteration, gram of columns that are each shifted circularly over all rows, by group and order; iteration 0 is unshifted.
+
+    Rows are numbered by their place in a group and the group's offset (a row a group) and packed into chunks. A chunk sends
+    the stretches of its shifted columns to the chunks that they land in, which sum up their own part.
+    """
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(group, (F.sum("_n").over(Window.orderBy(group)) - F.col("_n")).alias("_o"))
+    n = rows.count()
+    numbered = rows.select(group, *columns, place.alias("_p")).join(offsets, group).withColumn("_i", F.col("_o") + F.col("_p"))
+    shifts = {(i, j): shift_of(seed, i, "", c, n) if i else 0 for i in range(iterations + 1) for j, c in enumerate(columns)}
+    schema = pa.schema([("iteration", pa.int32()), ("target", pa.int64()), ("column", pa.int32()), ("start", pa.int64()), ("piece", pa.list_(pa.float64()))])
+
+    def sent(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_i")
+        first, z, out = table["_i"][0].as_py(), np.column_stack([table[c].to_numpy() for c in columns]), []
+        for (i, j), s in shifts.items():
+            at = 0
+            while at < len(z):
+                to = (first + at + s) % n
+                m = min(len(z) - at, chunk - to % chunk, n - to)
+                out.append((i, to // chunk, j, to % chunk, z[at : at + m, j].tolist()))
+                at += m
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    def landed(table: pa.Table) -> pa.Table:
+        size = min(chunk, n - table["target"][0].as_py() * chunk)
+        w = np.zeros((size, len(columns)))
+        for j, a, piece in zip(table["column"].to_pylist(), table["start"].to_pylist(), table["piece"].to_pylist()):
+            w[a : a + len(piece), j] = piece
+        return _grams([(table["iteration"][0].as_py(), w)])
+
+    pieces = numbered.groupBy(F.floor(F.col("_i") / chunk).alias("_c")).applyInArrow(sent, "iteration int, target long, column int, start long, piece array<double>")
+    return summed_grams(pieces.groupBy("iteration", "target").applyInArrow(landed, GRAM))

@@ -100,18 +100,22 @@ def calibration_error(rows: DataFrame, truth: str, proba: str, bins: int = 10) -
 
 
 def macro(matrix: DataFrame, keys: Sequence[str], classes: int = 4) -> DataFrame:
-    """f1_macro, severe and the recall of the last class for each key, from (keys, y, p, n)."""
+    """f1_macro, severe, over and the recall of the last class for each key, from (keys, y, p, n)."""
     hit = [F.sum(F.when((F.col("y") == k) & (F.col("p") == k), F.col("n")).otherwise(0)) for k in range(classes)]
     said = [F.sum(F.when(F.col("p") == k, F.col("n")).otherwise(0)) for k in range(classes)]
     true = [F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)) for k in range(classes)]
     f1 = [F.when(s + t > 0, 2 * h / (s + t)).otherwise(0.0) for h, s, t in zip(hit, said, true)]
     severe = F.sum(F.when(F.abs(F.col("y") - F.col("p")) >= 2, F.col("n")).otherwise(0)) / F.sum("n")
+    over = F.sum(F.when(F.col("p") > F.col("y"), F.col("n")).otherwise(0)) / F.sum("n")
     recall = F.when(true[-1] > 0, hit[-1] / true[-1]).otherwise(0.0)
-    return matrix.groupBy(*keys).agg((sum(f1[1:], f1[0]) / classes).alias("f1_macro"), severe.alias("severe"), recall.alias("recall_worst"))
+    return matrix.groupBy(*keys).agg((sum(f1[1:], f1[0]) / classes).alias("f1_macro"), severe.alias("severe"), over.alias("over"), recall.alias("recall_worst"))
 
 
-def tune(rows: DataFrame, deltas: Sequence[float] = (3.0, 5.0, 7.0), least: Sequence[float] = (0.25, 0.35, 0.45), alpha: float = 1.0, beta: float = 0.25, truth: str = "truth", predicted: str = "predicted", proba: str = "proba") -> DataFrame:
-    """delta, least, f1_macro, severe, recall_worst, score of every pair of the hybrid rule, and place 1 for the best.
+def tune(rows: DataFrame, deltas: Sequence[float] = (3.0, 5.0, 7.0), least: Sequence[float] = (0.25, 0.35, 0.45), alpha: float = 1.0, beta: float = 0.5, flat: float = 0.005, truth: str = "truth", predicted: str = "predicted", proba: str = "proba") -> DataFrame:
+    """delta, least, f1_macro, severe, over, recall_worst, score of every pair of the hybrid rule, place 1 for the best, and whether the grid is flat.
+
+    Ties in score go to the larger f1_macro, then recall of the worst class, then fewer severe and fewer over-alerts, then the
+    smaller delta, then the larger probability. A grid whose scores span less than `flat` tells nothing.
 
     Each row meets the few pairs in place and is counted at once, so at most 16 rows a pair and task are shuffled.
     """
@@ -120,8 +124,9 @@ def tune(rows: DataFrame, deltas: Sequence[float] = (3.0, 5.0, 7.0), least: Sequ
     final = C.hybrid_decision(predicted, proba, F.col("delta"), F.col("least"))["class_final"]
     scores = macro(confusion(tried.withColumn("final", final), truth, "final", ["delta", "least"]), ["delta", "least"])
     scores = scores.withColumn("score", F.col("f1_macro") - alpha * F.col("severe") - beta * (1 - F.col("recall_worst")))
-    best = Window.orderBy(F.desc("score"), F.desc("f1_macro"), "severe", F.desc("recall_worst"), "delta", F.desc("least"))  # a row a pair
-    return scores.withColumn("place", F.row_number().over(best))
+    best = Window.orderBy(F.desc("score"), F.desc("f1_macro"), F.desc("recall_worst"), "severe", "over", "delta", F.desc("least"))  # a row a pair
+    every = Window.partitionBy(F.lit(1))
+    return scores.withColumns({"place": F.row_number().over(best), "is_flat": F.max("score").over(every) - F.min("score").over(every) < flat})
 
 
 def rank_candidates(metrics: DataFrame, admitted: Sequence[str], gap: float = 0.005) -> DataFrame:
@@ -132,22 +137,35 @@ def rank_candidates(metrics: DataFrame, admitted: Sequence[str], gap: float = 0.
 
 
 def select_strategy(metrics: DataFrame, most_severe: float = 0.025, least_recall: float = 0.65, tie: float = 0.005) -> DataFrame:
-    """The strategy chosen: of those within the limits, the simplest within `tie` of the best f1_macro; else the best, with what it fails."""
-    ok = (F.col("severe") <= most_severe) & (F.col("recall_worst") >= least_recall)
+    """One row: whether a strategy is fit for production, which one, else the best candidate of research, and what fails.
+
+    Of the strategies within both limits the simplest within `tie` of the best f1_macro is selected. If there is none, nothing is
+    selected, and the candidate is the best of those within the severe limit, else of all. `failed` names the limits that no strategy
+    meets, or `both` where each is met but never together. Strategies without f1_macro take no part; missing measures fail.
+    """
+    known = metrics.where("f1_macro is not null")
+    c1, c2 = F.coalesce(F.col("severe") <= most_severe, F.lit(False)), F.coalesce(F.col("recall_worst") >= least_recall, F.lit(False))
     one = Window.partitionBy(F.lit(1))  # a row a strategy
-    judged = metrics.withColumns({"ok": ok, "failed": F.concat_ws(",", F.when(F.col("severe") > most_severe, "severe"), F.when(F.col("recall_worst") < least_recall, "recall"))})
-    judged = judged.withColumns({"any_ok": F.max(ok).over(one), "top": F.max(F.when(ok, F.col("f1_macro"))).over(one)})
-    order = [F.desc("ok"), F.desc(F.col("f1_macro") >= F.col("top") - tie), F.when(F.col("any_ok"), F.col("complexity")), F.desc("f1_macro"), "strategy"]
+    judged = known.withColumns({"c1": c1, "c2": c2, "ok": c1 & c2})
+    judged = judged.withColumns({f"any_{c}": F.max(c).over(one) for c in ("c1", "c2", "ok")} | {"top": F.max(F.when(F.col("ok"), F.col("f1_macro"))).over(one)})
+    tied = F.col("ok") & (F.col("f1_macro") >= F.col("top") - tie)
+    pool = F.when(F.col("any_ok"), tied).when(F.col("any_c1"), F.col("c1")).otherwise(True)
+    order = [F.desc(pool), F.when(F.col("any_ok"), F.col("complexity")), F.desc("f1_macro"), "strategy"]
     chosen = judged.withColumn("place", F.row_number().over(Window.orderBy(*order))).where("place = 1")
-    return chosen.select("strategy", "f1_macro", "severe", "recall_worst", "ok", "failed")
+    failed = F.concat_ws(",", F.when(~F.col("any_c1"), "severe"), F.when(~F.col("any_c2"), "recall"), F.when(F.col("any_c1") & F.col("any_c2"), "both"))
+    return chosen.select(
+        F.col("any_ok").alias("production_ready"), F.when(F.col("any_ok"), F.col("strategy")).alias("selected"), F.when(~F.col("any_ok"), F.col("strategy")).alias("candidate"),
+        "f1_macro", "severe", "recall_worst", F.when(~F.col("any_ok"), failed).otherwise("").alias("failed"),
+    )
 
 
 def comparison(metrics: DataFrame, order: Sequence[str], most_severe: float = 0.025, least_recall: float = 0.65) -> DataFrame:
-    """All strategies with their tag, listed ones first, then by name."""
-    tag = F.when(F.coalesce("severe", F.lit(1.0)) > most_severe, "C1-FAIL").when(F.coalesce("recall_worst", F.lit(0.0)) < least_recall, "C2-FAIL").otherwise("PASS")
+    """All strategies with the limits that they fail (missing measures fail), listed ones first in their order, then by name."""
+    fails = [F.when(F.coalesce("severe", F.lit(1.0)) > most_severe, "C1-FAIL"), F.when(F.coalesce("recall_worst", F.lit(0.0)) < least_recall, "C2-FAIL")]
+    tag = F.concat_ws(" ", *fails)
     listed = F.array_position(F.array(*map(F.lit, order)), F.col("strategy")).cast("int")
     place = F.row_number().over(Window.orderBy(F.when(listed == 0, len(order) + 1).otherwise(listed), "strategy"))  # a row a strategy
-    return metrics.withColumns({"tag": tag, "place": place})
+    return metrics.withColumns({"tag": F.when(tag == "", "PASS").otherwise(tag), "place": place})
 
 
 def deltas(metrics: DataFrame, base: str) -> DataFrame:

@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,13 +18,23 @@ from pyspark.sql import functions as F
 from aerolith.functions import columns as C
 from aerolith.operators.panel import fit_medians, impute
 
-#: The order of seasons, and the search grids.
+#: The order of seasons.
 SEASONS = ("winter", "spring", "summer", "autumn")
+#: The search spaces, under MLlib's names. A depth without limit is MLlib's largest, 30.
+_TREES = {
+    "maxIter": (100, 300, 500, 800), "maxDepth": (3, 5, 7, 9), "stepSize": (0.01, 0.05, 0.1), "subsamplingRate": (0.7, 0.8, 1.0),
+    "minInstancesPerNode": (1, 3, 5), "featureSubsetStrategy": ("0.7", "0.8", "1.0"),
+}
 GRIDS = {
-    "elastic_net": {"regParam": (0.001, 0.01, 0.1, 0.5, 1.0, 5.0), "elasticNetParam": (0.1, 0.5, 0.7, 0.9)},
-    "boosted": {"maxIter": (20, 50, 100), "maxDepth": (3, 5, 7), "stepSize": (0.05, 0.1), "subsamplingRate": (0.7, 1.0)},
-    "forest": {"numTrees": (50, 100, 200), "maxDepth": (8, 15, 30), "minInstancesPerNode": (1, 5, 10)},
+    "elastic_net": {"regParam": (0.001, 0.01, 0.1, 1.0, 10.0, 100.0), "elasticNetParam": (0.1, 0.5, 0.7, 0.9)},
+    "boosted": _TREES,
+    "forest": {"numTrees": (100, 300, 500), "maxDepth": (10, 20, 30), "minInstancesPerNode": (2, 5, 10)},
+    "logistic": {"c": (0.01, 0.1, 1.0, 10.0)},
+    "forest_classes": {"numTrees": (100, 300, 500, 800), "maxDepth": (10, 20, 30), "minInstancesPerNode": (1, 2, 5)},
+    "boosted_classes": _TREES,
 }
+#: Most combinations that a search tries; larger spaces are sampled.
+MOST_TRIED = 50
 
 
 def ordinal(c: str, order: Sequence[str]) -> Column:
@@ -56,9 +66,14 @@ def regressor(kind: str, seed: int = 42, **params):
 
 
 def fit_regressor(train: DataFrame, kind: str, **params) -> Callable[[DataFrame], DataFrame]:
-    """Trained on log1p of pm10; the function adds `predicted`."""
+    """Trained on log1p of pm10; the function adds `predicted`, and has the fitted model as `model`."""
     model = regressor(kind, **params).fit(train.withColumn("log_target", F.log1p("pm10")))
-    return lambda df: model.transform(df).withColumn("predicted", F.expm1("log_predicted")).drop("log_predicted")
+
+    def add(df: DataFrame) -> DataFrame:
+        return model.transform(df).withColumn("predicted", F.expm1("log_predicted")).drop("log_predicted")
+
+    add.model = model
+    return add
 
 
 def balanced(rows: DataFrame, label: str = "class_id") -> DataFrame:
@@ -127,6 +142,19 @@ def search(folds: DataFrame, fit: Callable[[DataFrame, dict], Callable[[DataFram
     return grid[best], list(zip(grid, scores))
 
 
+def searched(folds: DataFrame, kind: str, fit: Callable[[DataFrame, dict], Callable[[DataFrame], DataFrame]], score: Callable[[DataFrame], float], grid: dict[str, Sequence] | None = None, k: int = 5, most: int = MOST_TRIED, threads: int = 2) -> tuple[dict, list[tuple[dict, float]]]:
+    """search() over the space of a kind (GRIDS), or over another grid."""
+    return search(folds, fit, score, choices(grid or GRIDS[kind], most), k, threads)
+
+
+def f1_macro(rows: DataFrame) -> float:
+    """Macro f1 of the likeliest class of proba."""
+    from aerolith.operators import metrics
+
+    matrix = metrics.confusion(rows.withColumns({"_p": C.argmax("proba"), "_k": F.lit(0)}), "class_id", "_p", ["_k"])
+    return metrics.macro(matrix, ["_k"]).first()["f1_macro"]
+
+
 def negative_rmse(rows: DataFrame) -> float:
     e = F.col("predicted") - F.col("pm10")
     return -(rows.agg(F.sqrt(F.avg(e * e))).first()[0] or float("inf"))
@@ -194,11 +222,12 @@ def permuted(rows: DataFrame, feature: str, seed: int, repeat: int, buckets: int
 
 
 def permutation_importance(rows: DataFrame, features: Sequence[str], score: Callable[[DataFrame], float], repeats: int = 10, seed: int = 42, top: int = 15) -> list[tuple[str, float, float]]:
-    """feature, mean and deviation of the drop in score when its values are permuted."""
+    """feature, mean and deviation of the drop in score when its values are permuted; score takes rows and is given permuted ones."""
     base = score(rows)
     out = []
     for f in features:
-        drops = [base - score(permuted(rows, f, seed, r)) for r in range(repeats)]
+        with ThreadPoolExecutor(2) as pool:
+            drops = list(pool.map(lambda r, f=f: base - score(permuted(rows, f, seed, r)), range(repeats)))
         mean = sum(drops) / repeats
         out.append((f, mean, (sum((d - mean) ** 2 for d in drops) / repeats) ** 0.5))
     return sorted(out, key=lambda r: -r[1])[:top]
@@ -208,7 +237,3 @@ def native_importance(model, names: Sequence[str], top: int = 15) -> list[tuple[
     """A tree model's importances, or a linear model's absolute coefficients."""
     values = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
     return sorted(((n, abs(float(v))) for n, v in zip(names, values.toArray())), key=lambda r: -r[1])[:top]
-
-
-def pack_features(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rows.withColumn("features", array_to_vector(F.array(*(F.col(c).cast("double") for c in columns))))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
+from aerolith.sources.scratch import written
 
 LAGGED = ("pressure_mean", "wind_speed_mean", "blh_mean", "temp_mean")
 KEYS = ("station_id", "day")
@@ -104,8 +105,11 @@ def carry_forward(panel: DataFrame) -> DataFrame:
 
 
 def clean(panel: DataFrame) -> DataFrame:
-    """Sparse columns and stations dropped, lags and pollutants carried forward, rows without a target dropped."""
-    kept = drop_sparse_columns(panel)
+    """Sparse columns and stations dropped, lags and pollutants carried forward, rows without a target dropped.
+
+    The panel is written once; shares, days and the result come from what was written.
+    """
+    kept = drop_sparse_columns(written(panel, "panel"))
     return carry_forward(kept.join(covered_stations(kept), "station_id", "left_semi")).where("pm10 is not null")
 
 
@@ -127,5 +131,5 @@ def impute(rows: DataFrame, medians: dict[str, float]) -> DataFrame:
 
 def clean_and_impute(panel: DataFrame) -> DataFrame:
     """Cleaning and imputation on all rows at once: later rows leak into earlier ones; kept for comparison only."""
-    cleaned = clean(panel)
+    cleaned = written(clean(panel), "cleaned")
     return impute(cleaned, fit_medians(cleaned))

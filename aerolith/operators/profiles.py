@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEATURES = ("pm10_mean", "critical_share", "winter_ratio", "stagnation_mean", "no2_mean", "wind_mean", "altitude")
+FEATURES = ("pm10_mean", "critical_share", "winter_ratio", "stagnation_mean", "dist_industrial_km", "no2_mean", "altitude", "wind_mean")
+METADATA = ("station_name", "province", "municipality", "lat", "lng")
 
 
 def station_profiles(panel: DataFrame) -> DataFrame:
@@ -17,14 +18,16 @@ def station_profiles(panel: DataFrame) -> DataFrame:
     in_season = lambda s: F.avg(F.when(F.col("season") == s, F.col("pm10")))
     critical = F.coalesce(F.col("alert_class").isin("arancio", "rosso"), F.lit(False))
     return panel.groupBy("station_id").agg(
-        known("station_name"), known("province"), F.avg("pm10").alias("pm10_mean"), F.avg(critical.cast("double")).alias("critical_share"), (in_season("winter") / in_season("summer")).alias("winter_ratio"),
-        F.avg("stagnation_index").alias("stagnation_mean"), F.avg("no2_mean").alias("no2_mean"), F.avg("wind_speed_mean").alias("wind_mean"), known("altitude"),
+        *map(known, METADATA), F.avg("pm10").alias("pm10_mean"), F.avg(critical.cast("double")).alias("critical_share"), (in_season("winter") / in_season("summer")).alias("winter_ratio"),
+        F.avg("stagnation_index").alias("stagnation_mean"), F.avg("no2_mean").alias("no2_mean"), F.avg("wind_speed_mean").alias("wind_mean"), known("altitude"), known("dist_industrial_km"),
     )
 
 
 def impute_by_province(profiles: DataFrame, columns: Sequence[str] = ("altitude", "no2_mean")) -> DataFrame:
-    """Nulls take the median of the province, else that of all."""
+    """Nulls take the median of the province, else that of all. A ValueError if a column has no value at all."""
     overall = profiles.agg(*(F.median(c).alias(c) for c in columns)).first()
+    if empty := [c for c in columns if overall[c] is None]:
+        raise ValueError(f"no station has {', '.join(empty)}")
     by_province = Window.partitionBy("province")
     return profiles.withColumns({c: F.coalesce(c, F.median(c).over(by_province), F.lit(overall[c])) for c in columns})
 

@@ -8,7 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.operators.kernels import grouped_shift_gram
+from aerolith.operators.kernels import global_shift_gram, grouped_shift_gram, shuffled_gram
+from aerolith.sources.scratch import written
+
+#: Null models by name: shifts inside stations, shifts over all rows, and columns permuted on their own.
+NULLS = {"grouped_shift": grouped_shift_gram, "global_shift": global_shift_gram, "column_shuffle": shuffled_gram}
 
 
 def usable_features(rows: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -42,12 +46,13 @@ def spectrum(gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return values[::-1], vectors[:, ::-1]
 
 
-def diagnostic(rows: DataFrame, columns: Sequence[str], iterations: int = 100, seed: int = 0) -> dict[str, DataFrame]:
-    """eigenvalues, loadings and summary. The null spectra shift each feature inside each station."""
+def diagnostic(rows: DataFrame, columns: Sequence[str], iterations: int = 100, seed: int = 0, null: str = "grouped_shift") -> dict[str, DataFrame]:
+    """eigenvalues, loadings and summary, with null spectra of a model of NULLS."""
     spark = rows.sparkSession
     z, names = standardised(rows, usable_features(rows, columns))
+    z = written(z.select("station_id", "day", *names), "standardised")
     n, p = z.count(), len(names)
-    grams = {r[0]: np.array(r[1]).reshape(p, p) for r in grouped_shift_gram(z, names, "station_id", "day", iterations, seed).collect()}
+    grams = {r[0]: np.array(r[1]).reshape(p, p) for r in NULLS[null](z, names, "station_id", "day", iterations, seed).collect()}
     values, vectors = spectrum(grams[0], n)
     nulls = np.array([spectrum(grams[i], n)[0] for i in range(1, iterations + 1)]) if iterations else np.zeros((1, p))
     low, high = marchenko_pastur(n, p)

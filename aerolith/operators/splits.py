@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def day_index(rows: DataFrame) -> DataFrame:
-    """day, i from 1: a row a day, which is few however many rows there are."""
-    return rows.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")))
+def days_of(rows: DataFrame) -> list:
+    """All days in order: a value a day, which is few however many rows there are."""
+    return sorted(r[0] for r in rows.select("day").distinct().collect())
 
 
 def temporal_split(rows: DataFrame, train_ratio: float = 0.7) -> DataFrame:
     """rows with column split: the earliest days, whole, are train. A ValueError if a side would be empty."""
-    days = day_index(rows)
-    n = days.count()
-    n_train = int(n * train_ratio)
-    if not 0 < n_train < n:
+    days = days_of(rows)
+    n_train = int(len(days) * train_ratio)
+    if not 0 < n_train < len(days):
         raise ValueError("a side of the split is empty")
-    last = days.where(F.col("i") == n_train).first()["day"]
-    return rows.withColumn("split", F.when(F.col("day") <= F.lit(last), "train").otherwise("test"))
+    return rows.withColumn("split", F.when(F.col("day") <= F.lit(days[n_train - 1]), "train").otherwise("test"))
 
 
 def temporal_folds(rows: DataFrame, k: int = 5) -> DataFrame:
     """rows with column val_fold: the fold that validates a row, 0 for the first block; fold f trains on smaller ones."""
-    days = day_index(rows)
-    n = days.count()
-    if n < k + 1:
+    days = days_of(rows)
+    if len(days) < k + 1:
         raise ValueError(f"{k} folds need {k + 1} days")
-    size = n // (k + 1)
-    fold = F.greatest(F.lit(0), F.ceil((F.col("i") - (n - k * size)) / size)).cast("int")
-    return rows.join(F.broadcast(days.select("day", fold.alias("val_fold"))), "day")  # a row a day
+    size = len(days) // (k + 1)
+    begins = [days[len(days) - f * size] for f in range(k, 0, -1)]
+    return rows.withColumn("val_fold", sum(((F.col("day") >= F.lit(d)).cast("int") for d in begins), F.lit(0)))
 
 
 def fold_classes(folds: DataFrame, classes: int = 4, k: int = 5) -> DataFrame:

@@ -72,7 +72,8 @@ def provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations of the daily table: station_id, station_name, province, altitude (null for some)."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     key = F.col("n_nationkey").cast("long")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select(key.alias("station_id"), F.col("n_name").alias("station_name"), F.col("r_name").alias("province"), F.when(key % 7 != 3, key * 11.5).alias("altitude"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(key.alias("station_id"), F.col("n_name").alias("station_name"), F.col("r_name").alias("province"), F.when(key % 7 != 3, key * 11.5).alias("altitude"),
+                                                           F.upper("n_name").alias("municipality"), (45 + key / 100).alias("lat"), F.when(key % 8 != 1, 9 + key / 50).alias("lng"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,28 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined
 
 
+def pollutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """station_id, day, no2_mean, pm25_max of some station-days, from the order lines."""
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return li.groupBy((F.col("l_suppkey") % 25).alias("station_id"), F.to_date("l_shipdate").alias("day")).agg(F.avg("l_quantity").alias("no2_mean"), F.max("l_quantity").alias("pm25_max"))
+
+
+def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """station_id, dist_industrial_km of most stations."""
+    key = F.col("n_nationkey").cast("long")
+    return table(spark, sf_dir, "nation").where("n_nationkey % 6 <> 5").select(key.alias("station_id"), (key % 4 * 1.25).alias("dist_industrial_km"))
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel without gaps whose stations have a target on no to all days, by rule: station_id, day, pm10, no2_mean, o3_mean (sparse)."""
+    from aerolith.operators.panel import fill_days
+
+    s, turn = F.col("station_id"), (F.dayofyear("day") * 7 + F.col("station_id")) % 10
+    value = F.coalesce("pm10", F.lit(10.0) + F.dayofmonth("day"))
+    filled = fill_days(daily_target(spark, sf_dir))
+    return filled.select("station_id", "day", F.when(turn < s % 11, value).alias("pm10"), F.when((turn < 7) & (F.dayofyear("day") % 9 > s % 3), F.dayofyear("day") * 1.5).alias("no2_mean"), F.when(turn == 3, 1.0).alias("o3_mean"))
+
+
 #: The same tables in SQL.
 CTES = """
 ev AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
@@ -106,7 +129,10 @@ hourly_weather AS (SELECT l_suppkey % 25 AS station_id, l_shipdate + to_hours(CA
 daily_target AS (SELECT CAST(c_nationkey AS BIGINT) AS station_id, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) / 5000 AS pm10
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 provinces AS (SELECT CAST(n_nationkey AS BIGINT) AS station_id, n_name AS station_name, r_name AS province,
-  CASE WHEN n_nationkey % 7 <> 3 THEN n_nationkey * 11.5::DOUBLE END AS altitude FROM nation JOIN region ON n_regionkey = r_regionkey),
+  CASE WHEN n_nationkey % 7 <> 3 THEN n_nationkey * 11.5::DOUBLE END AS altitude, upper(n_name) AS municipality, 45 + n_nationkey / 100 AS lat, CASE WHEN n_nationkey % 8 <> 1 THEN 9 + n_nationkey / 50 END AS lng
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
+pollutants AS (SELECT CAST(l_suppkey % 25 AS BIGINT) AS station_id, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS no2_mean, max(l_quantity) AS pm25_max FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2),
+proximity AS (SELECT CAST(n_nationkey AS BIGINT) AS station_id, n_nationkey % 4 * 1.25::DOUBLE AS dist_industrial_km FROM nation WHERE n_nationkey % 6 <> 5),
 weights AS (SELECT o_orderkey AS row_id, CAST(c_nationkey AS BIGINT) AS station_id, CAST(o_orderdate AS DATE) AS day, o_totalprice / 5000 AS pm10,
   greatest(o_totalprice / 5000 + (o_orderkey % 41) - 20, 0.0) AS predicted,
   [CAST((o_orderkey * m) % 101 + 1 AS DOUBLE) FOR m IN [7, 13, 29, 43]] AS w FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -127,7 +153,7 @@ lagged AS (SELECT *, lag(pm10, 1) OVER w AS pm10_lag1, lag(pm10, 2) OVER w AS pm
   CASE WHEN count(pressure_mean) OVER w3 >= 3 THEN avg(pressure_mean) OVER w3 END AS pressure_roll3,
   CASE WHEN count(wind_speed_mean) OVER w3 >= 3 THEN avg(wind_speed_mean) OVER w3 END AS wind_speed_roll3,
   lag(pm10, 1) OVER w - lag(pm10, 2) OVER w AS pm10_diff,
-  CASE WHEN pressure_mean IS NOT NULL AND wind_speed_mean IS NOT NULL AND blh_min IS NOT NULL THEN CAST(pressure_mean > 1013.25 AND wind_speed_mean < 1.5 AND blh_min < 500 AS INTEGER) END AS stagnation_flag,
+  CASE WHEN pressure_mean IS NOT NULL AND wind_speed_mean IS NOT NULL AND blh_min IS NOT NULL THEN CAST(round(pressure_mean, 6) > 1013.25 AND round(wind_speed_mean, 6) < 1.5 AND round(blh_min, 6) < 500 AS INTEGER) END AS stagnation_flag,
   CASE WHEN wind_speed_mean IS NOT NULL AND blh_mean IS NOT NULL THEN 1 / (greatest(wind_speed_mean, 0.1) * greatest(blh_mean, 10) * (1 + coalesce(precip_sum, 0))) END AS stagnation_index
   FROM calendar WINDOW w AS (PARTITION BY station_id ORDER BY day),
   w7 AS (PARTITION BY station_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), w3 AS (PARTITION BY station_id ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
@@ -143,8 +169,12 @@ final AS (SELECT *, CASE WHEN escalated THEN severe_class ELSE class_by_value EN
 profile AS (SELECT m.station_id, any_value(p.station_name) AS station_name, any_value(p.province) AS province, avg(pm10) AS pm10_mean,
   avg(CASE WHEN alert_class IN ('arancio', 'rosso') THEN 1.0 ELSE 0.0 END) AS critical_share,
   avg(CASE WHEN season = 'winter' THEN pm10 END) / avg(CASE WHEN season = 'summer' THEN pm10 END) AS winter_ratio,
-  avg(stagnation_index) AS stagnation_mean, avg(radiation_mean) AS no2_mean, avg(wind_speed_mean) AS wind_mean, any_value(p.altitude) AS altitude
-  FROM modelled m JOIN provinces p ON m.station_id = p.station_id GROUP BY m.station_id)
+  avg(stagnation_index) AS stagnation_mean, avg(radiation_mean) AS no2_mean, avg(wind_speed_mean) AS wind_mean, any_value(p.altitude) AS altitude, any_value(p.municipality) AS municipality,
+  any_value(p.lat) AS lat, any_value(p.lng) AS lng, any_value(q.dist_industrial_km) AS dist_industrial_km
+  FROM modelled m JOIN provinces p ON m.station_id = p.station_id LEFT JOIN proximity q ON m.station_id = q.station_id GROUP BY m.station_id),
+dense AS (SELECT station_id, day, CASE WHEN turn < station_id % 11 THEN coalesce(pm10, 10.0 + day(day)) END AS pm10,
+  CASE WHEN turn < 7 AND dayofyear(day) % 9 > station_id % 3 THEN dayofyear(day) * 1.5::DOUBLE END AS no2_mean, CASE WHEN turn = 3 THEN 1.0 END AS o3_mean
+  FROM (SELECT *, (dayofyear(day) * 7 + station_id) % 10 AS turn FROM filled))
 """
 
 

@@ -27,11 +27,11 @@ def strategies(spark, d) -> DataFrame:
 
 _LONG = "SELECT truth, class_by_value AS p, 'value' AS strategy FROM final UNION ALL SELECT truth, class_by_model, 'model' FROM final UNION ALL SELECT truth, class_final, 'hybrid' FROM final"
 _F1 = " + ".join(f"coalesce(2 * count(*) FILTER (truth = {k} AND p = {k}) / nullif(count(*) FILTER (truth = {k}) + count(*) FILTER (p = {k}), 0), 0)" for k in range(4))
-_MACRO = f"({_F1}) / 4 AS f1_macro, count(*) FILTER (abs(truth - p) >= 2) / count(*) AS severe, coalesce(count(*) FILTER (truth = 3 AND p = 3) / nullif(count(*) FILTER (truth = 3), 0), 0) AS recall_worst"
+_MACRO = f"({_F1}) / 4 AS f1_macro, count(*) FILTER (abs(truth - p) >= 2) / count(*) AS severe, count(*) FILTER (p > truth) / count(*) AS over, coalesce(count(*) FILTER (truth = 3 AND p = 3) / nullif(count(*) FILTER (truth = 3), 0), 0) AS recall_worst"
 _STRATEGIES = f"SELECT strategy, CASE strategy WHEN 'value' THEN 1 WHEN 'model' THEN 2 ELSE 3 END AS complexity, {_MACRO} FROM ({_LONG}) GROUP BY 1"
 
 
-@query("SELECT row_id, truth, class_by_value, class_by_model, round(distance, 5) AS distance, distance <= 5 AS near, class_by_value <> class_by_model AS differ, severe_class, round(proba[severe_class + 1], 5) AS severe_probability, escalated, class_final, CASE WHEN escalated THEN 'hybrid_override' WHEN class_by_value = class_by_model THEN 'hybrid_agreement' WHEN distance <= 5 THEN 'hybrid_no_override' ELSE 'regression' END AS source FROM final")
+@query("SELECT row_id, truth, class_by_value, class_by_model, round(distance, 5) AS distance, distance <= 5 AS near, class_by_value <> class_by_model AS differ, severe_class, round(proba[severe_class + 1], 5) AS severe_probability, distance <= 5 AND class_by_value <> class_by_model AND proba[severe_class + 1] >= 0.35 AS prudential, escalated, class_final, CASE WHEN distance > 5 THEN 'regression' WHEN class_by_value = class_by_model THEN 'hybrid_agreement' WHEN proba[severe_class + 1] >= 0.35 THEN 'hybrid_override' ELSE 'hybrid_no_override' END AS source FROM final")
 def decide_hybrid(spark, d):
     return rounded(judged(spark, d).drop("station_id", "day", "pm10", "predicted", "proba"))
 
@@ -126,7 +126,7 @@ def metric_worst_class(spark, d):
     return rounded(metrics.regression(judged(spark, d).where("truth = 3")).select("rmse"))
 
 
-@query(f"SELECT strategy, complexity, round(f1_macro, 5) AS f1_macro, round(severe, 5) AS severe, round(recall_worst, 5) AS recall_worst FROM ({_STRATEGIES})")
+@query(f"SELECT strategy, complexity, round(f1_macro, 5) AS f1_macro, round(severe, 5) AS severe, round(over, 5) AS over, round(recall_worst, 5) AS recall_worst FROM ({_STRATEGIES})")
 def select_metrics(spark, d):
     return rounded(strategies(spark, d))
 
@@ -134,9 +134,11 @@ def select_metrics(spark, d):
 _TRIED = "SELECT truth, delta, least, CASE WHEN distance <= delta AND class_by_model > class_by_value AND proba[class_by_model + 1] >= least THEN class_by_model ELSE class_by_value END AS p FROM judged, (SELECT unnest([3.0::DOUBLE, 5, 7]) AS delta), (SELECT unnest([0.25::DOUBLE, 0.35, 0.45]) AS least)"
 
 
-@query(f"SELECT delta, least, round(f1_macro, 5) AS f1_macro, round(severe, 5) AS severe, round(recall_worst, 5) AS recall_worst, round(f1_macro - severe - 0.25 * (1 - recall_worst), 5) AS score FROM (SELECT delta, least, {_MACRO} FROM ({_TRIED}) GROUP BY 1, 2)")
+@query(f"""SELECT delta, least, round(f1_macro, 5) AS f1_macro, round(severe, 5) AS severe, round(over, 5) AS over, round(recall_worst, 5) AS recall_worst, round(score, 5) AS score,
+ row_number() OVER (ORDER BY score DESC, f1_macro DESC, recall_worst DESC, severe, over, delta, least DESC) AS place, max(score) OVER () - min(score) OVER () < 0.005 AS is_flat
+ FROM (SELECT *, f1_macro - severe - 0.5 * (1 - recall_worst) AS score FROM (SELECT delta, least, {_MACRO} FROM ({_TRIED}) GROUP BY 1, 2))""")
 def select_tuned(spark, d):
-    return rounded(metrics.tune(judged(spark, d).select("truth", "predicted", "proba")).drop("place"))
+    return rounded(metrics.tune(judged(spark, d).select("truth", "predicted", "proba")))
 
 
 @query(f"SELECT strategy AS model, round(f1_macro, 5) AS f1_macro, place FROM (SELECT strategy, f1_macro, row_number() OVER (ORDER BY f1_macro DESC, strategy) AS place, max(f1_macro) OVER () AS best FROM ({_STRATEGIES}) WHERE strategy IN ('value', 'hybrid')) WHERE place = 1 OR (place = 2 AND best - f1_macro <= 0.005)")
@@ -144,12 +146,32 @@ def select_candidates(spark, d):
     return rounded(metrics.rank_candidates(strategies(spark, d).withColumnRenamed("strategy", "model"), ["value", "hybrid"]))
 
 
-@query(f"SELECT strategy, round(f1_macro, 5) AS f1_macro FROM ({_STRATEGIES}) WHERE severe <= 0.9 AND recall_worst >= 0.1 AND f1_macro >= (SELECT max(f1_macro) FROM ({_STRATEGIES}) WHERE severe <= 0.9 AND recall_worst >= 0.1) - 0.005 ORDER BY complexity LIMIT 1")
+def _selection(severe: float, recall: float) -> str:
+    flagged = f"SELECT *, severe <= {severe} AS c1, recall_worst >= {recall} AS c2 FROM ({_STRATEGIES})"
+    every = f"SELECT bool_or(c1) AS any1, bool_or(c2) AS any2, bool_or(c1 AND c2) AS all_ok, max(f1_macro) FILTER (c1 AND c2) AS top FROM ({flagged})"
+    return f"""SELECT all_ok AS production_ready, CASE WHEN all_ok THEN strategy END AS selected, CASE WHEN NOT all_ok THEN strategy END AS candidate, round(f1_macro, 5) AS f1_macro, round(severe, 5) AS severe,
+ round(recall_worst, 5) AS recall_worst, CASE WHEN all_ok THEN '' WHEN any1 AND any2 THEN 'both' WHEN any1 THEN 'recall' WHEN any2 THEN 'severe' ELSE 'severe,recall' END AS failed FROM ({flagged}), ({every})
+ WHERE CASE WHEN all_ok THEN c1 AND c2 AND f1_macro >= top - 0.005 WHEN any1 THEN c1 ELSE true END ORDER BY CASE WHEN all_ok THEN complexity END, f1_macro DESC, strategy LIMIT 1"""
+
+
+@query(_selection(0.025, 0.65))
 def select_strategy(spark, d):
-    return rounded(metrics.select_strategy(strategies(spark, d), 0.9, 0.1).select("strategy", "f1_macro"))
+    return rounded(metrics.select_strategy(strategies(spark, d)))
+
+
+@query(_selection(0.9, 0.1))
+def select_strategy_wide(spark, d):
+    """Limits that all strategies meet: the simplest of the tied is selected."""
+    return rounded(metrics.select_strategy(strategies(spark, d), 0.9, 0.1))
 
 
-@query(f"SELECT strategy, CASE WHEN severe > 0.025 THEN 'C1-FAIL' WHEN recall_worst < 0.65 THEN 'C2-FAIL' ELSE 'PASS' END AS tag, row_number() OVER (ORDER BY CASE WHEN strategy = 'value' THEN 1 ELSE 2 END, strategy) AS place FROM ({_STRATEGIES})")
+@query(_selection(0.3, 0.99))
+def select_strategy_recall(spark, d):
+    """A recall that none has: a candidate within the severe limit."""
+    return rounded(metrics.select_strategy(strategies(spark, d), 0.3, 0.99))
+
+
+@query(f"SELECT strategy, CASE WHEN severe > 0.025 AND recall_worst < 0.65 THEN 'C1-FAIL C2-FAIL' WHEN severe > 0.025 THEN 'C1-FAIL' WHEN recall_worst < 0.65 THEN 'C2-FAIL' ELSE 'PASS' END AS tag, row_number() OVER (ORDER BY CASE WHEN strategy = 'value' THEN 1 ELSE 2 END, strategy) AS place FROM ({_STRATEGIES})")
 def select_comparison(spark, d):
     return rounded(metrics.comparison(strategies(spark, d), ["value"]).select("strategy", "tag", "place"))
 
@@ -252,3 +274,58 @@ def serve_forecast(spark, d):
     score = lambda rows: rows.withColumns({"predicted": F.coalesce("pm10_roll3", "pm10_lag1"), "proba": flat})
     out = serve.forecast(recent.select("station_id", "day", "pm10", "pressure_mean", "wind_speed_mean", "blh_mean", "temp_mean"), weather, quality, score)
     return out.select("station_id", "day", "horizon", "predicted", "class_final", "source", F.to_json("drivers").alias("drivers"))
+
+
+@query(f"SELECT 'strategy' AS kind, arg_max(strategy, f1_macro) AS best FROM ({_STRATEGIES}) UNION ALL SELECT 'worst class', arg_max(strategy, recall_worst) FROM ({_STRATEGIES})")
+def select_best(spark, d):
+    """The best strategy by f1_macro and by the recall of the worst class."""
+    rows = strategies(spark, d)
+    best = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.max_by("strategy", c).alias("best"))
+    return rows.agg(F.array(best("strategy", "f1_macro"), best("worst class", "recall_worst")).alias("b")).select(F.inline("b"))
+
+
+_QUALITY = "SELECT p.station_id, count(DISTINCT t.day) AS valid_days, max(t.day) AS last_valid, CASE WHEN count(DISTINCT t.day) >= 6 THEN 'ok' WHEN count(DISTINCT t.day) >= 3 THEN 'partial' ELSE 'stale' END AS quality FROM provinces p LEFT JOIN daily_target t ON p.station_id = t.station_id AND t.day > (SELECT max(day) FROM daily_target) - 60 GROUP BY 1"
+_LIVE = "SELECT station_id FROM daily_target WHERE day > (SELECT max(day) FROM daily_target) - 30 GROUP BY 1 HAVING count(*) % 2 = 0"
+
+
+def recent_quality(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Quality over the last 60 days, and some stations taken as live."""
+    rows = A.daily_target(spark, d)
+    last = F.lit(rows.agg(F.max("day")).first()[0])
+    live = rows.where(F.col("day") > F.date_sub(last, 30)).groupBy("station_id").count().where("count % 2 = 0").select("station_id")
+    return serve.data_quality(A.provinces(spark, d), rows.where(F.col("day") > F.date_sub(last, 60))), live
+
+
+@query(f"SELECT p.station_id, p.station_name, p.province, p.municipality, round(p.altitude, 5) AS altitude, round(p.lat, 5) AS lat, round(p.lng, 5) AS lng, q.valid_days, q.last_valid, q.quality, l.station_id IS NOT NULL AS is_live FROM provinces p LEFT JOIN ({_QUALITY}) q ON p.station_id = q.station_id LEFT JOIN ({_LIVE}) l ON p.station_id = l.station_id WHERE p.lat IS NOT NULL AND p.lng IS NOT NULL")
+def serve_station_list(spark, d):
+    return rounded(serve.station_list(A.provinces(spark, d), *recent_quality(spark, d)))
+
+
+_LAST_CLASS = "SELECT station_id, CASE WHEN v < 20 THEN 0 WHEN v < 35 THEN 1 WHEN v < 50 THEN 2 ELSE 3 END AS k FROM (SELECT station_id, arg_max(pm10, day) AS v FROM daily_target WHERE station_id % 4 <> 2 GROUP BY 1)"
+
+
+@query(f"SELECT p.station_id, CASE k WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' WHEN 2 THEN 'orange' WHEN 3 THEN 'red' ELSE 'grey' END AS fill, CASE quality WHEN 'ok' THEN 'solid' WHEN 'partial' THEN 'dashed' ELSE 'dotted' END AS border FROM provinces p LEFT JOIN ({_QUALITY}) q ON p.station_id = q.station_id LEFT JOIN ({_LAST_CLASS}) c ON p.station_id = c.station_id WHERE p.lat IS NOT NULL AND p.lng IS NOT NULL")
+def serve_map_rows(spark, d):
+    """Stations with the class of their last day as a forecast; some have none."""
+    last = A.daily_target(spark, d).where("station_id % 4 <> 2").groupBy("station_id").agg(F.max_by("pm10", "day").alias("v"))
+    forecasts = last.select("station_id", F.lit(1).alias("horizon"), C.class_of_prediction("v").alias("class_final"))
+    return serve.map_rows(serve.station_list(A.provinces(spark, d), *recent_quality(spark, d)), forecasts)
+
+
+_LAG8 = "SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY day DESC) AS k FROM daily_weather WHERE pressure_mean IS NOT NULL"
+
+
+@query(f"""SELECT station_id, day, month(day) AS month, round(temp_mean, 4) AS temp_mean, round(lag1, 4) AS temp_mean_lag1, round(lag2, 4) AS temp_mean_lag2, round(roll3, 4) AS pressure_roll3,
+ CAST(round(p, 6) > 1013.25 AND round(w, 6) < 1.5 AND round(b, 6) < 500 AS INTEGER) AS stagnation_flag FROM (
+ SELECT station_id, max(day) + 1 AS day, max(temp_mean) FILTER (k = 1) + 1 AS temp_mean, max(temp_mean) FILTER (k = 1) AS lag1, max(temp_mean) FILTER (k = 2) AS lag2,
+ CASE WHEN count(pressure_mean) FILTER (k <= 3) = 3 THEN avg(pressure_mean) FILTER (k <= 3) END AS roll3,
+ max(pressure_mean) FILTER (k = 1) AS p, max(wind_speed_mean) FILTER (k = 1) AS w, max(blh_min) FILTER (k = 1) AS b FROM ({_LAG8}) WHERE k <= 8 GROUP BY 1)""")
+def serve_future_features(spark, d):
+    """Feature rows of the day after each station's last weather day, with that day's weather one degree warmer."""
+    from aerolith.operators import daily
+
+    w = daily.daily_weather(A.hourly_weather(spark, d)).where("pressure_mean is not null")
+    last = w.groupBy("station_id").agg(F.max_by(F.struct(*(c for c in w.columns if c != "station_id")), "day").alias("m")).select("station_id", "m.*")
+    ahead = last.withColumns({"day": F.date_add("day", 1), "temp_mean": F.col("temp_mean") + 1}).select("station_id", "day", "pressure_mean", "wind_speed_mean", "blh_mean", "blh_min", "temp_mean", "precip_sum")
+    out = serve.future_features(w.withColumn("pm10", F.lit(None).cast("double")), ahead)
+    return rounded(out.select("station_id", "day", "month", "temp_mean", "temp_mean_lag1", "temp_mean_lag2", "pressure_roll3", "stagnation_flag"), 4)

@@ -10,23 +10,15 @@ from aerolith.plans import adapters as A
 from aerolith.plans.registry import query
 
 
-def rounded(df: DataFrame, places: int = 5) -> DataFrame:
-    """Double columns rounded, as sums of doubles depend on their order."""
-    return df.select(*((F.round(c, places).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c)) for c, t in df.dtypes))
+def rounded(df: DataFrame, places: int = 5, **own: int) -> DataFrame:
+    """Double columns rounded, as sums of doubles depend on their order; own gives some columns other places."""
+    return df.select(*((F.round(c, own.get(c, places)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c)) for c, t in df.dtypes))
 
 
 def parts(spark, d):
     return A.readings(spark, d), A.sensors(spark, d), A.stations(spark, d)
 
 
-def no_pollutants(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "station_id long, day date, no2_mean double")
-
-
-def no_proximity(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "station_id long, dist_industrial_km double")
-
-
 def raw_panel(spark, d) -> DataFrame:
     filled = panel.fill_days(A.daily_target(spark, d))
     weather = daily.daily_weather(A.hourly_weather(spark, d))
@@ -173,7 +165,16 @@ def panel_static_fill(spark, d):
 def panel_features(spark, d):
     p = raw_panel(spark, d)
     chosen = [c for c in p.columns if c == "pm10" or c.endswith("_mean") or "_lag" in c or "_roll" in c or c.endswith("_diff")]
-    return rounded(p.select("station_id", "day", "weekday", "month", "season", "alert_class", "stagnation_flag", *chosen), 8).join(p.select("station_id", "day", F.round("stagnation_index", 9).alias("stagnation_index")), ["station_id", "day"])
+    return rounded(p.select("station_id", "day", "weekday", "month", "season", "alert_class", "stagnation_flag", *chosen, "stagnation_index"), 8, stagnation_index=9)
+
+
+@query("""SELECT l.station_id, l.day, l.alert_class, l.stagnation_flag, round(l.pm10, 8) AS pm10, round(l.temp_mean, 8) AS temp_mean, round(l.pressure_mean, 8) AS pressure_mean, round(l.pm10_roll7, 8) AS pm10_roll7,
+ round(p.no2_mean, 8) AS no2_mean, round(p.pm25_max, 8) AS pm25_max, q.dist_industrial_km FROM lagged l LEFT JOIN pollutants p ON l.station_id = p.station_id AND l.day = p.day LEFT JOIN proximity q ON l.station_id = q.station_id""")
+def panel_build(spark, d):
+    """The whole build from targets, weather, pollutants and proximity; columns that follow from others are gone."""
+    built = panel.build(A.daily_target(spark, d), daily.daily_weather(A.hourly_weather(spark, d)), A.pollutants(spark, d), A.proximity(spark, d))
+    assert not set(panel.REDUNDANT) & set(built.columns)
+    return rounded(built.select("station_id", "day", "alert_class", "stagnation_flag", "pm10", "temp_mean", "pressure_mean", "pm10_roll7", "no2_mean", "pm25_max", "dist_industrial_km"), 8)
 
 
 @query("SELECT DISTINCT day, CASE WHEN isodow(day) >= 6 THEN 1 ELSE 0 END AS is_weekend, CASE WHEN month(day) IN (10, 11, 12, 1, 2, 3) THEN 1 ELSE 0 END AS heating_season, round(sin(2 * pi() * month(day) / 12), 5) + 0.0 AS month_sin, round(cos(2 * pi() * month(day) / 12), 5) + 0.0 AS month_cos, round(sin(2 * pi() * (isodow(day) - 1) / 7), 5) + 0.0 AS weekday_sin, round(cos(2 * pi() * (isodow(day) - 1) / 7), 5) + 0.0 AS weekday_cos FROM filled")
@@ -197,9 +198,9 @@ def clean_missing_shares(spark, d):
     return rounded(panel.missing_shares(raw_panel(spark, d).select("pm10", "temp_mean", "visibility_mean", "pm10_lag1", "pm10_roll7")), 6)
 
 
-@query("SELECT station_id FROM filled GROUP BY 1 HAVING count(pm10) = 0 OR count(pm10) >= 0.5 * (SELECT count(DISTINCT day) FROM filled)")
+@query("SELECT station_id FROM dense GROUP BY 1 HAVING count(pm10) = 0 OR count(pm10) >= 0.5 * (SELECT count(DISTINCT day) FROM dense)")
 def clean_covered_stations(spark, d):
-    return panel.covered_stations(panel.fill_days(A.daily_target(spark, d)))
+    return panel.covered_stations(A.dense(spark, d))
 
 
 @query("SELECT station_id, day, round(last_value(pm10_lag1 IGNORE NULLS) OVER w, 5) AS pm10_lag1, round(last_value(pm10_diff IGNORE NULLS) OVER w, 5) AS pm10_diff FROM lagged WINDOW w AS (PARTITION BY station_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -207,10 +208,20 @@ def clean_carry_forward(spark, d):
     return rounded(panel.carry_forward(raw_panel(spark, d).select("station_id", "day", "pm10_lag1", "pm10_diff")))
 
 
-@query("""SELECT station_id, day, round(pm10, 5) AS pm10 FROM filled WHERE pm10 IS NOT NULL AND station_id IN
- (SELECT station_id FROM filled GROUP BY 1 HAVING count(pm10) >= 0.5 * (SELECT count(DISTINCT day) FROM filled))""")
+_CLEAN = """SELECT station_id, day, round(pm10, 5) AS pm10, round(no2_mean, 5) AS no2_mean FROM (
+ SELECT station_id, day, pm10, last_value(no2_mean IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no2_mean FROM dense) WHERE pm10 IS NOT NULL AND station_id IN
+ (SELECT station_id FROM dense GROUP BY 1 HAVING count(pm10) >= 0.5 * (SELECT count(DISTINCT day) FROM dense))"""
+
+
+@query(_CLEAN)
 def clean_panel(spark, d):
-    return rounded(panel.clean(panel.fill_days(A.daily_target(spark, d))))
+    """Column o3_mean is mostly missing and goes; sparse stations go; no2_mean is carried forward."""
+    return rounded(panel.clean(A.dense(spark, d)))
+
+
+@query(f"SELECT c.station_id, c.day, c.pm10, coalesce(c.no2_mean, m) AS no2_mean FROM ({_CLEAN}) c, (SELECT round(median(no2_mean), 5) AS m FROM ({_CLEAN})) q")
+def clean_and_impute(spark, d):
+    return rounded(panel.clean_and_impute(A.dense(spark, d)))
 
 
 @query("SELECT s.station_id, s.day, round(coalesce(temp_mean, m.t), 5) AS temp_mean, round(coalesce(pm10_lag1, m.l), 5) AS pm10_lag1 FROM split s, (SELECT median(temp_mean) FILTER (split = 'train') AS t, median(pm10_lag1) FILTER (split = 'train') AS l FROM split) m WHERE split = 'test'")

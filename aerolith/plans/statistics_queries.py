@@ -15,7 +15,7 @@ NUMERIC = ("temp_mean", "humidity_mean", "pressure_mean", "wind_speed_mean", "pm
 
 
 def panel_profiles(spark, d) -> DataFrame:
-    rows = modelled(spark, d).join(A.provinces(spark, d), "station_id").withColumn("no2_mean", F.col("radiation_mean"))
+    rows = modelled(spark, d).join(A.provinces(spark, d), "station_id").join(A.proximity(spark, d), "station_id", "left").withColumn("no2_mean", F.col("radiation_mean"))
     return profiles.station_profiles(rows)
 
 
@@ -59,7 +59,10 @@ def eda_pairs(spark, d):
     return r.select("column_name", F.round("r", 4).alias("r"), "n", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 
-@query(f"SELECT column_name, r FROM ({_CORR}) ORDER BY abs(r) DESC, column_name LIMIT 3")
+_EXACT = " UNION ALL ".join(f"SELECT '{c}' AS column_name, corr(pm10, {c}) AS r FROM modelled" for c in NUMERIC)
+
+
+@query(f"SELECT column_name, round(r, 4) AS r FROM ({_EXACT}) ORDER BY round(abs(r), 9) DESC, column_name LIMIT 3")
 def eda_top_correlations(spark, d):
     return rounded(eda.top_correlations(modelled(spark, d), "pm10", NUMERIC, 3).select("column_name", "r"), 4)
 
@@ -82,7 +85,12 @@ def eda_histogram(spark, d):
     return rounded(eda.histogram(modelled(spark, d), "pm10", 50))
 
 
-@query()
+_SCOTT = "SELECT min(pm10) AS lo, max(pm10) AS hi, stddev_samp(pm10) * power(count(pm10), -0.2) AS h, count(pm10) AS n FROM daily_target"
+
+
+@query(f"""SELECT round(x, 5) AS x, round(sum(m * exp(-power((x - c) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 5) AS density FROM
+ (SELECT lo + (b + 0.5) * (hi - lo) / 1024 AS c, m, h, n, lo - 3 * h + i * (hi - lo + 6 * h) / 49 AS x FROM
+ (SELECT least(floor((pm10 - lo) / ((hi - lo) / 1024)), 1023) AS b, count(*) AS m FROM daily_target, ({_SCOTT}) GROUP BY 1), ({_SCOTT}), (SELECT unnest(generate_series(0, 49)) AS i)) GROUP BY 1""")
 def eda_density(spark, d):
     return rounded(eda.density(A.daily_target(spark, d), "pm10", 50))
 
@@ -126,15 +134,33 @@ def split_folds(spark, d):
     return rounded(splits.fold_summary(folds))
 
 
-@query("SELECT unnest(generate_series(1, 5)) AS fold, '' AS missing_train, '' AS missing_val")
+_CLASS = "CASE alert_class WHEN 'verde' THEN 0 WHEN 'giallo' THEN 1 WHEN 'arancio' THEN 2 ELSE 3 END"
+_LACK = "coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (NOT {}), '')"
+
+
+@query(f"""SELECT fold, {_LACK.format('in_train')} AS missing_train, {_LACK.format('in_val')} AS missing_val FROM (
+ SELECT fold, c, count(*) FILTER (val_fold < fold AND k = c) > 0 AS in_train, count(*) FILTER (val_fold = fold AND k = c) > 0 AS in_val FROM (SELECT unnest(generate_series(1, 5)) AS fold), (SELECT unnest(generate_series(0, 3)) AS c),
+ (SELECT val_fold, k FROM (SELECT val_fold, {_CLASS} AS k FROM ({_FOLD})) WHERE NOT (val_fold = 2 AND k = 3) AND NOT (val_fold < 2 AND k = 0)) GROUP BY 1, 2) GROUP BY 1""")
 def split_fold_classes(spark, d):
+    """Folds without class 0 in the first two blocks and without class 3 in the third."""
     folds = splits.temporal_folds(modelled(spark, d)).withColumn("class_id", C.class_id_of("alert_class"))
-    return rounded(splits.fold_classes(folds))
+    return rounded(splits.fold_classes(folds.where("not (val_fold = 2 and class_id = 3) and not (val_fold < 2 and class_id = 0)")))
 
 
-@query("SELECT station_id, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM split GROUP BY 1 HAVING min(split) = max(split)")
+@query("SELECT station_id, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM split WHERE NOT (station_id % 5 = 0 AND split = 'test') AND NOT (station_id % 7 = 1 AND split = 'train') GROUP BY 1 HAVING min(split) = max(split)")
 def split_station_differences(spark, d):
-    return splits.station_differences(splits.temporal_split(modelled(spark, d)))
+    """Some stations are taken from one side each."""
+    rows = splits.temporal_split(modelled(spark, d))
+    return splits.station_differences(rows.where("not (station_id % 5 = 0 and split = 'test') and not (station_id % 7 = 1 and split = 'train')"))
+
+
+@query("SELECT split, count(*) AS n FROM split GROUP BY 1")
+def split_signature_counts(spark, d):
+    """Rows of each side, once the signature has been found to ignore the order of rows."""
+    rows = splits.temporal_split(modelled(spark, d))
+    if splits.signature(rows, "split").first() != splits.signature(rows.repartition(7, "day"), "split").first():
+        raise ValueError("the signature depends on the order of rows")
+    return rounded(rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query()
@@ -149,10 +175,9 @@ def split_valid_targets(spark, d):
     return rounded(back.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pm10").alias("total")), 2)
 
 
-@query("SELECT station_id, station_name, province, round(pm10_mean, 4) AS pm10_mean, round(critical_share, 4) AS critical_share, round(winter_ratio, 4) AS winter_ratio, round(stagnation_mean, 7) AS stagnation_mean, round(no2_mean, 4) AS no2_mean, round(wind_mean, 4) AS wind_mean, altitude FROM profile")
+@query("SELECT station_id, station_name, province, municipality, round(lat, 4) AS lat, round(lng, 4) AS lng, dist_industrial_km, round(pm10_mean, 4) AS pm10_mean, round(critical_share, 4) AS critical_share, round(winter_ratio, 4) AS winter_ratio, round(stagnation_mean, 7) AS stagnation_mean, round(no2_mean, 4) AS no2_mean, round(wind_mean, 4) AS wind_mean, altitude FROM profile")
 def profile_stations(spark, d):
-    p = panel_profiles(spark, d)
-    return rounded(p.drop("stagnation_mean"), 4).join(p.select("station_id", F.round("stagnation_mean", 7).alias("stagnation_mean")), "station_id")
+    return rounded(panel_profiles(spark, d), 4, stagnation_mean=7)
 
 
 @query("SELECT station_id, round(coalesce(altitude, median(altitude) OVER (PARTITION BY province), (SELECT median(altitude) FROM profile)), 4) AS altitude FROM profile")
@@ -174,7 +199,12 @@ def cluster_scores(spark, d):
     return rounded(profiles.cluster_scores(vectors(spark, d)).drop("davies_bouldin"), 4)
 
 
-@query()
+_LONG = "SELECT vec_id, label, unnest(generate_series(1, 64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings"
+_CENTRES = f"SELECT label, list(c ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS c FROM ({_LONG}) GROUP BY 1, 2) GROUP BY 1"
+_SPREAD = f"SELECT c.label, any_value(c.c) AS c, avg(list_distance(CAST(e.embedding AS DOUBLE[]), c.c)) AS s FROM embeddings e JOIN ({_CENTRES}) c ON e.label = c.label GROUP BY 1"
+
+
+@query(f"SELECT round(avg(r), 5) AS davies_bouldin FROM (SELECT a.label, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM ({_SPREAD}) a JOIN ({_SPREAD}) b ON a.label <> b.label GROUP BY 1)")
 def cluster_davies_bouldin(spark, d):
     return rounded(profiles.cluster_scores(vectors(spark, d)).select("davies_bouldin"))
 

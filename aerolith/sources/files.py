@@ -92,10 +92,6 @@ def heal_window(rows: DataFrame, today: Column, first: int = 21, last: int = 15)
     return rows.where(F.col("day").between(F.date_sub(today, first), F.date_sub(today, last)))
 
 
-def day_spine(spark: SparkSession, first: str, last: str) -> DataFrame:
-    return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
-
-
 def work_list(spine: DataFrame, *manifests: DataFrame, tail: int = 3) -> DataFrame:
     """Days of the spine that a manifest (day) lacks, and always the last `tail` days."""
     done = spine

@@ -34,22 +34,28 @@ def sliding(stream: DataFrame, span: str = "7 days", slide: str = "1 day", delay
     return out.select("station_id", F.to_date("window.end").alias("until"), "value_mean")
 
 
-def rewrite_days(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merges late and revised readings: each batch rewrites only the days it touches; the newest batch wins by (sensor, ts)."""
-    from aerolith.operators.ingest import upsert
+def rewrite_days(stream: DataFrame, path: str, checkpoint: str, arrival: str | None = None) -> StreamingQuery:
+    """Merges late and revised readings: each batch rewrites only the days it touches; the newest batch wins by (sensor, ts).
+
+    Inside a batch the row of the largest arrival wins; without such a column, that of the largest value.
+    """
+    from aerolith.operators.ingest import first_wins, upsert
     from aerolith.sources.files import overwrite_days
+    from aerolith.sources.scratch import discard
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["sensor_id", "ts"]).withColumn("day", F.to_date("ts"))
+        fresh = first_wins(batch, ["sensor_id", "ts"], [F.desc(arrival or "value")]).withColumn("day", F.to_date("ts"))
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
             old = spark.read.parquet(path).join(fresh.select("day").distinct(), "day", "left_semi")
             fresh = upsert(old.select(fresh.columns), fresh, ["sensor_id", "ts"])
             staged = f"{checkpoint}/staged-{number}"
             fresh.write.mode("overwrite").parquet(staged)  # the rows read must not come from the folders that are replaced
-            fresh = spark.read.parquet(staged)
-        overwrite_days(fresh, path)
+            overwrite_days(spark.read.parquet(staged), path)
+            discard(spark, staged)
+        else:
+            overwrite_days(fresh, path)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
 
@@ -57,6 +63,8 @@ def rewrite_days(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 def upsert_by_priority(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Validated readings replace provisional ones of the same sensor and time, never the other way round."""
     from aerolith.operators.ingest import first_wins
+    from aerolith.sources.files import overwrite_days
+    from aerolith.sources.scratch import discard
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -65,12 +73,11 @@ def upsert_by_priority(stream: DataFrame, path: str, checkpoint: str) -> Streami
         if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
             old = spark.read.parquet(path).join(both.select("day").distinct(), "day", "left_semi").withColumn("_run", F.lit(0))
             both = both.unionByName(old)
-        best = first_wins(both, ["sensor_id", "ts"], [(F.col("status") != "VA").cast("int"), F.desc("_run")]).drop("_run")
+        best = first_wins(both, ["sensor_id", "ts"], [(F.col("status") != "VA").cast("int"), F.desc("_run"), F.desc("value")]).drop("_run")
         staged = f"{checkpoint}/staged-{number}"
         best.write.mode("overwrite").parquet(staged)
-        from aerolith.sources.files import overwrite_days
-
         overwrite_days(spark.read.parquet(staged), path)
+        discard(spark, staged)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
 

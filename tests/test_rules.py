@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
-from aerolith.operators import cluster, ingest, models, panel, profiles, serve, spatial, spectral, splits
+from aerolith.operators import cluster, ingest, kernels, metrics, models, panel, profiles, serve, spatial, spectral, splits
 from aerolith.plans import adapters as A
 from aerolith.plans import model_queries, registry
 from aerolith.sources import files
@@ -31,23 +31,70 @@ def test_hybrid_rule(spark):
     assert [r.escalated for r in out] == [True, False, False, False]
 
 
+def test_hybrid_sources(spark):
+    """Outside the zone the regression speaks even if both agree; inside it a sure severe class overrides, be it the regression's own."""
+    cases = [
+        (10.0, [0.9, 0.05, 0.03, 0.02], "regression", 0), (10.0, [0.1, 0.8, 0.05, 0.05], "regression", 0), (19.0, [0.9, 0.05, 0.03, 0.02], "hybrid_agreement", 0),
+        (19.0, [0.2, 0.7, 0.05, 0.05], "hybrid_override", 1), (19.0, [0.4, 0.1, 0.1, 0.4], "hybrid_agreement", 0), (21.0, [0.55, 0.4, 0.03, 0.02], "hybrid_override", 1),
+        (21.0, [0.8, 0.1, 0.05, 0.05], "hybrid_no_override", 1), (19.0, [0.3, 0.33, 0.2, 0.17], "hybrid_no_override", 0),
+    ]
+    rows = spark.createDataFrame([(i, v, p) for i, (v, p, _, _) in enumerate(cases)], "i int, v double, p array<double>")
+    d = C.hybrid_decision("v", "p", 3.0, 0.35)
+    got = {r.i: r for r in rows.select("i", d["source"].alias("source"), d["class_final"].alias("final"), d["prudential"].alias("prudential"), d["escalated"].alias("escalated")).collect()}
+    assert [(got[i].source, got[i].final) for i in range(len(cases))] == [c[2:] for c in cases]
+    assert [i for i in got if got[i].prudential] == [3, 5] and [i for i in got if got[i].escalated] == [3]
+
+
+def strategy_rows(spark, rows):
+    return spark.createDataFrame(rows, "strategy string, complexity int, f1_macro double, severe double, recall_worst double")
+
+
+def test_selection(spark):
+    one = lambda rows: metrics.select_strategy(strategy_rows(spark, rows)).first()
+    good = one([("c", 3, 0.700, 0.01, 0.7), ("a", 1, 0.696, 0.02, 0.9), ("b", 2, 0.99, 0.03, 0.9), ("d", 0, 0.60, 0.0, 0.8)])
+    assert (good.production_ready, good.selected, good.candidate, good.failed) == (True, "a", None, "")
+    within = one([("a", 1, 0.5, 0.01, 0.2), ("b", 2, 0.6, 0.02, 0.1), ("c", 3, 0.9, 0.2, 0.9)])
+    assert (within.production_ready, within.selected, within.candidate, within.failed) == (False, None, "b", "both")
+    none = one([("a", 1, 0.5, 0.1, 0.2), ("b", 2, 0.6, 0.2, 0.1), ("c", 0, None, 0.0, 1.0)])
+    assert (none.candidate, none.failed) == ("b", "severe,recall")
+    assert one([("a", 1, 0.5, 0.01, 0.2), ("b", 2, 0.6, 0.2, None)]).failed == "recall"
+
+
+def test_comparison(spark):
+    rows = strategy_rows(spark, [("z", 1, 0.5, 0.01, 0.8), ("a", 1, 0.5, 0.5, 0.1), ("m", 1, 0.5, 0.0, None), ("b", 1, 0.5, None, 0.9)])
+    got = sorted((r.place, r.strategy, r.tag) for r in metrics.comparison(rows, ["m", "z"]).collect())
+    assert got == [(1, "m", "C2-FAIL"), (2, "z", "PASS"), (3, "a", "C1-FAIL C2-FAIL"), (4, "b", "C1-FAIL")]
+
+
+def test_tuning_goes_by_recall_before_severe_errors(spark):
+    rows = spark.createDataFrame([(3, 49.0, [0.1, 0.1, 0.2, 0.6])] * 4 + [(0, 10.0, [0.9, 0.05, 0.03, 0.02])] * 4, "truth int, predicted double, proba array<double>")
+    out = {(r.delta, r.least): r for r in metrics.tune(rows).collect()}
+    assert all(r.score == pytest.approx(r.f1_macro - r.severe - 0.5 * (1 - r.recall_worst)) and r.is_flat for r in out.values())
+    assert out[3.0, 0.45].place == 1  # all alike: the smallest delta, then the largest probability
+
+
 @pytest.mark.parametrize("values, expected", [
-    ([18.0, 21.0, None, 25.0, 30.0, 28.0, 35.0, None], (35.0, 35.0, 27.857142857142858, 32.666666666666664, 0.0)),
-    ([18.0, 21.0, 24.0, 25.0, 30.0, None, None, None], (30.0, 30.0, 26.666666666666668, 30.0, 0.0)),
+    # One gap: the value before it stands in, so the last three known values are 6, 9, 9 and all eight places but the oldest count.
+    ([2.0, 4.0, 4.0, None, 8.0, 6.0, 9.0, None], (9.0, 9.0, (4 + 4 + 4 + 8 + 6 + 9 + 9) / 7, 8.0, 0.0)),
+    # A gap of three: two days are filled, the last is not; two known values of three are enough for roll3.
+    ([1.0, 3.0, 5.0, 7.0, 11.0, None, None, None], (11.0, 11.0, (3 + 5 + 7 + 11 + 11 + 11) / 6, 11.0, 0.0)),
+    ([None, None, None, None, None, None, None, 6.5], (6.5, None, None, None, None)),
 ])
 def test_lag_context(spark, values, expected):
     row = spark.createDataFrame([(values,)], "a array<double>").select(*(v.alias(k) for k, v in serve.pm10_context(F.col("a")).items())).first()
-    assert [row.pm10_lag1, row.pm10_lag2, row.pm10_roll7, row.pm10_roll3, row.pm10_diff] == pytest.approx(list(expected))
+    got = [row.pm10_lag1, row.pm10_lag2, row.pm10_roll7, row.pm10_roll3, row.pm10_diff]
+    assert [g is None for g in got] == [e is None for e in expected]
+    assert [g for g in got if g is not None] == pytest.approx([e for e in expected if e is not None])
 
 
 def test_positional_lags_with_missing_last(spark):
-    row = spark.createDataFrame([([1013.0, 1015.0, None],)], "a array<double>").select(*(v.alias(k) for k, v in serve.positional(F.col("a")).items())).first()
-    assert (row.lag1, row.lag2, row.roll3) == (None, 1015.0, None)
+    row = spark.createDataFrame([([3.0, 8.0, None],)], "a array<double>").select(*(v.alias(k) for k, v in serve.positional(F.col("a")).items())).first()
+    assert (row.lag1, row.lag2, row.roll3) == (None, 8.0, None)
 
 
 def test_sanitise_keeps_rows(spark):
-    rows = spark.createDataFrame([("6918", "35.5", "VA"), ("6918", "-9999", "VA"), ("6919", "12", "NV"), ("6919", "0", "VA"), ("6919", "x", "VA"), ("6919", None, "VA")], "sensor_id string, value string, status string")
-    assert [r.value for r in ingest.sanitised(rows).collect()] == [35.5, None, None, None, None, None]
+    rows = spark.createDataFrame([("a", "7.25", "VA"), ("a", "-999", "VA"), ("b", "3", "NV"), ("b", "-0", "VA"), ("b", "1,5", "VA"), ("b", None, "VA")], "sensor_id string, value string, status string")
+    assert [r.value for r in ingest.sanitised(rows).collect()] == [7.25, None, None, None, None, None]
 
 
 def test_empty_allow_list(spark):
@@ -69,15 +116,19 @@ def test_gap_fill_lags_and_no_look_ahead(spark):
     assert all(changed[k].pm10_lag1 == out[k].pm10_lag1 and changed[k].pm10_roll7 == out[k].pm10_roll7 for k in out if k[1] <= day(6))
 
 
+def test_imputable_names():
+    assert panel.imputable(["station_id", "altitude", "blh_mean", "co_mean", "season", "x_lag1", "pressure_roll3", "month_sin"]) == ["blh_mean", "co_mean", "x_lag1", "pressure_roll3"]
+
+
 def test_column_half_missing_is_kept(spark):
     rows = spark.createDataFrame([(1, 1.0, None), (2, None, None)], "k long, a double, b double")
     assert panel.drop_sparse_columns(rows, keep=("k",)).columns == ["k", "a"]
 
 
 def test_medians_come_from_train(spark):
-    train, test = (spark.createDataFrame([(v,) for v in x], "temp_mean double") for x in ([10.0, 20.0, None, 40.0, 50.0], [1000.0, None, 3000.0]))
+    train, test = (spark.createDataFrame([(v,) for v in x], "temp_mean double") for x in ([-4.0, None, 1.0, 2.0, 8.0], [500.0, None, 700.0]))
     medians = panel.fit_medians(train)
-    assert medians == {"temp_mean": 30.0} and [r[0] for r in panel.impute(test, medians).collect()] == [1000.0, 30.0, 3000.0]
+    assert medians == {"temp_mean": 1.5} and [r[0] for r in panel.impute(test, medians).collect()] == [500.0, 1.5, 700.0]
     assert panel.fit_medians(spark.createDataFrame([(1.0,)], "temp_mean double")) == {}
 
 
@@ -143,6 +194,29 @@ def test_shifts_keep_the_diagonal(spark):
     assert [r.null_p95 for r in again["eigenvalues"].collect()] == pytest.approx([r.null_p95 for r in out["eigenvalues"].collect()])
 
 
+def to_segments(p, lines):
+    a, b = lines[:, :2], lines[:, 2:]
+    d = b - a
+    t = np.clip(((p - a) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    return np.hypot(*(p - a - t[:, None] * d).T).min()
+
+
+def shifted_grams(z, shifts):
+    return [(w.T @ w).ravel() for w in (np.column_stack([np.roll(z[:, j], s) for j, s in enumerate(row)]) for row in shifts)]
+
+
+def test_global_shifts_and_shuffles(spark):
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(57, 3))
+    rows = spark.createDataFrame([(i // 10, day(i % 10), *map(float, z[i])) for i in range(57)], "station_id long, day date, a double, b double, c double").repartition(4)
+    got = {r.iteration: r.gram for r in kernels.global_shift_gram(rows, ["a", "b", "c"], "station_id", "day", 6, chunk=8).collect()}
+    shifts = [[kernels.shift_of(0, i, "", c, 57) if i else 0 for c in "abc"] for i in range(7)]
+    assert all(got[i] == pytest.approx(list(g)) for i, g in enumerate(shifted_grams(z, shifts))) and len(got) == 7
+    for bucket in (7, 1000):
+        mixed = {r.iteration: np.array(r.gram).reshape(3, 3) for r in kernels.shuffled_gram(rows, ["a", "b", "c"], "station_id", "day", 4, bucket=bucket).collect()}
+        assert all(np.diag(mixed[i]) == pytest.approx(np.diag(z.T @ z)) for i in mixed) and mixed[0] == pytest.approx(z.T @ z) and mixed[1] != pytest.approx(mixed[2])
+
+
 def test_zone_distance(spark):
     ring = [{"lon": 9.0 + a, "lat": 45.0 + b} for a, b in ((0, 0), (0.01, 0), (0.01, 0.01), (0, 0.01))]
     zones = spark.createDataFrame([(1, ring)], "zone_id long, ring array<struct<lon: double, lat: double>>")
@@ -151,6 +225,40 @@ def test_zone_distance(spark):
     assert out[1] == 0.0 and out[2] == pytest.approx(0.788, abs=0.005) and 3 not in out
 
 
+def test_polygons_against_all_edges(spark):
+    """Zones of very different size, one far away, one inside another: the distance to all edges, 0 by the parity of edges."""
+    rng = np.random.default_rng(3)
+    shapes = [(rng.uniform(0, 100, 2), r) for r in (0.3, 0.5, 2, 7, 20)] + [(np.array([400.0, 50]), 1), (np.array([50.0, 50]), 3), (np.array([50.0, 50]), 1)]
+    lines = []
+    for z, (c, r) in enumerate(shapes):
+        angle = np.sort(rng.uniform(0, 2 * np.pi, 7))
+        ring = c + r * np.column_stack((np.cos(angle), np.sin(angle)))
+        lines += [(z, *map(float, (*a, *b))) for a, b in zip(ring, np.roll(ring, -1, 0))]
+    places = np.vstack((rng.uniform(-20, 120, (60, 2)), [[50, 50], [50.2, 50], [1000, 1000]]))
+    edges = np.array([x[1:] for x in lines])
+
+    def expected(p):
+        cut = (edges[:, 1] > p[1]) != (edges[:, 3] > p[1])
+        right = [c and p[0] < (e[2] - e[0]) * (p[1] - e[1]) / (e[3] - e[1]) + e[0] for c, e in zip(cut, edges)]
+        odd = {x[0] for x in lines if sum(r for r, y in zip(right, lines) if y[0] == x[0]) % 2}
+        return 0.0 if odd else to_segments(p, edges)
+
+    stations = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "station_id long, x double, y double")
+    table = spark.createDataFrame(lines, "zone_id long, ax double, ay double, bx double, by double")
+    got = {r.station_id: r.distance for r in spatial.polygon_distance(stations, table, 4.0).collect()}
+    assert got == pytest.approx({i: expected(p) for i, p in enumerate(places)}, abs=1e-9) and 0 in got.values()
+    assert spatial.polygon_distance(stations, table.limit(0), 4.0).count() == 0 and spatial.polygon_distance(stations.limit(0), table, 4.0).count() == 0
+
+
+def test_nearest_of_clustered_points(spark):
+    rng = np.random.default_rng(4)
+    points = np.vstack((rng.normal(0, 0.01, (300, 2)), rng.normal(50, 3, (50, 2)), [[-300.0, 0]]))
+    places = np.vstack((rng.uniform(-60, 60, (40, 2)), [[-290.0, 3]], [[900.0, 900]]))
+    frame = lambda p, names: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], names)
+    got = {r.station_id: r.distance for r in spatial.nearest_point(frame(places, "station_id long, x double, y double"), frame(points, "k long, x double, y double"), 1.0).collect()}
+    assert got == pytest.approx({i: np.hypot(*(points - p).T).min() for i, p in enumerate(places)}, abs=1e-9)
+
+
 def test_osm_polygons(spark):
     node = "struct<lat: double, lon: double>"
     g = [{"lat": 1.0, "lon": 2.0}] * 4
@@ -196,7 +304,7 @@ def test_neighbours_of_whole_embeddings(spark, data):
     assert {len(r.x) for r in model_queries.points(spark, data).collect()} == {len(rows[0].embedding)}
     x = np.array([r.embedding for r in rows], float)
     n = (np.sqrt(((x[:, None] - x) ** 2).sum(2)) <= model_queries.EPS).sum(1) - 1
-    got = {r.id: r.n for r in registry.queries()["cluster_eps_neighbours_whole"](spark, data).collect()}
+    got = {r.id: r.n for r in registry.queries()["cluster_eps_neighbours"](spark, data).collect()}
     assert got == {r.vec_id: k for r, k in zip(rows, n.tolist()) if k}
     assert registry.queries()["cluster_dbscan"](spark, data).count() == len(rows)
     for name in ("cluster_kmeans", "cluster_ward", "cluster_pca"):
