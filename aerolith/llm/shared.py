@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.sources.scratch import fresh_path
+
 #: White space that separates words, everywhere in this package: space, tab, \n, \v, \f, \r.
 BLANKS = "\x20\x09-\x0d"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    Only where that setting is absent, as in local tests, a temporary folder is set for it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def tidy_shuffles(spark: SparkSession):
     """Jobs in this block drop their shuffle files as soon as they end."""
@@ -74,11 +57,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def doc_key(id_col: str, text_col: str) -> list[Column]:
-    """Key of a document row: k_id and k_th. Rows with one id but other texts differ in k_th; null ids are kept apart."""
+    """Key of a document row: k_id, and k_th, a 64-bit hash of the text and of whether the id is null. Rows of one key have one text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return [
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k_id"),
-        F.hash(F.col(id_col).isNull(), text).alias("k_th"),
+        F.xxhash64(F.col(id_col).isNull(), text).alias("k_th"),
     ]
 
 

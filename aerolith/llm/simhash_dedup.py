@@ -121,7 +121,7 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, segments: i
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- near duplicates by similarity: sampled fingerprints find candidates, shingle sets verify them -------------------
+# --- near duplicates by similarity: fingerprints and min-hashes find candidates, shingle sets verify them ----------------
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -220,68 +220,64 @@ def links_left(members: DataFrame, roots: DataFrame, items: DataFrame, similarit
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, sample: int = 3, segments: int = 32, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of every document: components of links whose shingle sets have at least this Jaccard similarity.
-
-    A whole text's 64-bit fingerprint moves by 5 to 14 bits at a similarity of 0.8, too far for any grid of bit counts.
-    So a document has further fingerprints, each of a few sampled shingles; texts of similarity s agree in a
-    view with a chance of about s ** sample. Candidates are texts whose whole fingerprints link (near_links), or whose
-    sampled ones fall into one cell and are equal. First each is paired with the smallest document there, and in view t also with
-    the smallest that shares view t + 1; these pairs are verified on their shingle sets and linked. Groups that are not one
-    component then are done in full (links_left): any two candidates end in one component or have been compared.
+def row_links(rows: DataFrame, shingle: int, similarity: float, views: int, sample: int, segments: int, seed: int) -> DataFrame:
+    """row_no, doc_id, keeper (the row_no that stays) and component_id of rows (row_no, doc_id, text).
+
+    Candidates come from the grid of bit counts, over whole fingerprints (near_hubs), and from min-hashing: in each of `views`
+    views a text has the hash of its `sample` first shingles in that view's order, and texts of similarity s agree
+    in one with a chance of about s ** sample. A group of texts that agree is first paired with its smallest member, and in view
+    t also with the smallest that shares view t + 1; these pairs are verified on their shingle sets and linked. Groups that are
+    not one component then are done in full (links_left): any two candidates end in one component or have been compared.
     Texts of equal words are one node.
     """
 
     def describe(batches):
         for batch in batches:
             nodes, whole, seen = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 text = text.as_py()
                 found = shingle_hashes(text, shingle, seed)
                 nodes.append(node_of(text))
                 print_ = fingerprint(text, shingle, seed)
                 whole.append(print_ - (1 << 64) if print_ >> 63 else print_)
                 seen.append(sampled_fingerprints(found, views, sample) if len(found) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(whole, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "views"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(whole, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], ["row_no", "doc_id", "node", "fp", "views"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(source.mapInArrow(describe, "doc_id long, node long, fp long, views array<long>"), "described")
-    nodes = described.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.min("views").alias("views"))
+    described = written(rows.select("row_no", "doc_id", "text").mapInArrow(describe, "row_no long, doc_id long, node long, fp long, views array<long>"), "described")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no"))  # rows with an id come before those without
+    nodes = described.groupBy("node").agg(first_row.alias("least"), F.min("fp").alias("fp"), F.min("views").alias("views"))
     nodes = written(nodes, "nodes")
-    node = F.struct("least_id", "node")
-    # The cell of a sampled fingerprint, at Manhattan distance 0, and then the fingerprint itself.
-    views_of = nodes.where("size(views) > 0").select("node", "least_id", F.posexplode("views").alias("view", "fp"), "views")
-    placed = views_of.select("node", "least_id", "view", own_cell(F.col("fp"), segments).alias("cell"), "fp", F.col("views")[F.pmod(F.col("view") + 1, F.lit(views))].alias("next"))
-    placed = written(placed, "placed")
-    pairs = None
-    for key in (["view", "cell", "fp"], ["view", "cell", "fp", "next"]):
+    node = F.struct("least", "node")
+    views_of = nodes.where("size(views) > 0").select("node", "least", F.posexplode("views").alias("view", "fp"), "views")
+    placed = written(views_of.select("node", "least", "view", "fp", F.col("views")[F.pmod(F.col("view") + 1, F.lit(views))].alias("next")), "placed")
+    pairs, done = None, []
+    for key in (["view", "fp"], ["view", "fp", "next"]):
         heads = placed.groupBy(*key).agg(F.min(node).alias("head"), F.max(node).alias("last")).where("head < last").select(*key, F.col("head.node").alias("head"))
-        found = placed.join(heads, key).where("node != head").select("view", "fp", "node", "head")
+        heads = written(heads, "heads")  # so that Spark can split a group of very many members
+        found = written(placed.join(heads, key).where("node != head").select("view", "fp", "node", "head"), "met")
+        done += [heads, found]
         if pairs is None:
-            met = found = written(found, "met")  # all but the head of each group
-        found = found.select("node", "head")
-        pairs = found if pairs is None else pairs.unionByName(found)
+            met = found  # all but the head of each group
+        pairs = found.select("node", "head") if pairs is None else pairs.unionByName(found.select("node", "head"))
     hubs = written(near_hubs(nodes.select("fp").distinct(), segments), "hubs")
     close = hubs.where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
-    first = nodes.groupBy("fp").agg(F.min(node).alias("head"))
-    same = nodes.join(first, "fp").select("fp", "node", F.col("head.node").alias("head")).where("node != head")
+    first = written(nodes.groupBy("fp").agg(F.min(node).alias("head"), F.count(F.lit(1)).alias("n")).select("fp", F.col("head.node").alias("head"), "n"), "first")
+    same = nodes.select("fp", "node").join(first.where("n > 1"), "fp").where("node != head").select("fp", "node", "head")
     around = nodes.select("fp", "node").join(hubs.select("fp", "hub"), "fp").select(F.lit(-2).alias("view"), F.col("hub").alias("fp"), "node")
     members = met.select("view", "fp", "node").unionByName(same.select(F.lit(-1).alias("view"), "fp", "node")).unionByName(around)
-    same = same.select("node", "head")
-    linked = close.join(first.withColumnRenamed("fp", "a").withColumnRenamed("head", "x"), "a").join(first.withColumnRenamed("fp", "b").withColumnRenamed("head", "y"), "b").select(F.col("x.node").alias("node"), F.col("y.node").alias("head"))
-    pairs = written(pairs.unionByName(same).unionByName(linked).select(F.greatest("node", "head").alias("node"), F.least("node", "head").alias("head")).distinct(), "pairs")
+    x, y = first.select(F.col("fp").alias("a"), F.col("head").alias("x")), first.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    linked = close.join(x, "a").join(y, "b").select(F.col("x").alias("node"), F.col("y").alias("head"))
+    pairs = written(pairs.unionByName(same.select("node", "head")).unionByName(linked).select(F.greatest("node", "head").alias("node"), F.least("node", "head").alias("head")).distinct(), "pairs")
     discard(placed)
 
     def sets(batches):
-        for batch in batches:  # rows of another text under the same id are passed over
-            rows = [(n.as_py(), t.as_py()) for n, t in zip(batch.column(0), batch.column(1)) if n.as_py() == node_of(t.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([shingle_hashes(t, shingle, seed).tobytes() for _, t in rows], pa.binary())], ["node", "items"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), shingle, seed).tobytes() for t in batch.column(1)], pa.binary())], ["node", "items"])
 
-    # One document's text for each node that has a candidate.
+    # The text of the first row of each node that has a candidate.
     asked = pairs.select("node").unionByName(pairs.select(F.col("head").alias("node"))).unionByName(around.select("node")).distinct()
-    chosen = described.join(asked, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    one = source.join(chosen.where("doc_id is not null").hint("shuffle_hash"), "doc_id").select("node", "text")
-    items = written(one.mapInArrow(sets, "node long, items binary").groupBy("node").agg(F.first("items").alias("items")), "items")
+    chosen = nodes.join(asked, "node", "left_semi").select("node", F.col("least.row_no").alias("row_no"))
+    items = written(rows.join(chosen.hint("shuffle_hash"), "row_no").select("node", "text").mapInArrow(sets, "node long, items binary"), "items")
 
     def verify(batches):
         for batch in batches:
@@ -300,8 +296,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         before = roots
         roots = written(components(before.unionByName(left.select("node", F.col("head").alias("root"))).select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")
         discard(before)
-    placed = written(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "placed")
-    names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = written(placed.join(names, "root").select("node", "component_id"), "named")
-    discard(nodes, met, hubs, pairs, items, links, left, roots, placed)
-    return described.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    grouped = written(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "grouped")
+    names = written(grouped.groupBy("root").agg(F.min("least").alias("least")), "names")
+    named = written(grouped.join(names.select("root", F.col("least.row_no").alias("keeper"), F.col("least.doc_id").alias("component_id")), "root").select("node", "keeper", "component_id"), "named")
+    discard(nodes, first, hubs, pairs, items, links, left, roots, grouped, names, *done)
+    return described.select("row_no", "doc_id", "node").join(named, "node").select("row_no", "doc_id", "keeper", "component_id")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs written with a number for each row, as its only sure name: ids may be missing or repeated."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("row")), "numbered")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, sample: int = 3, segments: int = 32, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every row: components of links whose shingle sets have at least this Jaccard similarity.
+
+    component_id is the smallest id of the component, null where none of its rows has an id.
+    """
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("row_no", "row.*")
+    return row_links(rows, shingle, similarity, views, sample, segments, seed).select("doc_id", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, sample: int = 3, segments: int = 32, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: that of the smallest id, before rows without one.
+
+    Rows are told apart by number, so rows that share an id but not a text stay, and of rows that repeat an id and text, or have no
+    id, one stays. Texts without words are alike. Columns of any name are kept as they are.
+    """
+    table = numbered(docs)
+    rows = table.select("row_no", F.col(f"row.{id_col}").cast("long").alias("doc_id"), F.col(f"row.{text_col}").alias("text"))
+    found = row_links(rows, shingle, similarity, views, sample, segments, seed)
+    goes = written(found.where("row_no != keeper").select("row_no"), "goes")
+    return table.join(goes.hint("shuffle_hash"), "row_no", "left_anti").select("row.*")

@@ -30,8 +30,8 @@ from aerolith.llm.shared import discard, written
 
 #: Odd bases of the two polynomials, modulo 2**64, and the units hashed at a time.
 BASES, CHUNK = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D), 1 << 18
-ROWS = "key long, content long, k_id long, k_th int, start int, n int"
-_ARROW = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("k_id", pa.int64()), ("k_th", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+ROWS = "key long, content long, k_id long, k_th long, start int, n int"
+_ARROW = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("k_id", pa.int64()), ("k_th", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -145,7 +145,7 @@ def extract(unit: str, window: int, gram: int, spanned: bool) -> Callable:
 def packed(parts: list[np.ndarray], names: list[tuple[int, int, int]], window: int, gram: int) -> pa.RecordBatch:
     keys, content, part, start, count = runs(parts, window, gram)
     k_id, k_th, offset = (np.array(c, np.int64)[part] for c in zip(*names))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, content, k_id, k_th.astype(np.int32), (start + offset).astype(np.int32), count.astype(np.int32))], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, content, k_id, k_th, (start + offset).astype(np.int32), count.astype(np.int32))], schema=_ARROW)
 
 
 def keys_found_twice(rows: DataFrame) -> DataFrame:
@@ -167,30 +167,39 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, grams: tuple[int,
     for gram, longer in zip(grams, [*grams[1:], None]):
         contents = found.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k_id", "k_th", "start")).alias("one"))
         contents = written(contents, "contents")
-        kinds = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-        kinds = written(contents.join(kinds, "key").where("copies > 1 or kinds > 1"), "kinds")
+        # Written, so that both sides of the join are dealt and Spark can split a key of very many contents.
+        mixed_keys = written(contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed")
+        kinds = contents.join(mixed_keys, "key", "left").select("key", "content", "copies", "one", F.coalesce("kinds", F.lit(1)).alias("kinds"))
+        kinds = written(kinds.where("copies > 1 or kinds > 1"), "kinds")
         judged = found.join(kinds, ["key", "content"]).select(
             "k_id", "k_th", "start", "n", (F.col("copies") > 1).alias("repeated"),
             ((F.col("kinds") > 1) & ((F.col("copies") == 1) | (F.col("one") == F.struct("k_id", "k_th", "start")))).alias("open"),
         )
         judged = written(judged.where("repeated or open"), "judged")
         tables_out.append(judged)
-        discard(found, contents, kinds)
+        discard(found, contents, mixed_keys, kinds)
         if longer is None:
             return tables_out
-        spans = judged.where("open").groupBy("k_id", "k_th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-        joined = docs.join(spans.hint("shuffle_hash"), ["k_id", "k_th"]).select("k_id", "k_th", "text", "spans")
+        joined = docs.join(spans_of(judged.where("open")), ["k_id", "k_th"]).select("k_id", "k_th", "text", "spans")
         found = written(joined.mapInArrow(extract(unit, window, longer, True), ROWS), "runs")
     return tables_out
 
 
+def spans_of(marks: DataFrame) -> DataFrame:
+    """k_id, k_th, spans: an array of (start, n) for each key, each span once however many rows repeat it.
+
+    A list has no more entries than its text has windows, so lists of a partition are smaller than its texts, and are hashed.
+    """
+    once = marks.select("k_id", "k_th", "start", "n").distinct()
+    return once.groupBy("k_id", "k_th").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
+
+
 def with_spans(docs: DataFrame, judged: list[DataFrame], keep: list[str]) -> DataFrame:
     """docs with column spans: array of (start, n), runs of repeated windows, null where there are none."""
     marks = judged[0].where("repeated")
     for other in judged[1:]:
         marks = marks.unionByName(other.where("repeated"))
-    spans = marks.groupBy("k_id", "k_th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return docs.join(spans.hint("shuffle_hash"), ["k_id", "k_th"], "left").select(*keep, "text", "spans")
+    return docs.join(spans_of(marks), ["k_id", "k_th"], "left").select(*keep, "text", "spans")
 
 
 def covered(n_units: int, spans, window: int) -> list[tuple[int, int]]:

@@ -140,6 +140,36 @@ def test_near_duplicates_around_a_late_original(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(1000)}
 
 
+def test_recall_of_near_duplicates(spark):
+    """All pairs of the larger table at a similarity of 0.8 or more, found through shared shingles: nearly all end in one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: frozenset(simhash_dedup.shingle_hashes(r.text, 5, 42).tolist()) for r in docs.collect()}
+    places = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            places[x].append(i)
+    shared = Counter((a, b) for at in places.values() if len(at) > 1 for n, b in enumerate(at) for a in at[:n])
+    alike = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in alike)
+    print(len(alike), found)
+    assert len(alike) > 100 and found >= 0.99 * len(alike)
+    root = roots([i for i in sets if sets[i]], alike)
+    assert all(got[i] >= root[i] for i in root), "texts that no chain of similar ones joins are apart"
+
+
+def test_copies_of_a_long_text_stay_linear(spark):
+    """Spans of repeated rows are kept once a text, not once for each pair of rows."""
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))
+    docs = spark.createDataFrame([(7, text)] * 300 + [(i, text) for i in range(100)], "doc_id long, text string").repartition(4)
+    keyed = docs.selectExpr("doc_id as k_id", "xxhash64(text) as k_th", "text")
+    judged = windows.repeated_windows(keyed, "words", 35, (9, 18, 35))
+    spans = windows.with_spans(keyed, judged, ["k_id"]).selectExpr("max(size(spans))", "min(size(spans))").first()
+    assert spans[0] == spans[1] < 2000
+    assert {r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {2000}
+
+
 def test_links_across_blocks(spark, monkeypatch):
     """A group dealt in blocks: the same components as one by one."""
     monkeypatch.setattr(simhash_dedup, "MEMBERS", 4)
