@@ -14,27 +14,28 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and the ratio, unchanged."""
+    """Documents that pass the rules and the ratio, unchanged. Null and empty texts fail; repeated rows pass or fail alike."""
     return quality.keep_good(docs, quality.fit(docs, queries.trusted(spark, sf_dir)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates, by five-word shingles and a similarity of 0.8.
+    """One row of each group of near duplicates, by five-word shingles and a similarity of 0.8: that of the smallest id, rows without one last.
 
-    Documents without an id all stay.
+    Rows that share an id but not a text are different documents; repeated rows are one group, and so are texts without words.
     """
-    groups = written(simhash_dedup.near_duplicates(docs, shingle=5, similarity=0.8), "groups")
-    goes = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(goes.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    return simhash_dedup.without_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 35 words or more that are found elsewhere too; n_chars follows."""
+    """All documents, without passages of 35 words or more that are found elsewhere too; n_chars follows. Null and short texts stay as they are."""
     return substring_dedup.without_repeats(docs, window=35)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, n_tokens, bin_id, capacity, bin_offset: each document with an end id, in sequences of permitted lengths."""
+    """doc_id, piece, n_tokens, bin_id, capacity, bin_offset: each document with an end id, in sequences of permitted lengths.
+
+    A null or empty text is its end id alone; repeated rows are placed each.
+    """
     lengths = token_files.token_lengths(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(lengths.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")), (1024, 2048, 4096))
 
