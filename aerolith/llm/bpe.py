@@ -6,8 +6,10 @@ the buffer, emits the tokens that end at least that far before its end and keeps
 however long the input is. The decoder turns token bytes into text with an incremental UTF-8 state machine that holds
 at most three pending bytes.
 
-Texts are read piece by piece (a space and what follows it up to the next space). Pieces are cached in two bounded
-generations, because natural text repeats them.
+Texts are read piece by piece (a space and what follows it up to the next space). A split of the vocabulary's pattern ends the
+stream, so short ones never reach the lookahead: they are merged many at a time, and cached in two bounded generations because
+natural text repeats them. Long ones go through the transducer. Texts of more than AT_ONCE characters are encoded, hashed and
+decoded a stretch at a time.
 
 Defined results: a null or empty text gives no ids, the hash of the empty string twice; repeated rows give repeated
 rows; an empty table gives an empty table; other columns of the input are ignored.
@@ -136,18 +138,22 @@ class Transducer:
         return [t for t in ids if t >= 0]
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Tokens of a byte stream without split points, each as soon as it is stable."""
-        held = b""
+        """Tokens of a byte stream without split points, each as soon as it is stable.
+
+        A token longer than what is read at a time makes the buffer grow until the token has ended.
+        """
+        held, size = b"", self.lookahead + BLOCK
         for chunk in chunks:
             held += chunk
-            while len(held) >= self.lookahead + BLOCK:
-                part, at = held[: self.lookahead + BLOCK], 0
+            while len(held) >= size:
+                part, at = held[:size], 0
                 for t in self.merged(part):
                     end = at + len(self.bytes_of[t])
                     if end > len(part) - self.lookahead:
                         break
                     yield t
                     at = end
+                size = self.lookahead + BLOCK if at else 2 * size
                 held = held[at:]
         yield from self.merged(held)
 
@@ -244,11 +250,65 @@ class Transducer:
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0]
 
+    def encode_parts(self, text: str, step: int = AT_ONCE) -> Iterator[list[int]]:
+        """Ids of a long text, a stretch at a time, so that neither its ids nor its splits are held whole.
+
+        Stretches end at special tokens and before spaces that a word follows; one that has no such space goes split by split through
+        the transducer, which holds no more of it than its buffer.
+        """
+        at = 0
+        for a, b in [*(m.span() for m in (self.cut.finditer(text) if self.cut else ())), (len(text), len(text))]:
+            while at < a:
+                gap = GAP.search(text, at + step, a) if a - at > step else None
+                stop = gap.start() if gap and gap.start() < a else a
+                if stop - at > 2 * step:  # no space for long: up to the last one before, or from here on
+                    back = next((i for i in range(at + step, at, -1) if text[i] == " " and not text[i + 1].isspace()), None)
+                    if back is None:
+                        yield from self.streamed(text, at, stop)
+                        at = stop
+                        continue
+                    stop = back
+                yield self.plain_many([text[at:stop]])[0]
+                at = stop
+            if b > a:
+                yield [self.special[text[a:b]]]
+                at = b
+
+    def streamed(self, text: str, at: int, stop: int, most: int = 1 << 16) -> Iterator[list[int]]:
+        """Ids of a stretch, split by split: short splits many at a time, each long one as its tokens become stable."""
+        short, ids = [], []
+
+        def flushed():
+            ids.extend(chain.from_iterable(self.merged_many(short)))
+            short.clear()
+
+        for m in self.split.finditer(text, at, stop):
+            if m.end() - m.start() <= CACHED_LEN:
+                short.append(m.group().encode())
+                if len(short) >= most:
+                    flushed()
+            else:
+                flushed()
+                for t in self.stream(text[i : min(i + BLOCK, m.end())].encode() for i in range(m.start(), m.end(), BLOCK)):
+                    ids.append(t)
+                    if len(ids) >= most:
+                        yield ids
+                        ids = []
+            if len(ids) >= most:
+                yield ids
+                ids = []
+        flushed()
+        yield ids
+
     def decode(self, ids: list[int], step: int = 1 << 16) -> Iterator[str]:
-        """Text of the ids, a stretch at a time; the state machine carries unfinished characters over."""
+        """Text of the ids, a stretch at a time."""
+        yield from self.decode_parts(ids[i : i + step] for i in range(0, len(ids), step))
+
+    def decode_parts(self, parts: Iterable[list[int]]) -> Iterator[str]:
+        """Text of ids that come in parts; the state machine carries unfinished characters over."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in range(0, len(ids), step):
-            yield state.decode(b"".join(map(self.bytes_of.__getitem__, ids[i : i + step])))
+        for ids in parts:
+            yield state.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
         yield state.decode(b"", True)
 
 
@@ -273,18 +333,32 @@ def stretches(batches, column: int = 1):
             yield batch, begin, part
 
 
+class Digest:
+    """Count and hash of ids, and hash of the text that they decode to, as ids come in."""
+
+    def __init__(self, bpe: Transducer):
+        self.bpe, self.n, self.ids, self.text = bpe, 0, hashlib.sha256(), hashlib.sha256()
+
+    def seen(self, parts: Iterable[list[int]]) -> Iterator[list[int]]:
+        for ids in parts:
+            if ids:
+                self.ids.update(("," * (self.n > 0) + ",".join(map(self.bpe.text_of.__getitem__, ids))).encode())
+                self.n += len(ids)
+                yield ids
+
+    def of(self, parts: Iterable[list[int]]) -> tuple[int, str, str]:
+        for text in self.bpe.decode_parts(self.seen(parts)):
+            self.text.update(text.encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
 def _digests(path: str):
     def run(batches):
         bpe = transducer(path)
         for batch, begin, texts in stretches(batches):
-            counts, codes, backs = [], [], []
-            for ids in bpe.encode_many(texts):
-                counts.append(len(ids))
-                codes.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
-                back = hashlib.sha256()
-                for part in bpe.decode(ids):
-                    back.update(part.encode())
-                backs.append(back.hexdigest())
+            whole = iter(bpe.encode_many([t for t in texts if len(t) <= AT_ONCE]))
+            rows = [Digest(bpe).of([next(whole)] if len(t) <= AT_ONCE else bpe.encode_parts(t)) for t in texts]
+            counts, codes, backs = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column(0)[begin : begin + len(texts)], pa.array(counts, pa.int64()), pa.array(codes, pa.string()), pa.array(backs, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

@@ -1,7 +1,7 @@
 """The registered queries of this package: each applies one operator to its whole table.
 
-None of them has an SQL twin: tokenizers, XXH64 majorities, learned models, record files and byte windows are not in
-SQL, or far too slow over whole tables; tests/llm compares each with a brute-force version.
+Three have an SQL twin. The others have none: tokenizers, packing by a plan, XXH64 majorities and learned models are not in SQL, and
+byte windows are too slow there; tests/llm compares each with a brute-force version, the library itself or an exact round trip.
 """
 
 from __future__ import annotations
@@ -67,4 +67,23 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op8_warc, op9_suffixes, op10_substrings)}
-SQL: dict[str, str] = {}
+
+_HEX = "0123456789abcdef"
+#: Base 32 of a SHA-1 in hex: every five hex digits are four characters.
+_BASE32 = f"""array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((list_sum([(strpos('{_HEX}', h[5 * (i // 4) + j + 1]) - 1) << (4 * (4 - j)) FOR j IN range(5)]) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1) FOR i IN range(32)], '')"""
+SQL: dict[str, str] = {
+    "op6_topk": """WITH v AS (SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]), true))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+ SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 5""",
+    "op8_warc": f"""SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least END AS refers_to FROM (
+ SELECT page_id, octet_length(encode(p)) AS payload_bytes, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS least, coalesce(page_id IS DISTINCT FROM min(page_id) OVER (PARTITION BY p) AND min(page_id) OVER (PARTITION BY p) IS NOT NULL, false) AS again
+ FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))""",
+    "op10_substrings": """WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+b AS (SELECT r, i, c, CASE WHEN count(*) OVER f = 35 THEN string_agg(c, ' ') OVER f END AS w FROM (SELECT r, unnest(ws) AS c, unnest(generate_series(1, len(ws))) AS i FROM d)
+ WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+twice AS (SELECT w FROM b WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+m AS (SELECT b.r, b.i, b.c, max(CASE WHEN t.w IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.r ORDER BY b.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM b LEFT JOIN twice t ON b.w = t.w),
+g AS (SELECT r, sum(gone) AS n_removed, sha256(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256 FROM m GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN g ON d.r = g.r""",
+}

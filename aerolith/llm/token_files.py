@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aerolith.llm.bpe import byte_symbols
 from aerolith.llm.shared import fresh_path, opened, written
 
 #: Fixed value of the mask.
@@ -85,6 +86,14 @@ class WordEncoder:
         self.type = np.dtype(f"<u{self.width}")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        symbols = byte_symbols()
+        names = [bytes(symbols.get(c, 0) for c in t.removesuffix("</w>")).decode("utf-8", "replace") for t in self.tokenizer.get_vocab() if t not in special]
+        mixed = any(a.isalnum() and b in string.punctuation for t in names for a, b in zip(t, t[1:]))
+        probe = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: Whether words may be parted from the punctuation at their end and lower-cased: no token goes from a letter on to punctuation,
+        #: and case makes no difference.
+        self.parts = not mixed and probe("Word") == probe("word") and probe("word,") == probe("word") + probe(",")
 
     def encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Packed ids of distinct words: of the word without the punctuation at its end, and of that punctuation.
@@ -92,7 +101,7 @@ class WordEncoder:
         A token never holds both letters and punctuation, so a split between them changes no id. ASCII words are
         taken in lower case, as the tokenizer does. Words that may hold a special token are left whole.
         """
-        parts = {w: (w, b"") if b"<|" in w else self.split(w) for w in words}
+        parts = {w: self.split(w) if self.parts and b"<|" not in w else (w, b"") for w in words}
         young, old = self.young, self.old
         need = {x for pair in parts.values() for x in pair if x}
         known = {x: young[x] if x in young else old[x] for x in need if x in young or x in old}

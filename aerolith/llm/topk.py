@@ -3,9 +3,13 @@
 Vectors get one more coordinate that brings all to one length, so that a larger inner product is a smaller distance. A
 pivot table holds each vector's distances to the pivots (as many as the parameter says, chosen by hash). For a query,
 the largest difference of its and a candidate's distances to a pivot is a lower bound of their distance, which gives an
-upper bound of their score. Candidates are evaluated in the order of that bound until the k-th best score is
-above the bound of all that are left. Queries and candidates meet in blocks of bounded size, each block
-pair in one task, and the best of the blocks are merged.
+upper bound of their score.
+
+Candidates lie in blocks: those nearest to one pivot, in rings of their distance to it, so a block's smallest and largest
+distance to each pivot bound all its members at once. A query first meets the blocks of highest bound; its k-th best score there
+is its threshold, below the final one. Then it goes to just those other blocks whose bound reaches the threshold, and candidates
+inside are evaluated in the order of their own bounds until the k-th best score is above the bound of all that are left.
+Queries meet block bounds in pages of bounded size, and blocks in groups of bounded size; no task sees all of either.
 
 Components are floor(scale * x); scores are integers and exact. Defined results: vectors that are null or hold null or
 non-finite components, and rows without an id, take no part; shorter vectors count as padded with zeros; rows that
@@ -60,33 +64,59 @@ def pivot_table(v: np.ndarray, pivots: np.ndarray, longest: float, query: bool)
     return np.sqrt(np.maximum(squares, 0))
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, q_table: np.ndarray, c_table: np.ndarray, longest: float, k: int) -> list[tuple]:
-    """(query, candidate, score) of the k best candidates of each query in one pair of blocks."""
+def upper(query_norm: np.ndarray, gaps: np.ndarray, longest: float) -> np.ndarray:
+    """Upper bound of scores from lower bounds of distances; rounding of the table never cuts a candidate off."""
+    gaps = np.maximum(gaps - 1e-5 * (np.sqrt(longest) + 1), 0)
+    return (query_norm + longest - gaps * gaps) / 2 * (1 + 1e-9) + 1e-3
+
+
+def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, q_table: np.ndarray, c_table: np.ndarray, longest: float, k: int, floors: np.ndarray) -> tuple[list[tuple], int]:
+    """(query, candidate, score) of the k best candidates of each query that reach its floor, and how many were evaluated."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, c, c_table = c_ids[order], c[order], c_table[order].astype(np.float32)
     norms = np.sqrt((q.astype(float) ** 2).sum(axis=1).max(initial=0) * (c.astype(float) ** 2).sum(axis=1).max(initial=0))
     kind = np.float32 if norms < EXACT_32 / 2 else np.float64 if norms < EXACT_64 / 2 else object
     q, c = q.astype(kind), c.astype(kind)
-    out = []
+    out, evaluated = [], 0
     for i, query in enumerate(q_ids):
         gaps = np.abs(c_table - q_table[i].astype(np.float32)).max(axis=1).astype(float)
-        gaps = np.maximum(gaps - 1e-5 * (np.sqrt(longest) + 1), 0)  # rounding of the table never cuts a candidate off
-        bound = (float((q[i].astype(float) ** 2).sum()) + longest - gaps * gaps) / 2 * (1 + 1e-9) + 1e-3
-        n = len(c_ids)
-        ranked = np.argsort(-bound, kind="stable")
+        bound = upper(float((q[i].astype(float) ** 2).sum()), gaps, longest)
+        left = np.flatnonzero(bound >= floors[i])
+        ranked = left[np.argsort(-bound[left], kind="stable")]
         at, step, scores, ids = 0, STEP, np.zeros(0, kind), np.zeros(0, np.int64)
-        while at < n and (len(ids) < k or bound[ranked[at]] >= scores[k - 1]):
+        while at < len(ranked) and (len(ids) < k or bound[ranked[at]] >= scores[k - 1]):
             take = ranked[at : at + step]
+            evaluated += len(take)
             take = take[c_ids[take] != query]
             scores, ids = np.concatenate((scores, c[take] @ q[i])), np.concatenate((ids, c_ids[take]))
             top = np.lexsort((ids, -scores))[:k]
             scores, ids = scores[top], ids[top]
             at, step = at + step, 2 * step
-        out += [(int(query), int(x), int(s)) for x, s in zip(ids, scores)]
-    return out
-
-
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 16, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        out += [(int(query), int(x), int(s)) for x, s in zip(ids, scores) if s >= floors[i]]
+    return out, evaluated
+
+
+def blocks_of(tabled: DataFrame, block: int, rings: int = 256) -> DataFrame:
+    """tabled (with cell and own distance) with column block: about `block` vectors of neighbouring rings of one cell.
+
+    Vectors are counted by cell and ring, which are few at any size; rings that hold more are split by hash.
+    """
+    widest = tabled.agg(F.max("own")).first()[0] or 1.0
+    ringed = tabled.withColumn("ring", F.least(F.floor(F.col("own") / F.lit(widest / rings)), F.lit(rings - 1)).cast("int"))
+    rows, number, plan = sorted(ringed.groupBy("cell", "ring").count().collect()), 0, []
+    held, at = 0, None
+    for cell, ring, n in rows:
+        if cell != at or held + n > block:
+            number, held, at = number + 1, 0, cell
+        parts = ceil_div(n, block)
+        plan.append((cell, ring, number, parts))
+        held, number = (held + n, number) if parts == 1 else (block, number + parts - 1)
+    spark = tabled.sparkSession
+    places = spark.createDataFrame(plan, "cell int, ring int, first int, parts int")  # a row a cell and ring
+    return ringed.join(F.broadcast(places), ["cell", "ring"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).cast("int")).drop("cell", "ring", "own", "first", "parts")
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 32, block: int = 1024, first: int = 2, page: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by `every`, the k best of all other rows."""
     spark = vectors.sparkSession
     points = vectors.select(F.col(id_col).cast("long").alias("vec_id"), components(vector_col, scale).alias("v")).where("vec_id is not null and v is not null").dropDuplicates(["vec_id", "v"])
@@ -96,27 +126,74 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, piv
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     chosen = matrix([r[0] for r in points.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivots).select("v").collect()], dim)
-    n_blocks, n_query_blocks = ceil_div(n, block), ceil_div(n_queries, block)
 
     def tables(batches):
         for batch in batches:
             v = matrix(batch.column(1), dim)
-            rows = [pivot_table(v, chosen, longest, query) for query in (False, True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(t), pa.list_(pa.float64())) for t in rows)], ["vec_id", "v", "as_candidate", "as_query"])
-
-    tabled = points.select("vec_id", "v").mapInArrow(tables, "vec_id long, v array<long>, as_candidate array<double>, as_query array<double>")
-    tabled = written(tabled, "pivots").withColumn("dealt", F.xxhash64(F.lit(1), "vec_id"))
-    every_block = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    asked = tabled.where(F.col("vec_id") % every == 0).select(F.pmod("dealt", F.lit(n_query_blocks)).cast("int").alias("qb"), every_block(n_blocks, "cb"), "vec_id", "v", F.col("as_query").alias("row"))
-    offered = tabled.select(every_block(n_query_blocks, "qb"), F.pmod("dealt", F.lit(n_blocks)).cast("int").alias("cb"), "vec_id", "v", F.col("as_candidate").alias("row"))
-
-    def meet(left, right):
-        sides = [(t["vec_id"].to_numpy(), matrix(t["v"], dim), np.array(t["row"].to_pylist(), float).reshape(-1, len(chosen))) for t in (left, right)]
-        (q_ids, q, q_table), (c_ids, c, c_table) = sides
-        rows = best(q_ids, q, c_ids, c, q_table, c_table, longest, k) if len(q_ids) and len(c_ids) else []
-        columns = list(zip(*rows)) if rows else [()] * 3
-        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
-
-    found = asked.groupBy("qb", "cb").cogroup(offered.groupBy("qb", "cb")).applyInArrow(meet, "query_id long, vec_id long, score long")
+            far = pivot_table(v, chosen, longest, False).astype(np.float32)
+            rows = [far, pivot_table(v, chosen, longest, True).astype(np.float32)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.argmin(axis=1).astype(np.int32)), pa.array(far.min(axis=1)), *(pa.array(list(t), pa.list_(pa.float32())) for t in rows)], ["vec_id", "v", "cell", "own", "as_candidate", "as_query"])
+
+    tabled = written(points.select("vec_id", "v").mapInArrow(tables, "vec_id long, v array<long>, cell int, own float, as_candidate array<float>, as_query array<float>"), "pivots")
+    placed = written(blocks_of(tabled.drop("as_query"), block), "blocks")
+    at = lambda i: F.get("as_candidate", F.lit(i))
+    bounds = placed.groupBy("block").agg(F.array(*(F.min(at(i)) for i in range(len(chosen)))).alias("low"), F.array(*(F.max(at(i)) for i in range(len(chosen)))).alias("high"))
+    bounds = written(bounds, "bounds")
+    groups, pages = ceil_div(n_queries, page), ceil_div(bounds.count(), page)
+    queries = tabled.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.col("as_query").alias("row"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(groups)).cast("int").alias("qb"))
+    every_page = F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("page")
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qb")
+    paged = bounds.select(every_group, F.pmod("block", F.lit(pages)).cast("int").alias("page"), "block", "low", "high")
+
+    def table_of(column) -> np.ndarray:
+        return np.array(column.to_pylist(), np.float32).reshape(-1, len(chosen))
+
+    def wanted(reach):
+        def meet(left, right):
+            if not left.num_rows or not right.num_rows:
+                return pa.table({"vec_id": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "bound": pa.array([], pa.float64())})
+            rows, low, high = table_of(left["row"]), table_of(right["low"]), table_of(right["high"])
+            norms = (matrix(left["v"], dim).astype(float) ** 2).sum(axis=1)
+            ids, blocks, floors = left["vec_id"].to_numpy(), right["block"].to_numpy(), left["floor"].to_numpy()
+            out = []
+            for i, row in enumerate(rows):
+                gaps = np.maximum(np.maximum(row - high, low - row).max(axis=1), 0).astype(float)
+                bound = upper(norms[i], gaps, longest)
+                at = np.lexsort((blocks, -bound))[:first] if reach else np.flatnonzero(bound >= floors[i])
+                out.append((np.full(len(at), ids[i]), blocks[at], bound[at]))
+            return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["vec_id", "block", "bound"])
+
+        return meet
+
+    def asked(rows: DataFrame, reach: bool) -> DataFrame:
+        """vec_id, block, bound of the blocks that queries (with floor) go to."""
+        sides = rows.select("vec_id", "v", "row", "floor", "qb", every_page).groupBy("qb", "page").cogroup(paged.groupBy("qb", "page"))
+        return sides.applyInArrow(wanted(reach), "vec_id long, block int, bound double")
+
+    def scored(visits: DataFrame, rows: DataFrame) -> DataFrame:
+        """query_id, vec_id, score from visits (vec_id, block) of queries (with floor)."""
+        going = written(visits.join(rows, "vec_id").select("block", "qb", "vec_id", "v", "row", "floor"), "visits")
+        met = written(going.select("block", "qb").distinct(), "met")
+        offered = placed.join(met, "block").select("block", "qb", "vec_id", "v", F.col("as_candidate").alias("row"))
+
+        def meet(left, right):
+            rows = []
+            if left.num_rows and right.num_rows:
+                (q_ids, q, q_table), (c_ids, c, c_table) = ((t["vec_id"].to_numpy(), matrix(t["v"], dim), table_of(t["row"])) for t in (left, right))
+                rows, _ = best(q_ids, q, c_ids, c, q_table, c_table, longest, k, left["floor"].to_numpy())
+            columns = list(zip(*rows)) if rows else [()] * 3
+            return pa.table([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
+
+        return going.groupBy("block", "qb").cogroup(offered.groupBy("block", "qb")).applyInArrow(meet, "query_id long, vec_id long, score long")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    start = queries.withColumn("floor", F.lit(float("-inf")))
+    by_bound = Window.partitionBy("vec_id").orderBy(F.desc("bound"), "block")
+    begun = written(asked(start, True).withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= first).select("vec_id", "block"), "begun")
+    head = written(top(scored(begun, start)), "head")
+    floors = head.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score").cast("double")).alias("least")).withColumnRenamed("query_id", "vec_id")
+    known = written(queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("least", F.lit(float("-inf")))).drop("least"), "floors")
+    others = asked(known, False).join(begun, ["vec_id", "block"], "left_anti").select("vec_id", "block")
+    found = scored(written(others, "others"), known).unionByName(head.select("query_id", "vec_id", "score"))
+    return top(found).select("query_id", "rank", "vec_id", "score")

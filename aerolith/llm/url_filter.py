@@ -2,27 +2,25 @@
 
 Rules block or allow a host with its subdomains under a path prefix; the longest that fits decides. Other URLs are
 judged by two smoothed variable-order Markov models of characters, one of accepted and one of rejected URLs: the
-probability of a character after up to four others, mixed at each order with that of the next shorter one. Rejected URLs
-are those with a seed word in the host that no rule allows, accepted those without one that no rule blocks. The mean log ratio over a URL's characters decides; the threshold is a low quantile of it over accepted URLs that
-were held out of the counts, so it is calibrated on the input.
+probability of a character after up to four others, mixed at each order with that of the next shorter one. Accepted URLs are those
+that a rule allows, rejected ones those that a rule blocks; so the models carry the rules on to URLs that no rule names. The mean
+log ratio over a URL's characters decides; the threshold is a low quantile of it over accepted URLs that were held out of the
+counts, so it is calibrated on the input.
 
 Every URL gives its five-character grams; counts are summed inside tasks before they shuffle, and each distinct URL is scored
 once. Defined results: null urls and urls without :// have an empty host and path and are judged on that; repeated
-rows are judged alike; with no accepted or no rejected URL to learn from, the method allows; an empty table gives an
+rows are judged alike; with no accepted or no rejected URL to learn from, or none held out, the method allows; an empty table gives an
 empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm.shared import written
 
-#: Words in hosts of sites that filters reject.
-SEEDS = ("adult", "bets", "casino", "pills", "porn", "spam", "xxx")
+#: Characters before the one whose probability is asked.
 ORDER = 4
 Rule = tuple[str, str]
 
@@ -51,26 +49,32 @@ def grams(text: Column) -> Column:
 
 
 def log_ratios(counts: DataFrame, weight: float, alphabet: int) -> DataFrame:
-    """gram, ratio: log(p_accepted / p_rejected) of the last character after the others, from (gram, accepted, rejected)."""
-    p = {c: F.lit(1.0 / alphabet) for c in ("accepted", "rejected")}
-    for k in range(1, ORDER + 1):
-        suffix, context = F.substring("gram", ORDER + 1 - k, k + 1), F.substring("gram", ORDER + 1 - k, k)
-        for c in p:
-            seen = F.sum(c).over(Window.partitionBy(suffix))
-            total = F.sum(c).over(Window.partitionBy(context))
-            counts = counts.withColumn(f"_{c}_{k}", (seen + weight * p[c]) / (total + weight))
-            p[c] = F.col(f"_{c}_{k}")
-    return counts.select("gram", (F.log(p["accepted"]) - F.log(p["rejected"])).alias("ratio"))
-
-
-def url_filter(pages: DataFrame, rules: list[Rule], seeds: tuple[str, ...] = SEEDS, loss: float = 0.01, held_out: int = 5, weight: float = 2.0, alphabet: int = 64, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """gram, ratio: log(p_accepted / p_rejected) of the last character after the others, from (gram, accepted, rejected).
+
+    Counts of shorter grams are summed from those of longer ones, and probabilities joined on from short to long. Tables are
+    written before they are joined, so that Spark can split a context of very many grams.
+    """
+    both = [F.sum(c).alias(c) for c in ("accepted", "rejected")]
+    levels = [counts.withColumnRenamed("gram", "suffix")]
+    for k in range(ORDER, 1, -1):
+        levels.append(written(levels[-1].groupBy(F.substring("suffix", 2, k).alias("suffix")).agg(*both), "level"))
+    shorter = None
+    for k, level in enumerate(reversed(levels), 1):  # suffixes of k + 1 characters
+        totals = level.groupBy(F.substring("suffix", 1, k).alias("context")).agg(*(F.sum(c).alias(f"all_{c}") for c in ("accepted", "rejected")))
+        joined = level.withColumns({"context": F.substring("suffix", 1, k), "lower": F.substring("suffix", 2, k)}).join(written(totals, "totals"), "context")
+        joined = joined.join(shorter, "lower") if shorter is not None else joined.withColumns({"p_accepted": F.lit(1.0 / alphabet), "p_rejected": F.lit(1.0 / alphabet)})
+        p = [((F.col(c) + weight * F.col(f"p_{c}")) / (F.col(f"all_{c}") + weight)).alias(f"p_{c}") for c in ("accepted", "rejected")]
+        shorter = written(joined.select(F.col("suffix").alias("lower"), *p), "probabilities")
+    return shorter.select(F.col("lower").alias("gram"), (F.log("p_accepted") - F.log("p_rejected")).alias("ratio"))
+
+
+def url_filter(pages: DataFrame, rules: list[Rule], loss: float = 0.01, held_out: int = 5, weight: float = 2.0, alphabet: int = 64, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score (null where a rule decides)."""
     host, path = host_and_path(F.col(url_col))
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, action = ruled(F.col("host"), F.col("path"), rules)
     parts = split.withColumn("rule", rule).withColumn("action", action)
-    seeded = reduce(lambda a, b: a | b, (F.contains("host", F.lit(s)) for s in seeds), F.lit(False))
-    texts = parts.withColumn("text", F.concat("host", "path")).withColumn("sort", F.when(seeded & ~F.col("action").eqNullSafe("allow"), "rejected").when(~seeded & ~F.col("action").eqNullSafe("block"), "accepted"))
+    texts = parts.withColumn("text", F.concat("host", "path")).withColumn("sort", F.when(F.col("action") == "block", "rejected").when(F.col("action") == "allow", "accepted"))
     key = [F.xxhash64("text").alias("k1"), F.hash("text").alias("k2")]
     urls = texts.groupBy(*key).agg(F.min("text").alias("text"), F.min("sort").alias("sort"))
     urls = written(urls.withColumn("held", (F.pmod("k1", F.lit(held_out)) == 0) & (F.col("sort") == "accepted")), "urls")

@@ -8,7 +8,10 @@ offset outside. Pointer jumping over those, from the start of each file, finds w
 number of rounds that is the logarithm of the ranges of a file; records on the chain from there are kept. A chain that
 does not end at the end of its file is an error.
 
-Defined results: a null payload is empty; a null url is an empty target; rows without an id are responses unless their payload
+A head that does not end within a megabyte, a length beyond the file or one that no blank line ends is no candidate, so that
+text inside payloads never makes a task read on; bodies are hashed as they are read.
+
+Defined results: a null payload is empty; a null url is an empty target, and one of more than half a megabyte is left out; rows without an id are responses unless their payload
 has a page with an id; rows that repeat an id and payload are each a record of the same type; an empty table writes no file;
 other columns are ignored.
 """
@@ -19,7 +22,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,8 @@ from aerolith.llm.shared import fresh_path, opened, written
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PLAIN, MEMBER = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
+#: Most bytes of a record's head, of a target in it (longer ones are left out), and bytes read at a time.
+HEAD_MOST, TARGET_MOST, PIECE = 1 << 20, 1 << 19, 1 << 16
 RECORD = "path string, block long, offset long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _FIELDS = [x.split() for x in RECORD.split(", ")]
 _SCHEMA = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in _FIELDS])
@@ -49,7 +54,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisits: int |
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d" % len(payload) + END
     block = http + (payload if revisits is None else b"")
     target = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
-    lines = [f"WARC-Type: {'response' if revisits is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    lines = [f"WARC-Type: {'response' if revisits is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", *([f"WARC-Target-URI: {target}"] if len(target) <= TARGET_MOST else []), f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if revisits is not None:
         lines += [f"WARC-Profile: {PROFILE.decode()}", f"WARC-Refers-To: {record_id(revisits)}", f"Refers-To-Page: {revisits}"]
     if page_id is not None:
@@ -62,83 +67,124 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisits: int |
     return packer.compress(data) + packer.flush()
 
 
-def parse(data: bytes) -> tuple[int, dict] | None:
-    """Length and fields of the record at the start of data; None if none starts there; IndexError if data is too short."""
-    if not data.startswith(PLAIN):
+class Stream:
+    """Bytes that come in chunks, taken up to a mark or by number; no more is held than a mark may need."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.held = iter(chunks), b""
+
+    def upto(self, mark: bytes, most: int) -> bytes | None:
+        """What stands before the mark, which is taken too; None if it does not begin within `most` bytes."""
+        searched = 0
+        while (at := self.held.find(mark, max(0, searched - len(mark)), most + len(mark))) < 0:
+            searched = len(self.held)
+            more = next(self.chunks, None) if searched < most + len(mark) else None
+            if more is None:
+                return None
+            self.held += more
+        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        return out
+
+    def feed(self, n: int, sink: Callable[[bytes], object]) -> bool:
+        """Gives the next n bytes to sink; False if there are fewer."""
+        while n:
+            if not self.held and not (more := next(self.chunks, b"")):
+                return False
+            self.held = self.held or more
+            part, self.held = self.held[:n], self.held[n:]
+            sink(part)
+            n -= len(part)
+        return True
+
+
+def parse(chunks: Iterable[bytes], room: int | None = None, sound: Callable[[int], bool] = lambda length: True) -> tuple[int, dict] | None:
+    """Length and fields of the record at the start of a byte stream; None if none starts there.
+
+    A head over HEAD_MOST bytes, a record longer than room and one whose length is not sound are none; the body is read last, and
+    never held whole.
+    """
+    stream = Stream(chunks)
+    lead = stream.upto(END, HEAD_MOST)
+    if lead is None or not lead.startswith(PLAIN):
         return None
-    stop = data.find(END)
-    if stop < 0:
-        raise IndexError
-    head = dict(x.split(": ", 1) for x in data[len(PLAIN) : stop].decode("utf-8", "replace").split("\r\n") if ": " in x)
+    head = dict(x.split(": ", 1) for x in lead[len(PLAIN) :].decode("utf-8", "replace").split("\r\n") if ": " in x)
     size = head.get("Content-Length", "")
-    if not size.isdecimal():
+    if not size.isdecimal() or len(size) > 18 or head.get("WARC-Type") not in ("response", "revisit"):
+        return None
+    length = len(lead) + 4 + int(size) + 4
+    if room is not None and length > room or not sound(length):
         return None
-    length = stop + 4 + int(size) + 4
-    if len(data) < length:
-        raise IndexError
-    block = data[stop + 4 : length - 4]
-    http, sep, payload = block.partition(END)
-    if data[length - 4 : length] != END or not sep or head.get("WARC-Type") not in ("response", "revisit"):
+    http = stream.upto(END, min(int(size), HEAD_MOST))
+    rest = int(size) - len(http or b"") - 4
+    sha, tail = hashlib.sha1(), []
+    if http is None or rest < 0 or not stream.feed(rest, sha.update) or not stream.feed(4, tail.append) or b"".join(tail) != END:
         return None
     named = head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
     number = lambda x: int(x) if x and x.lstrip("-").isdecimal() else None
     if head["WARC-Type"] == "response":
-        if digest(payload) != named:
+        if base64.b32encode(sha.digest()).decode() != named:
             return None
-        n, refers = len(payload), None
+        n, refers = rest, None
     else:
         n, refers = number(http.rpartition(b"Content-Length: ")[2].decode("ascii", "replace")), number(head.get("Refers-To-Page"))
     return length, {"page_id": number(head.get("Page-Id")), "payload_bytes": n, "payload_digest": named, "record_type": head["WARC-Type"], "refers_to": refers}
 
 
-def member(data: memoryview) -> tuple[int, bytes] | None:
-    """Length and contents of the gzip member at the start of data; IndexError if data is too short."""
-    unpack, out, at = zlib.decompressobj(31), [], 0
-    try:
-        while not unpack.eof:
-            if at >= len(data):
-                raise IndexError
-            out.append(unpack.decompress(data[at : at + (1 << 16)]))
-            at += 1 << 16
-    except zlib.error:
-        return None
-    return min(at, len(data)) - len(unpack.unused_data), b"".join(out)
+def pieces(f, at: int) -> Iterator[bytes]:
+    """The bytes of a file from a place on."""
+    while True:
+        f.seek(at)
+        data = f.read(PIECE)
+        if not data:
+            return
+        yield data
+        at += len(data)
+
+
+class Member:
+    """The contents of the gzip member at a place of a file; size is its length once all is read, None if it is damaged or cut off."""
+
+    def __init__(self, f, at: int):
+        self.f, self.at, self.size = f, at, None
+
+    def __iter__(self) -> Iterator[bytes]:
+        unpack, taken = zlib.decompressobj(31), 0
+        for data in pieces(self.f, self.at):
+            taken += len(data)
+            while data:
+                try:
+                    out = unpack.decompress(data, PIECE)
+                except zlib.error:
+                    return
+                if out:
+                    yield out
+                if unpack.eof:
+                    self.size = taken - len(unpack.unused_data)
+                    return
+                data = unpack.unconsumed_tail
 
 
 def candidates(f, size: int, start: int, stop: int, compressed: bool) -> Iterator[tuple[int, int, dict]]:
     """offset, successor's offset and fields of all that looks like a record and starts in [start, stop)."""
-    magic, extra = (MEMBER if compressed else PLAIN), 1 << 18
+    magic = MEMBER if compressed else PLAIN
+    f.seek(start)
+    data = f.read(min(size, stop + len(magic) - 1) - start)
 
-    def fetch(to: int) -> bytes:
-        f.seek(start)
-        return f.read(min(to, size) - start)
+    def ends(at: int, length: int) -> bool:
+        f.seek(at + length - 4)
+        return f.read(4) == END
 
-    data, upto = fetch(stop + extra), min(stop + extra, size)
     at = data.find(magic)
     while 0 <= at < stop - start:
-        try:
-            if compressed:
-                found = member(memoryview(data)[at:])
-                inner = parse(found[1]) if found else None
-                if inner and inner[0] == len(found[1]):
-                    yield start + at, start + at + found[0], inner[1]
-            else:
-                inner = parse(data[at:] if len(data) - at < 1 << 16 else data[at : at + (1 << 16)])
-                if inner:
-                    yield start + at, start + at + inner[0], inner[1]
-        except IndexError:
-            if not compressed and len(data) - at >= 1 << 16:  # a long record: all that was read
-                try:
-                    if inner := parse(data[at:]):
-                        yield start + at, start + at + inner[0], inner[1]
-                    at = data.find(magic, at + 1)
-                    continue
-                except IndexError:
-                    pass
-            if upto < size:
-                extra *= 4
-                data, upto = fetch(stop + extra), min(stop + extra, size)
-                continue
+        here = start + at
+        if compressed:
+            member = Member(f, here)
+            chunks = iter(member)
+            found = parse(chunks)
+            if found and next(chunks, None) is None and member.size is not None:
+                yield here, here + member.size, found[1]
+        elif found := parse(pieces(f, here), size - here, lambda length, here=here: ends(here, length)):
+            yield here, here + found[0], found[1]
         at = data.find(magic, at + 1)
 
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -44,6 +46,43 @@ def test_stream_emits_stable_tokens(monkeypatch):
         assert list(ours.stream(data[i : i + 7] for i in range(0, len(data), 7))) == theirs.encode(word, add_special_tokens=False).ids
 
 
+def test_tokens_longer_than_the_buffer(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 1)
+    ours = bpe.Transducer(BYTE)
+    monkeypatch.setattr(ours, "lookahead", 1)
+    data = b" " * 40 + b"the" + b"-" * 70
+    assert b"".join(ours.bytes_of[t] for t in ours.stream([data])) == data
+
+
+def test_long_texts_in_parts():
+    """Stretches by spaces, special tokens and splits give the ids of the whole text."""
+    theirs, rng = library(BYTE), random.Random(6)
+    ours = bpe.transducer(BYTE)
+    for n in range(60):
+        text = "".join(rng.choice([*ALPHABET, "abcé" * 30, "   ", " \n "]) for _ in range(rng.randint(0, 300)))
+        for step in (7, 50, 400):
+            assert [t for part in ours.encode_parts(text, step) for t in part] == theirs.encode(text, add_special_tokens=False).ids
+    assert [t for part in ours.encode_parts("ab cd") for t in part] == ours.encode("ab cd")
+
+
+def test_memory_of_a_text_without_spaces():
+    """20 MB without a space: far less is held than its ids as a list (about 28 bytes each) would take."""
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(bpe.__file__.rsplit('/aerolith', 1)[0])!r})
+from aerolith.llm import bpe
+b = bpe.transducer({BYTE!r})
+text = "abcdefghij" * 2_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n, ids, back = bpe.Digest(b).of(b.encode_parts(text))
+import hashlib
+assert back == hashlib.sha256(text.encode()).hexdigest() and n > 4_000_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 90
+
+
 def test_small_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHED", 3)
     ours, texts = bpe.Transducer(BYTE), random_texts(200, 3)

@@ -34,3 +34,36 @@ def test_broken_chain_and_empty_table(spark, data):
     with pytest.raises(ValueError, match="breaks off"):
         warc.read_warc(manifest.selectExpr("path", "n_bytes - 7 as n_bytes", "n_records")).count()
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
+
+
+class Counted:
+    def __init__(self, data):
+        self.data, self.at, self.read_bytes = data, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        out = self.data[self.at : self.at + n]
+        self.at += len(out)
+        self.read_bytes += len(out)
+        return out
+
+
+@pytest.mark.parametrize("lure", [b"WARC/1.1\r\nno end", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 30000000\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 999999999999\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n"])
+def test_lures_are_not_read_on(lure):
+    """Magic inside payloads, without an end or with a huge length, costs a head at most."""
+    data = warc.record(1, "u", lure + b"x" * 40_000_000, None, "d", False) + warc.record(2, "v", b"y", None, "d", False)
+    at = data.find(lure)
+    f = Counted(data)
+    assert list(warc.candidates(f, len(data), at, at + 1000, False)) == []
+    assert f.read_bytes < 3 << 20
+    first = next(warc.candidates(Counted(data), len(data), 0, 10, False))
+    assert first[2]["payload_bytes"] == len(lure) + 40_000_000 and next(warc.candidates(Counted(data), len(data), first[1], len(data), False))[2]["page_id"] == 2
+
+
+def test_long_target_and_damaged_member():
+    data = warc.record(1, "u" * (1 << 20), b"p", None, "d", True)
+    assert [r[1] for r in warc.candidates(Counted(data), len(data), 0, len(data), True)] == [len(data)]
+    assert list(warc.candidates(Counted(data[:-3]), len(data) - 3, 0, len(data) - 3, True)) == []
+    assert list(warc.candidates(Counted(data[:50] + b"!" + data[51:]), len(data), 0, len(data), True)) == []
