@@ -97,11 +97,11 @@ def near_hubs(fps: DataFrame, segments: int = 32) -> DataFrame:
     spread = fps.select("fp").repartition(n, "fp")  # a few small files would else be exploded in as few tasks
     cell = spread.select("fp", F.explode(cells(F.col("fp"), segments)).alias("cell")).repartition(n, "cell")  # one exchange for both uses
     met = cell.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("cell")
-    close = written(cell.join(met, "cell", "left_semi").select("fp").distinct(), "close")
+    close = written(cell.join(met.hint("merge"), "cell", "left_semi").select("fp").distinct(), "close")
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))
     hubs = close.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("hub"))
     least = hubs.groupBy("hub").agg(F.min("fp").alias("b"), F.max("fp").alias("other")).where("b < other").select("hub", "b")
-    return hubs.join(least, "hub")
+    return hubs.join(least.hint("merge"), "hub")
 
 
 def near_links(fps: DataFrame, segments: int = 32) -> DataFrame:
@@ -114,11 +114,11 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, seed: int = 42, segments: i
     marked = written(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = written(components(near_links(distinct.select("fp"), segments)), "roots")
-    placed = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "placed")
+    placed = written(distinct.join(roots.hint("merge"), distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "placed")
     names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = written(placed.join(names, "root").select("fp", "component_id"), "named")
+    named = written(placed.join(names.hint("merge"), "root").select("fp", "component_id"), "named")
     discard(distinct, roots, placed)
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 # --- near duplicates by similarity: fingerprints and min-hashes find candidates, shingle sets verify them ----------------

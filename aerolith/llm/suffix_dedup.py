@@ -1,15 +1,15 @@
 """Operator 9: suffix-array dedup with a logarithmic family of indexes.
 
-Documents come in batches. Each batch gets a suffix array: its sampled suffixes, in sorted order of the fingerprint of
-their first `gram` bytes. Suffixes are sampled at anchors (windows.py), of which every string of `window` bytes has one
-at a place that its own bytes fix, so any match of that length joins two sampled suffixes. A new array is scanned against every
-existing level, both in sorted order, and the fingerprints met twice are kept as candidates. Then, as long as the top
-level is as large as the new array in batches, the two are merged into one of twice the size, so that a suffix is
-rewritten a logarithmic number of times. Candidate matches are then extended to the whole window: grams of 32,
-176 and 200 bytes (for a window of 200), the last being the exact test of each window.
+Documents come in batches. Each batch gets a suffix array: the distinct first `gram` bytes of its sampled suffixes with their number,
+in byte order inside each of the parts that they are dealt to by hash. Suffixes are sampled at anchors (windows.py), of which
+every string of `window` bytes has one at a place that its own bytes fix, so any match of that length joins two sampled suffixes.
+A new array is merge-scanned against every existing level: both are sorted, and what they share are matches of `gram` bytes. Then,
+as long as the top level is as large as the new array in batches, the two are merged into one of twice the size, so that a suffix is
+rewritten a logarithmic number of times. Matches are then extended to the whole window by denser samples of the suffixes that
+have one: grams of 32, 176 and 200 bytes (for a window of 200), the last being the exact test of each window.
 
 A byte is removed if a string of `window` bytes that starts at two places or more covers it, at every place.
-Matches never cross documents. Full arrays of all suffixes take 8 to 16 times the input on disk; sampled ones a third.
+Matches never cross documents. Arrays of all suffixes, and levels that keep every place instead of one row a string, are not built.
 
 Defined results: null or empty texts have no bytes; texts under `window` bytes lose none; repeated rows repeat each
 other's strings and lose them all; an empty table gives an empty table; other columns are ignored.
@@ -89,7 +89,7 @@ def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 32, batches: in
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) or kept_sha256."""
     keyed = docs.select(*doc_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     grams = tuple(g for g in (gram, window - window // 8 + 1) if g < window) + (window,)
-    judged = windows.repeated_windows(keyed.select("k_id", "k_th", "text"), "bytes", window, grams, _by_batches(batches))
+    judged = windows.repeated_windows(keyed.select("k_id", "k_th", "text"), "bytes", window, grams, _by_batches(batches), plain=True)
     marked = windows.with_spans(keyed, judged, ["doc_id"])
     last = "kept binary" if with_bytes else "kept_sha256 string"
     return marked.mapInArrow(_kept(window, with_bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")

@@ -76,7 +76,9 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(parts: list[np.ndarray], window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """key, content, part, first window, number of windows of the runs of many stretches, hashed in one go.
+    """key, anchor, content, part, first window, number of windows of the runs of many stretches, hashed in one go.
+
+    The anchor is the place of the run's gram in the stretches put together.
 
     The stretches have at least `window` units each and less than 2 * CHUNK together.
     """
@@ -96,14 +98,14 @@ def runs(parts: list[np.ndarray], window: int, gram: int) -> tuple[np.ndarray, .
         at = (_least((hashes >> bits) << bits | places, window - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)[valid]
         first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
         count = np.diff(np.append(first, len(at)))
-        keys = hashes[at[first]]
+        anchor = at[first]
     else:
-        first, count, keys = np.arange(len(valid)), np.ones(len(valid), np.int64), hashes[valid]
+        first, count, anchor = np.arange(len(valid)), np.ones(len(valid), np.int64), valid
     np.cumsum(mixed(values) * powers[1][:n], out=sums[1:])
     begin, part = valid[first], owner[first]
     last = begin + count - 1 + window
     content = mixed((sums[last] - sums[begin]) * inverses[1][begin]) ^ count.astype(np.uint64)
-    return keys.view(np.int64), content.view(np.int64), part, begin - begins[part], count
+    return hashes[anchor].view(np.int64), anchor, content.view(np.int64), part, begin - begins[part], count
 
 
 def _stretches(n: int, window: int, spans) -> Iterator[tuple[int, int]]:
@@ -113,9 +115,12 @@ def _stretches(n: int, window: int, spans) -> Iterator[tuple[int, int]]:
             yield a, min(a + CHUNK, start + count) - 1 + window
 
 
-def extract(unit: str, window: int, gram: int, spanned: bool) -> Callable:
+def extract(unit: str, window: int, gram: int, spanned: bool, plain: bool = False) -> Callable:
+    """Rows of the runs in texts. With plain (bytes only) a key is the gram itself, not its hash."""
+
     def run(batches):
         parts: list[np.ndarray] = []
+        raw: list[np.ndarray] = []
         names: list[tuple[int, int, int]] = []
         size = 0
         for batch in batches:
@@ -131,20 +136,28 @@ def extract(unit: str, window: int, gram: int, spanned: bool) -> Callable:
                 k_id, k_th = columns[0][i].as_py(), columns[1][i].as_py()
                 for a, b in _stretches(len(units), window, spans):
                     if size + b - a >= CHUNK + window:
-                        yield packed(parts, names, window, gram)
-                        parts, names, size = [], [], 0
+                        yield packed(parts, names, window, gram, raw)
+                        parts, names, raw, size = [], [], [], 0
                     parts.append(tables()[2][units[a:b]] if unit == "bytes" else units[a:b])
                     names.append((k_id, k_th, a))
+                    if plain:
+                        raw.append(units[a:b])
                     size += b - a
         if parts:
-            yield packed(parts, names, window, gram)
+            yield packed(parts, names, window, gram, raw)
 
     return run
 
 
-def packed(parts: list[np.ndarray], names: list[tuple[int, int, int]], window: int, gram: int) -> pa.RecordBatch:
-    keys, content, part, start, count = runs(parts, window, gram)
+def packed(parts: list[np.ndarray], names: list[tuple[int, int, int]], window: int, gram: int, raw: list[np.ndarray]) -> pa.RecordBatch:
+    keys, anchor, content, part, start, count = runs(parts, window, gram)
     k_id, k_th, offset = (np.array(c, np.int64)[part] for c in zip(*names))
+    if raw:
+        grams = np.lib.stride_tricks.sliding_window_view(np.concatenate(raw), gram)[anchor]
+        ends = np.arange(0, gram * len(grams) + 1, gram, dtype=np.int32)
+        suffixes = pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(grams))])
+        rest = (content, k_id, k_th, (start + offset).astype(np.int32), count.astype(np.int32))
+        return pa.RecordBatch.from_arrays([suffixes, *map(pa.array, rest)], schema=_ARROW.set(0, pa.field("key", pa.binary())))
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, content, k_id, k_th, (start + offset).astype(np.int32), count.astype(np.int32))], schema=_ARROW)
 
 
@@ -153,15 +166,15 @@ def keys_found_twice(rows: DataFrame) -> DataFrame:
     return written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "twice")
 
 
-def repeated_windows(docs: DataFrame, unit: str, window: int, grams: tuple[int, ...], twice: Callable[[DataFrame], DataFrame] = keys_found_twice) -> list[DataFrame]:
+def repeated_windows(docs: DataFrame, unit: str, window: int, grams: tuple[int, ...], twice: Callable[[DataFrame], DataFrame] = keys_found_twice, plain: bool = False) -> list[DataFrame]:
     """Written tables (k_id, k_th, start, n, repeated, open) whose rows with repeated hold all windows found twice.
 
     docs has k_id, k_th, text. grams are the lengths from the first to the window's own. twice finds the keys of
-    the first length that occur more than once.
+    the first length that occur more than once; with plain those keys are the grams themselves.
     """
     assert grams[-1] == window
     tables_out = []
-    everything = written(docs.mapInArrow(extract(unit, window, grams[0], False), ROWS), "runs")
+    everything = written(docs.mapInArrow(extract(unit, window, grams[0], False, plain), ROWS.replace("key long", "key binary") if plain else ROWS), "runs")
     found = written(everything.join(twice(everything), "key", "left_semi"), "runs")
     discard(everything)
     for gram, longer in zip(grams, [*grams[1:], None]):
