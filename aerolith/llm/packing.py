@@ -6,7 +6,8 @@ least cost is opened (its size and overhead over the tokens that pieces of this
 to the smallest permitted size that holds its contents.
 
 Pieces of one length are alike, so the placement is worked out on the histogram of lengths, which has no more entries
-than the largest permitted length, however many documents there are; the result is that of placing piece by piece. Spark
+than the largest permitted length, however many documents there are. The result is that of placing piece by piece, but for which of
+equally full bins is taken. Spark
 counts lengths, ranks pieces within a length (in hashed buckets, so that a hot length is dealt out), and looks up
 each rank's bin in the plan.
 
@@ -109,18 +110,29 @@ def _placed(table: np.ndarray):
 
 
 def pack(lengths: DataFrame, sizes: tuple[int, ...] = (1024, 2048, 4096), overhead: int = 16, a_bucket: int = 50_000) -> DataFrame:
-    """doc_id, piece, n_tokens, bin_id, capacity, bin_offset for each piece of (doc_id, n_tokens)."""
+    """doc_id, piece, n_tokens, bin_id, capacity, bin_offset for each piece of (doc_id, n_tokens).
+
+    Rows that repeat id, piece and length are counted, ranked as one stretch, and unfolded again, many copies in several tasks.
+    """
     most = max(sizes)
     n = F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long")
     cut = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(n / most) - 1, F.lit(0))), lambda i: F.least(n - i * most, F.lit(most)))
-    pieces = written(lengths.select("doc_id", F.posexplode(cut).alias("piece", "n_tokens")), "pieces")
-    histogram = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}  # a row a length at most
+    pieces = lengths.select("doc_id", F.posexplode(cut).alias("piece", "n_tokens")).groupBy("doc_id", "piece", "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
+    pieces = written(pieces, "pieces")
+    histogram = {r[0]: r[1] for r in pieces.groupBy("n_tokens").agg(F.sum("copies")).collect()}  # a row a length at most
     table = slots(plan(histogram, sizes, overhead))
     buckets = max(8, ceil_div(sum(histogram.values()), a_bucket))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    sizes_of = dealt.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes_of = dealt.groupBy("n_tokens", "bucket").agg(F.sum("copies").alias("n"))
     before = F.sum("n").over(Window.partitionBy("n_tokens").orderBy("bucket")) - F.col("n")
     starts = written(sizes_of.select("n_tokens", "bucket", before.alias("start")), "starts")
-    nth = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece")) - 1
-    ranked = dealt.withColumn("nth", nth).join(starts, ["n_tokens", "bucket"]).select("doc_id", "piece", "n_tokens", (F.col("start") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(_placed(table), "doc_id long, piece int, n_tokens long, bin_id long, capacity long, bin_offset long")
+    within = Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece")
+    nth = F.sum("copies").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")
+    ranked = dealt.withColumn("nth", nth).join(starts, ["n_tokens", "bucket"]).select("doc_id", "piece", "n_tokens", (F.col("start") + F.col("nth")).alias("rank"), "copies")
+    ranked = written(ranked, "ranked")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few = ranked.where(F.col("copies") <= a_bucket)
+    many = ranked.where(F.col("copies") > a_bucket).withColumn("i", upto(F.ceil(F.col("copies") / a_bucket)))
+    many = many.select("doc_id", "piece", "n_tokens", (F.col("rank") + F.col("i") * a_bucket).alias("rank"), F.least(F.lit(a_bucket), F.col("copies") - F.col("i") * a_bucket).alias("copies")).repartition("rank")
+    every = few.unionByName(many).withColumn("i", upto(F.col("copies"))).select("doc_id", "piece", "n_tokens", (F.col("rank") + F.col("i")).alias("rank"))
+    return every.mapInArrow(_placed(table), "doc_id long, piece int, n_tokens long, bin_id long, capacity long, bin_offset long")
