@@ -10,7 +10,7 @@ from aerolith.functions import columns as C
 from aerolith.operators import cluster, ingest, kernels, metrics, models, panel, profiles, serve, spatial, spectral, splits
 from aerolith.plans import adapters as A
 from aerolith.plans import model_queries, registry
-from aerolith.sources import files
+from aerolith.sources import files, scratch
 
 
 def day(i):
@@ -309,3 +309,22 @@ def test_neighbours_of_whole_embeddings(spark, data):
     assert registry.queries()["cluster_dbscan"](spark, data).count() == len(rows)
     for name in ("cluster_kmeans", "cluster_ward", "cluster_pca"):
         assert registry.queries()[name](spark, data).count()
+
+
+def test_jdbc(spark):
+    """A table of an embedded database, read in parallel ranges of its key."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url, driver = "jdbc:derby:memory:readings;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(100).selectExpr("id as sensor_id", "id * 0.5D as value").write.format("jdbc").options(url=url, dbtable="readings", driver=driver).mode("overwrite").save()
+    rows = files.read_jdbc(spark, url, "readings", "SENSOR_ID", 0, 100, 4, driver=driver)
+    assert rows.rdd.getNumPartitions() == 4 and rows.agg(F.count("*"), F.sum("value")).first()[:] == (100, 2475.0)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session)
+    assert scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
