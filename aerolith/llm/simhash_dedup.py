@@ -82,24 +82,25 @@ def own_cell(fp: Column, segments: int) -> Column:
     return own
 
 
-def cells(fp: Column, segments: int) -> Column:
-    """Own cell of a fingerprint and the 2 * segments cells one step away.
+def cells(own: Column, segments: int) -> Column:
+    """A fingerprint's own cell and the 2 * segments cells one step away; plain sums, which Spark compiles.
 
     A step over a digit's end may fall on a cell of another count, which costs a false candidate at most.
     """
     steps = [0] + [s * base_of(segments) ** i for i in range(segments) for s in (1, -1)]
-    return F.transform(F.array(*(F.lit(s).cast("long") for s in steps)), lambda step: own_cell(fp, segments) + step)
+    return F.array(*(own + F.lit(s).cast("long") for s in steps))
 
 
 def near_hubs(fps: DataFrame, segments: int = 32) -> DataFrame:
     """hub, fp, b: the distinct fingerprints fp within one bit of a number hub that more than one is near to, b the least of them."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = fps.select("fp").repartition(n, "fp")  # a few small files would else be exploded in as few tasks
-    cell = spread.select("fp", F.explode(cells(F.col("fp"), segments)).alias("cell")).repartition(n, "cell")  # one exchange for both uses
+    own = spread.select("fp", own_cell(F.col("fp"), segments).alias("own"))
+    cell = own.select("fp", F.explode(cells(F.col("own"), segments)).alias("cell")).repartition(n, "cell")  # one exchange for both uses
     met = cell.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("cell")
     close = written(cell.join(met.hint("merge"), "cell", "left_semi").select("fp").distinct(), "close")
-    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))
-    hubs = close.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("hub"))
+    flips = [0, *((1 << i) - (1 << 64 if i == 63 else 0) for i in range(64))]
+    hubs = close.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in flips))).alias("hub"))
     least = hubs.groupBy("hub").agg(F.min("fp").alias("b"), F.max("fp").alias("other")).where("b < other").select("hub", "b")
     return hubs.join(least.hint("merge"), "hub")
 
@@ -259,9 +260,9 @@ def row_links(rows: DataFrame, shingle: int, similarity: float, views: int, samp
         if pairs is None:
             met = found  # all but the head of each group
         pairs = found.select("node", "head") if pairs is None else pairs.unionByName(found.select("node", "head"))
-    hubs = written(near_hubs(nodes.select("fp").distinct(), segments), "hubs")
-    close = hubs.where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     first = written(nodes.groupBy("fp").agg(F.min(node).alias("head"), F.count(F.lit(1)).alias("n")).select("fp", F.col("head.node").alias("head"), "n"), "first")
+    hubs = written(near_hubs(first.select("fp"), segments), "hubs")
+    close = hubs.where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     same = nodes.select("fp", "node").join(first.where("n > 1"), "fp").where("node != head").select("fp", "node", "head")
     around = nodes.select("fp", "node").join(hubs.select("fp", "hub"), "fp").select(F.lit(-2).alias("view"), F.col("hub").alias("fp"), "node")
     members = met.select("view", "fp", "node").unionByName(same.select(F.lit(-1).alias("view"), "fp", "node")).unionByName(around)
