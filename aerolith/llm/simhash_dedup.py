@@ -194,7 +194,7 @@ def links_left(members: DataFrame, roots: DataFrame, items: DataFrame, similarit
     )
     blocks = lambda n: F.greatest(F.ceil(n / MEMBERS), F.ceil(F.col("n_items") / ITEMS))
     undone = total.where("parts > 1").select("view", "fp", "main", blocks(F.col("n") - F.col("n_main")).alias("asking"), blocks(F.col("n")).alias("answering"))
-    undone = rows.join(undone, ["view", "fp"]).withColumn("deal", F.xxhash64("node"))
+    undone = rows.join(written(undone, "undone"), ["view", "fp"]).withColumn("deal", F.xxhash64("node"))  # written, so that Spark can split a hot group
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.col("deal"), F.col(n))
     key = ["view", "fp", "a", "b"]
