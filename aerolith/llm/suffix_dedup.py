@@ -1,7 +1,7 @@
 """Operator 9: suffix-array dedup with a logarithmic family of indexes.
 
-Documents come in batches. Each batch gets a suffix array: the distinct first `gram` bytes of its sampled suffixes with their number,
-in byte order inside each of the parts that they are dealt to by hash. Suffixes are sampled at anchors (windows.py), of which
+Documents come in batches. Each batch gets a suffix array: the fingerprints of the first `gram` bytes of its sampled suffixes (with
+`plain`, those bytes) with their number, in order inside each of the parts that they are dealt to by hash. Suffixes are sampled at anchors (windows.py), of which
 every string of `window` bytes has one at a place that its own bytes fix, so any match of that length joins two sampled suffixes.
 A new array is merge-scanned against every existing level: both are sorted, and what they share are matches of `gram` bytes. Then,
 as long as the top level is as large as the new array in batches, the two are merged into one of twice the size, so that a suffix is
@@ -85,11 +85,11 @@ def _kept(window: int, with_bytes: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 32, batches: int = 4, with_bytes: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 32, batches: int = 4, with_bytes: bool = True, plain: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) or kept_sha256."""
     keyed = docs.select(*doc_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     grams = tuple(g for g in (gram, window - window // 8 + 1) if g < window) + (window,)
-    judged = windows.repeated_windows(keyed.select("k_id", "k_th", "text"), "bytes", window, grams, _by_batches(batches), plain=True)
+    judged = windows.repeated_windows(keyed.select("k_id", "k_th", "text"), "bytes", window, grams, _by_batches(batches), plain=plain)
     marked = windows.with_spans(keyed, judged, ["doc_id"])
     last = "kept binary" if with_bytes else "kept_sha256 string"
     return marked.mapInArrow(_kept(window, with_bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
