@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_files, topk, url_filter, warc
+from aerolith.llm import bpe, conversations, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_files, topk, url_filter, warc
 from aerolith.llm.shared import read
 
 #: Fixed values of the URL query.
@@ -66,7 +66,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), window=35, with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op8_warc, op9_suffixes, op10_substrings)}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op8_warc, op9_suffixes, op10_substrings, op11_conversations)}
 
 _HEX = "0123456789abcdef"
 #: Base 32 of a SHA-1 in hex: every five hex digits are four characters.
