@@ -1,6 +1,6 @@
 """The registered queries of this package: each applies one operator to its whole table.
 
-Three have an SQL twin. The others have none: tokenizers, packing by a plan, XXH64 majorities and learned models are not in SQL, and
+Four have an SQL twin. The others have none: tokenizers, packing by a plan, XXH64 majorities and learned models are not in SQL, and
 byte windows are too slow there; tests/llm compares each with a brute-force version, the library itself or an exact round trip.
 """
 
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, conversations, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_files, topk, url_filter, warc
+from aerolith.llm import bpe, conversations, hard_negatives, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_files, topk, url_filter, warc
 from aerolith.llm.shared import read
 
 #: Fixed values of the URL query.
@@ -70,7 +70,12 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op8_warc, op9_suffixes, op10_substrings, op11_conversations)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op8_warc, op9_suffixes, op10_substrings, op11_conversations, op13_hard_negatives)}
 
 _HEX = "0123456789abcdef"
 #: Base 32 of a SHA-1 in hex: every five hex digits are four characters.
@@ -90,4 +95,11 @@ twice AS (SELECT w FROM b WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
 m AS (SELECT b.r, b.i, b.c, max(CASE WHEN t.w IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.r ORDER BY b.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM b LEFT JOIN twice t ON b.w = t.w),
 g AS (SELECT r, sum(gone) AS n_removed, sha256(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256 FROM m GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN g ON d.r = g.r""",
+    "op13_hard_negatives": """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]), true)),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same) WHERE place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+ SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score) WHERE rank <= 5""",
 }
