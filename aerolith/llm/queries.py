@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, conversations, hard_negatives, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_files, topk, url_filter, warc
+from aerolith.llm import bpe, conversations, hard_negatives, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_files, topk, toxicity, url_filter, warc
 from aerolith.llm.shared import read
 
 #: Fixed values of the URL query.
@@ -70,12 +70,18 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(read(spark, sf_dir, "conversations"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id")))
+    return toxicity.toxicity(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op8_warc, op9_suffixes, op10_substrings, op11_conversations, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_packing, op4_quality, op5_simhash, op6_topk, op7_urls, op8_warc, op9_suffixes, op10_substrings, op11_conversations, op12_toxicity, op13_hard_negatives)}
 
 _HEX = "0123456789abcdef"
 #: Base 32 of a SHA-1 in hex: every five hex digits are four characters.
