@@ -22,6 +22,7 @@ a document whose id is null is never held out and never trained on; an empty tab
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -148,14 +149,56 @@ def highest(texts: list[str], table: np.ndarray) -> np.ndarray:
     return np.concatenate(out).astype(float) if out else np.zeros(0)
 
 
+@dataclass(frozen=True)
+class Weights:
+    """One weight for each sequence; those that are not numbered have none. Sent to tasks as it is, unfolded there."""
+
+    numbers: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(dense: np.ndarray) -> Weights:
+        some = np.flatnonzero(dense)
+        return Weights(some.astype(np.int32), dense[some].astype(np.float32))
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        out = np.zeros(TABLE, np.float32)
+        out[self.numbers] = self.values
+        return out
+
+    def __reduce__(self):
+        return Weights, (self.numbers, self.values)
+
+
 @dataclass(frozen=True)
 class Landmarks:
-    """The numbered sequences of the landmarks, each landmark's normalised weights of them, and the whitening of their kernel matrix."""
+    """The weight that each landmark (column) gives to each of its sequences, of norm 1 a landmark, and the whitening of their kernel matrix."""
 
-    place: np.ndarray
-    weights: np.ndarray
+    numbers: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
     white: np.ndarray
 
+    def __reduce__(self):
+        return Landmarks, (self.numbers, self.columns, self.values, np.zeros((0, 0)))  # tasks don't whiten
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return np.unique(self.numbers)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        out = np.full(TABLE, -1, np.int32)
+        out[self.keys] = np.arange(len(self.keys))
+        return out
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        out = np.zeros((len(self.keys), int(self.columns.max()) + 1), np.float32)
+        out[self.place[self.numbers], self.columns] = self.values
+        return out
+
     def kernels(self, stretch: np.ndarray) -> np.ndarray:
         out, fresh = np.zeros(self.weights.shape[1], np.float32), None
         for numbers, weight in sequences(stretch):
@@ -166,31 +209,28 @@ class Landmarks:
                 out += np.float32(weight) * self.weights[at].sum(axis=0)
         return out
 
-    def table(self, machine: np.ndarray) -> np.ndarray:
+    def table(self, machine: np.ndarray) -> Weights:
         """One weight a sequence, for a machine on the whitened kernels."""
-        out = np.zeros(TABLE, np.float32)
-        known = self.place >= 0
-        out[known] = (self.weights @ (self.white @ machine))[self.place[known]]
-        return out
+        return Weights(self.keys.astype(np.int32), (self.weights @ (self.white @ machine)).astype(np.float32))
 
 
 def landmarks_of(words: list[bytes]) -> Landmarks:
-    found = []
+    found: list[dict[int, float]] = []
     for w in words:
         c, _ = laid_out([np.concatenate(([0], np.frombuffer(w, np.uint8), [0])).astype(np.uint8)])
-        numbers, weights = zip(*((n, np.full(len(n), x)) for n, x in sequences(c)))
-        numbers, weights = np.concatenate(numbers), np.concatenate(weights)
-        found.append((numbers[numbers > 0], weights[numbers > 0]))
-    keys = np.unique(np.concatenate([n for n, _ in found]))
-    place = np.full(TABLE, -1, np.int32)
-    place[keys] = np.arange(len(keys))
-    weights = np.zeros((len(keys), len(words)), np.float32)
-    for j, (numbers, w) in enumerate(found):
-        np.add.at(weights[:, j], place[numbers], w)
-    weights /= np.maximum(np.sqrt((weights**2).sum(axis=0)), 1e-9)
-    size, axes = np.linalg.eigh((weights.T @ weights).astype(float))
+        sums: dict[int, float] = {}
+        for numbers, weight in sequences(c):
+            for n in numbers[numbers > 0].tolist():
+                sums[n] = sums.get(n, 0.0) + weight
+        norm = sum(x * x for x in sums.values()) ** 0.5
+        found.append({n: x / norm for n, x in sums.items()})
+    numbers = np.array([n for f in found for n in f], np.int32)
+    columns = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+    values = np.array([x for f in found for x in f.values()], np.float32)
+    bare = Landmarks(numbers, columns, values, np.zeros((0, 0)))
+    size, axes = np.linalg.eigh((bare.weights.T @ bare.weights).astype(float))
     kept = size > 1e-6 * size.max()
-    return Landmarks(place, weights, axes[:, kept] / np.sqrt(size[kept]))
+    return Landmarks(numbers, columns, values, (axes[:, kept] / np.sqrt(size[kept])).astype(np.float64))
 
 
 def machine_of(x: np.ndarray, y: np.ndarray, cost: float, rounds: int = 30) -> np.ndarray:
@@ -230,17 +270,24 @@ def curve_of(value: np.ndarray, toxic: np.ndarray, weigh: np.ndarray, rounds: in
 class Model:
     """One weight a sequence, and the logistic curve of a text's highest stretch; no table where nothing could be learned."""
 
-    table: np.ndarray | None
+    table: Weights | None
     slope: float = 0.0
     offset: float = 0.0
 
 
+#: Sequences counted together.
 SLAB = 1 << 14
+COUNTED = "slab int, number array<int>, clean array<int>, toxic array<int>"
+
+
+def _slab(slab: int, sums: np.ndarray) -> dict:
+    some = np.flatnonzero(sums.any(axis=0))
+    return {"slab": slab, "number": some.tolist(), "clean": sums[0, some].tolist(), "toxic": sums[1, some].tolist()}
 
 
 def _counts(batches):
-    """Texts of each label that hold each sequence, as slabs of counts; rows are (text, toxic)."""
-    sums = np.zeros((2, TABLE), np.int64)
+    """Texts of each label that hold each sequence, by slabs of sequences; rows are (text, toxic)."""
+    sums = np.zeros((2, TABLE), np.int32)
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             c, _ = laid_out([letters(text)])
@@ -248,16 +295,21 @@ def _counts(batches):
             for numbers, _ in sequences(c):
                 seen[numbers] = True
             sums[int(toxic)] += seen
-    slabs = sums.reshape(2, -1, SLAB)
-    yield pa.RecordBatch.from_arrays([pa.array(range(slabs.shape[1]), pa.int32()), *(pa.array([s.tobytes() for s in kind], pa.binary()) for kind in slabs)], ["slab", "clean", "toxic"])
+    slabs = [_slab(i, sums[:, i * SLAB : (i + 1) * SLAB]) for i in range(TABLE // SLAB)]
+    yield pa.RecordBatch.from_pylist([s for s in slabs if s["number"]], COUNTED_SCHEMA)
+
+
+COUNTED_SCHEMA = pa.schema([("slab", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("number", "clean", "toxic"))])
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    total = [np.sum([np.frombuffer(x, np.int64) for x in table[c].to_pylist()], axis=0).tobytes() for c in ("clean", "toxic")]
-    return pa.table({"slab": table["slab"][:1], "clean": pa.array(total[:1], pa.binary()), "toxic": pa.array(total[1:], pa.binary())})
+    total = np.zeros((2, SLAB), np.int64)
+    for r in table.to_pylist():
+        total[:, r["number"]] += np.array((r["clean"], r["toxic"]))
+    return pa.Table.from_pylist([_slab(table["slab"][0].as_py(), total)], COUNTED_SCHEMA)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, landmarks: int = 256, stretch_limit: int = 2, rounds: int = 3, cost: float = 0.1, parts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, landmarks: int = 256, stretch_limit: int = 2, rounds: int = 3, cost: float = 0.1, parts: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model, from at most `sample` documents of each label; labels has doc_id and toxic (0 or 1). A quarter of them fit the curve."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = dict(known.groupBy("toxic").count().collect())
@@ -276,18 +328,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, landmarks: int =
         discard(texts)
         return Model(None)
     counts = np.zeros((2, TABLE))
-    slabs = shown.mapInArrow(_counts, "slab int, clean binary, toxic binary").groupBy("slab").applyInArrow(_summed, "slab int, clean binary, toxic binary")
-    for r in slabs.collect():  # a fixed number of rows
-        for k, x in enumerate((r["clean"], r["toxic"])):
-            counts[k, r["slab"] * SLAB : (r["slab"] + 1) * SLAB] = np.frombuffer(x, np.int64)
+    slabs = shown.mapInArrow(_counts, COUNTED).groupBy("slab").applyInArrow(_summed, COUNTED)
+    for r in slabs.toArrow().to_pylist():  # at most one entry a sequence
+        counts[:, r["slab"] * SLAB + np.array(r["number"])] = r["clean"], r["toxic"]
     ratio = np.log((counts[1] + 0.5) / (toxic_n + 1)) - np.log((counts[0] + 0.5) / (clean_n + 1))
-    table = np.where((counts[1] >= 3) & (ratio > 1), ratio, 0).astype(np.float32)
+    table = Weights.of(np.where((counts[1] >= 3) & (ratio > 1), ratio, 0))
 
     def words(batches):
         for batch in batches:
             out = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {w for s in best_stretches(text, table, 3) for w in s.astype(np.uint8).tobytes().split(b"\0")}
+                found = {w for s in best_stretches(text, table.dense, 3) for w in s.astype(np.uint8).tobytes().split(b"\0")}
                 out += [(w, toxic) for w in found if len(w) > 2]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.array([t for _, t in out], pa.int32())], ["word", "toxic"])
 
@@ -301,10 +352,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, landmarks: int =
         return Model(None)
     marks = landmarks_of(names)
 
-    def features(table: np.ndarray, of_toxic: int):
+    def features(table: Weights, of_toxic: int):
         def run(batches):
             for batch in batches:
-                rows = [(toxic, marks.kernels(s).tolist()) for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in best_stretches(text, table, of_toxic if toxic else stretch_limit)]
+                rows = [(toxic, marks.kernels(s).tolist()) for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in best_stretches(text, table.dense, of_toxic if toxic else stretch_limit)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["toxic", "kernels"])
 
         return run
@@ -326,12 +377,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, landmarks: int =
     return Model(table, *curve_of(value, toxic, weigh))
 
 
-def _valued(rows: DataFrame, table: np.ndarray) -> DataFrame:
+def _valued(rows: DataFrame, table: Weights) -> DataFrame:
     """rows (doc_id, text, ...) with value instead of text."""
 
     def run(batches):
         for batch in batches:
-            value = pa.array(highest([x or "" for x in batch.column(1).to_pylist()], table), pa.float64())
+            value = pa.array(highest([x or "" for x in batch.column(1).to_pylist()], table.dense), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], value], [batch.schema.names[0], *batch.schema.names[2:], "value"])
 
     kinds = [f"{c} {t}" for c, t in rows.dtypes if c != "text"]
