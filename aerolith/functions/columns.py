@@ -70,7 +70,7 @@ def stagnation_flag(pressure: Column, wind: Column, mixing: Column, limits: tupl
 
 
 def stagnation_index(wind: Column, mixing: Column, rain: Column) -> Column:
-    """Inverse of wind, mixing height and rain, each kept from zero; null without wind or mixing height."""
+    """Inverse of mean wind, lowest mixing height and rain, each kept from zero; null without wind or mixing height."""
     value = 1 / (F.greatest(wind, F.lit(LEAST_WIND)) * F.greatest(mixing, F.lit(LEAST_MIXING)) * (1 + F.coalesce(rain, F.lit(0.0))))
     return F.when(wind.isNotNull() & mixing.isNotNull(), value)
 

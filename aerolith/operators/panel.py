@@ -65,7 +65,7 @@ def with_calendar(panel: DataFrame) -> DataFrame:
 def with_stagnation(panel: DataFrame) -> DataFrame:
     return panel.withColumns({
         "stagnation_flag": C.stagnation_flag(F.col("pressure_mean"), F.col("wind_speed_mean"), F.col("blh_min")),
-        "stagnation_index": C.stagnation_index(F.col("wind_speed_mean"), F.col("blh_mean"), F.col("precip_sum")),
+        "stagnation_index": C.stagnation_index(F.col("wind_speed_mean"), F.col("blh_min"), F.col("precip_sum")),
     })
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith.functions import columns as C
+
 FEATURES = ("pm10_mean", "critical_share", "winter_ratio", "stagnation_mean", "dist_industrial_km", "no2_mean", "altitude", "wind_mean")
 METADATA = ("station_name", "province", "municipality", "lat", "lng")
 
@@ -76,9 +78,9 @@ def external_validation(rows: DataFrame, truth: str, label: str) -> DataFrame:
 
 
 def dominant_class(rows: DataFrame, group: str = "station_id", label: str = "alert_class") -> DataFrame:
-    """The most common class of each group, ties to the smaller label, and its share."""
+    """The most common class of each group, ties to the lower class in the order of C.LABELS, other labels behind them; and its share."""
     counts = rows.where(F.col(label).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
-    top = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), label))
+    top = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), F.asc_nulls_last(C.class_id_of(label)), label))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(group))
     return counts.withColumns({"_top": top, "share": share}).where("_top = 1").drop("_top")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
+from aerolith.sources.scratch import written
 
 
 def merged_by_priority(sources: Sequence[DataFrame], keys: Sequence[str] = ("station_id", "day")) -> DataFrame:
@@ -110,48 +112,102 @@ def positional(values: Column) -> dict[str, Column]:
     return {"lag1": F.when(n >= 1, F.get(values, n - 1)), "lag2": F.when(n >= 2, F.get(values, n - 2)), "roll3": F.when(F.size(three) == 3, _mean(three))}
 
 
-def future_features(recent: DataFrame, forecast: DataFrame, pollutants: Sequence[str] = ()) -> DataFrame:
-    """Feature rows of forecast days: forecast weather, last pollutants, calendar, lags and stagnation, a row a station and day."""
-    weather = ("pressure_mean", "wind_speed_mean", "blh_mean", "temp_mean")
-    arrays = ordered_values(last_rows(recent), ["pm10", *weather, *pollutants])
-    context = pm10_context(F.col("pm10"))
-    for c in weather:
-        p = positional(F.col(c))
-        context |= {f"{c}_lag1": p["lag1"], f"{c}_lag2": p["lag2"]}
-    context |= {"pressure_roll3": positional(F.col("pressure_mean"))["roll3"], "wind_speed_roll3": positional(F.col("wind_speed_mean"))["roll3"]}
-    context |= {c: positional(F.col(c))["lag1"] for c in pollutants}
-    rows = arrays.select("station_id", *(v.alias(k) for k, v in context.items())).join(forecast, "station_id").withColumns(C.calendar("day"))
-    return rows.withColumns({"stagnation_flag": C.stagnation_flag(F.col("pressure_mean"), F.col("wind_speed_mean"), F.col("blh_min")), "stagnation_index": C.stagnation_index(F.col("wind_speed_mean"), F.col("blh_mean"), F.col("precip_sum"))})
+#: The columns of a feature row and of the drivers shown.
+STATIC = ("province", "altitude", "lat", "lng", "dist_industrial_km")
+AHEAD = ("temp_mean", "humidity_mean", "dewpoint_mean", "precip_sum", "pressure_mean", "cloud_cover_mean", "wind_speed_mean", "wind_speed_max", "radiation_mean", "blh_mean", "blh_min", "fog_hours")
+POLLUTANTS = ("no2_mean", "o3_mean", "no2_max", "o3_max")
+LAGGED = ("pressure_mean", "wind_speed_mean", "blh_mean", "temp_mean")
+DRIVERS = (
+    "temp_mean", "pm10_lag1", "pm10_lag2", "pm10_roll3", "pm10_roll7", "pm10_diff", "pressure_mean", "pressure_mean_lag1", "wind_speed_mean", "wind_speed_max", "wind_speed_roll3",
+    "blh_mean", "blh_min", "precip_sum", "stagnation_index", "no2_mean", "o3_mean", "heating_season", "dist_industrial_km",
+)
 
 
-def servable(features: DataFrame, quality: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Features of stations that are not stale, and the refused stations."""
-    stale = quality.where("quality = 'stale'").select("station_id")
-    return features.join(stale, "station_id", "left_anti"), stale.withColumn("reason", F.lit("stale"))
+def _row(columns: Sequence[str], known: Sequence[str]) -> Column:
+    """day and numbers as one struct; columns that a table lacks are null."""
+    number = lambda c: (F.col(c) if c in known else F.lit(None)).cast("double")
+    return F.struct("day", *(number(c).alias(c) for c in columns))
 
 
-def forecast(recent: DataFrame, weather: Sequence[DataFrame], quality: DataFrame, score, delta: float = 5.0, least: float = 0.35) -> DataFrame:
-    """Forecasts of one day after another; score adds `predicted` and `proba` to feature rows.
+def _packed(rows: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    return rows.groupBy("station_id").agg(F.sort_array(F.collect_list(_row(columns, rows.columns))).alias(name))
 
-    Each further day takes the last prediction as that day's value. The loop is over days of the horizon, not over rows.
+
+def _features(history: Column, ahead: Column) -> dict[str, Column]:
+    """Features of the day of ahead (weather struct), from the rows before it (ordered array of structs)."""
+    of = lambda c: F.transform(history, lambda r: r[c])
+    out = {c: ahead[c] for c in AHEAD} | {c: positional(of(c))["lag1"] for c in POLLUTANTS} | C.calendar(ahead["day"]) | pm10_context(of("pm10"))
+    for c in LAGGED:
+        p = positional(of(c))
+        out |= {f"{c}_lag1": p["lag1"], f"{c}_lag2": p["lag2"]}
+    out |= {"pressure_roll3": positional(of("pressure_mean"))["roll3"], "wind_speed_roll3": positional(of("wind_speed_mean"))["roll3"]}
+    return out | {"stagnation_flag": C.stagnation_flag(ahead["pressure_mean"], ahead["wind_speed_mean"], ahead["blh_min"]), "stagnation_index": C.stagnation_index(ahead["wind_speed_mean"], ahead["blh_min"], ahead["precip_sum"])}
+
+
+def planned(recent: DataFrame, weather: DataFrame, quality: DataFrame, metadata: DataFrame, days: int = 2) -> DataFrame:
+    """One row a station: its static columns, its last eight rows and the weather ahead as arrays, and why it is refused, if it is.
+
+    Reasons: no metadata (unknown), a stale quality or no recent rows (stale), fewer days of weather than asked (no_weather).
+    """
+    history = _packed(last_rows(recent), ("pm10", *AHEAD, *POLLUTANTS), "history")
+    ahead = _packed(weather, AHEAD, "ahead").withColumn("ahead", F.slice("ahead", 1, days))
+    static = [F.col(c) if c in metadata.columns else F.lit(None).cast("string" if c == "province" else "double").alias(c) for c in STATIC]
+    known = metadata.select("station_id", *static, F.lit(True).alias("_known"))
+    rows = quality.select("station_id", "quality", "valid_days").join(known, "station_id", "left").join(history, "station_id", "left").join(ahead, "station_id", "left")
+    few = F.coalesce(F.size("ahead"), F.lit(0)) < days
+    reason = F.when(F.col("_known").isNull(), "unknown").when((F.col("quality") == "stale") | F.col("history").isNull(), "stale").when(few, "no_weather")
+    # Whether the day before the first one ahead has a value, which only a provisional feed can supply.
+    live = F.exists("history", lambda r: (r["day"] == F.date_sub(F.get("ahead", F.lit(0))["day"], 1)) & r["pm10"].isNotNull())
+    return rows.withColumns({"reason": reason, "live": F.coalesce(live, F.lit(False))}).drop("_known")
+
+
+def future_features(recent: DataFrame, weather: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Feature rows of single days ahead, a row a station and day: weather, last pollutants, calendar, lags, stagnation and the static columns."""
+    history = _packed(last_rows(recent), ("pm10", *AHEAD, *POLLUTANTS), "history")
+    rows = history.join(weather.select("station_id", _row(AHEAD, weather.columns).alias("ahead")), "station_id")
+    rows = rows.select("station_id", F.col("ahead")["day"].alias("day"), *(v.alias(k) for k, v in _features(F.col("history"), F.col("ahead")).items()))
+    return rows if metadata is None else rows.join(metadata.select("station_id", *(c for c in STATIC if c in metadata.columns)), "station_id", "left")
+
+
+class Forecast(NamedTuple):
+    """Forecasts, and the stations refused with the reason."""
+
+    forecasts: DataFrame
+    refused: DataFrame
+
+
+def forecast(recent: DataFrame, weather: DataFrame, quality: DataFrame, metadata: DataFrame, score: Callable[[DataFrame], DataFrame], days: int = 2, delta: float = 5.0, least: float = 0.35) -> Forecast:
+    """Forecasts of `days` days for every station; score adds `predicted` and `proba` to feature rows.
+
+    The plan of all stations is one written table, of which both results are filters. Each further day has the day before as its last
+    row: that day's weather, the prediction as it is (rounding is for the output alone), and the last row's pollutants. Stations stay
+    one row all along, so the loop over days adds no join and no shuffle, only a small written table a day.
     """
-    out, known = None, recent
-    for step, day_weather in enumerate(weather, 1):
-        rows, _ = servable(future_features(known, day_weather), quality)
-        scored = score(rows)
+    plan = written(planned(recent, weather, quality, metadata, days), "plan")
+    kept = ["station_id", "quality", "valid_days", "live", *STATIC, "history", "ahead", "made"]
+    nothing = "array<struct<day:date,horizon:int,predicted:double,class_final:int,source:string,weather_used:struct<temp_mean:double,wind_speed_mean:double,blh_mean:double>,drivers:struct<{}>>>"
+    kinds = [f"{c}:double" for c in DRIVERS] + ["stagnation_flag:boolean", "season:string", "province:string"]
+    state = plan.where("reason is null").drop("reason").withColumn("made", F.array().cast(nothing.format(",".join(kinds))))
+    has = [c for c in AHEAD if c in weather.columns]
+    for step in range(days):
+        ahead, last = F.get("ahead", F.lit(step)), F.element_at("history", -1)
+        scored = score(state.select(*kept, ahead["day"].alias("day"), *(v.alias(k) for k, v in _features(F.col("history"), ahead).items())))
         decision = C.hybrid_decision("predicted", "proba", delta, least)
-        made = scored.withColumns({"class_final": decision["class_final"], "source": decision["source"], "predicted": F.round("predicted", 2), "horizon": F.lit(step)})
-        made = made.select("station_id", "day", "horizon", "predicted", "class_final", "source", drivers(made.columns).alias("drivers"))
-        out = made if out is None else out.unionByName(made)
-        following = day_weather.join(made.select("station_id", "day", F.col("predicted").alias("pm10")), ["station_id", "day"])
-        known = known.unionByName(following, allowMissingColumns=True)
-    return out
-
-
-def drivers(columns: Sequence[str]) -> Column:
-    """The model's inputs as one struct, NaN as null."""
-    chosen = [c for c in columns if c.endswith(("_lag1", "_lag2", "_roll3", "_roll7", "_diff")) or c in ("stagnation_flag", "stagnation_index", "season")]
-    return F.struct(*(F.col(c) if c in ("season", "stagnation_flag") else F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in chosen))
+        used = F.struct(*(ahead[c].alias(c) for c in ("temp_mean", "wind_speed_mean", "blh_mean")))
+        made = F.struct(
+            F.col("day"), F.lit(step + 1).alias("horizon"), F.round("predicted", 2).alias("predicted"), decision["class_final"].cast("int").alias("class_final"), decision["source"].alias("source"), used.alias("weather_used"), drivers().alias("drivers"),
+        )
+        row = F.struct(F.col("day"), F.col("predicted").alias("pm10"), *((ahead if c in has else last)[c].alias(c) for c in AHEAD), *(last[c].alias(c) for c in POLLUTANTS))
+        state = scored.withColumns({"made": F.concat("made", F.array(made)), "history": F.concat("history", F.array(row))}).select(*kept)
+        # A row a station: written, so that the next day's features name the prediction instead of repeating its expression.
+        state = written(state, "state") if step < days - 1 else state
+    return Forecast(state.select("station_id", "quality", "valid_days", "live", F.inline("made")), plan.where("reason is not null").select("station_id", "reason", "quality", "valid_days"))
+
+
+def drivers() -> Column:
+    """The model's inputs that are shown, as one struct: numbers with NaN as null, the flag as boolean, season and province."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c)
+    return F.struct(*map(number, DRIVERS), F.col("stagnation_flag").cast("boolean").alias("stagnation_flag"), F.col("season").alias("season"), F.col("province").alias("province"))
 
 
 def map_rows(stations: DataFrame, forecasts: DataFrame, colours: Sequence[str] = ("green", "yellow", "orange", "red")) -> DataFrame:

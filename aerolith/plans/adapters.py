@@ -154,7 +154,7 @@ lagged AS (SELECT *, lag(pm10, 1) OVER w AS pm10_lag1, lag(pm10, 2) OVER w AS pm
   CASE WHEN count(wind_speed_mean) OVER w3 >= 3 THEN avg(wind_speed_mean) OVER w3 END AS wind_speed_roll3,
   lag(pm10, 1) OVER w - lag(pm10, 2) OVER w AS pm10_diff,
   CASE WHEN pressure_mean IS NOT NULL AND wind_speed_mean IS NOT NULL AND blh_min IS NOT NULL THEN CAST(round(pressure_mean, 6) > 1013.25 AND round(wind_speed_mean, 6) < 1.5 AND round(blh_min, 6) < 500 AS INTEGER) END AS stagnation_flag,
-  CASE WHEN wind_speed_mean IS NOT NULL AND blh_mean IS NOT NULL THEN 1 / (greatest(wind_speed_mean, 0.1) * greatest(blh_mean, 10) * (1 + coalesce(precip_sum, 0))) END AS stagnation_index
+  CASE WHEN wind_speed_mean IS NOT NULL AND blh_min IS NOT NULL THEN 1 / (greatest(wind_speed_mean, 0.1) * greatest(blh_min, 10) * (1 + coalesce(precip_sum, 0))) END AS stagnation_index
   FROM calendar WINDOW w AS (PARTITION BY station_id ORDER BY day),
   w7 AS (PARTITION BY station_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), w3 AS (PARTITION BY station_id ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
 modelled AS (SELECT * FROM lagged WHERE pm10 IS NOT NULL),

@@ -263,17 +263,72 @@ def serve_live_stations(spark, d):
     return serve.stations_with_value(rows, str(serve.latest_day(rows).first()["day"]))
 
 
-@query()
-def serve_forecast(spark, d):
-    """Two days ahead for every station, with a persistence score: the last value and a flat classifier."""
-    recent = serve.last_rows(raw_panel(spark, d).where("pressure_mean is not null"))
-    last = recent.groupBy("station_id").agg(F.max("day").alias("day"), *(F.last(c, ignorenulls=True).alias(c) for c in ("pressure_mean", "wind_speed_mean", "blh_mean", "blh_min", "temp_mean", "precip_sum")))
-    weather = [last.withColumn("day", F.date_add("day", i)) for i in (1, 2)]
+def serving(spark, d):
+    """Recent rows, weather of two days ahead (one of them missing for some), quality, and metadata (missing for some) of the stations."""
+    rows = raw_panel(spark, d).join(A.pollutants(spark, d), ["station_id", "day"], "left")
+    recent = serve.last_rows(rows).where("station_id % 11 <> 10")
+    last = recent.groupBy("station_id").agg(F.max("day").alias("day"), *(F.max_by(c, "day").alias(c) for c in serve.AHEAD))
+    ahead = last.select("station_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("i"), *(c for c in last.columns if c != "station_id"))
+    ahead = ahead.withColumns({
+        "day": F.date_add("day", F.col("i")), "temp_mean": F.coalesce("temp_mean", F.lit(12.0)) + F.col("i"), "pressure_mean": F.lit(1010.0) + F.col("station_id"), "wind_speed_mean": F.col("station_id") / 10.0,
+        "blh_min": F.when(F.col("station_id") % 6 != 5, F.lit(90.0) * F.col("i")),
+    }).where("not (station_id % 9 = 4 and i = 2)").drop("i")
     quality = serve.data_quality(A.provinces(spark, d), recent, ok=3, partial=1)
-    flat = F.array(*(F.lit(0.25) for _ in range(4)))
-    score = lambda rows: rows.withColumns({"predicted": F.coalesce("pm10_roll3", "pm10_lag1"), "proba": flat})
-    out = serve.forecast(recent.select("station_id", "day", "pm10", "pressure_mean", "wind_speed_mean", "blh_mean", "temp_mean"), weather, quality, score)
-    return out.select("station_id", "day", "horizon", "predicted", "class_final", "source", F.to_json("drivers").alias("drivers"))
+    metadata = A.provinces(spark, d).join(A.proximity(spark, d), "station_id", "left").where("station_id <> 8")
+    return recent, ahead, quality, metadata
+
+
+def stand_in(rows: DataFrame) -> DataFrame:
+    """A score by rule instead of a model, so that SQL can say it."""
+    value = 0.7 * F.coalesce("pm10_lag1", F.lit(25.0)) + 0.2 * F.coalesce("pm10_roll3", F.lit(10.0)) + 0.3 * F.col("temp_mean") + 0.001 * F.coalesce("no2_mean", F.lit(0.0))
+    by_day = F.when(F.col("weekday") % 2 == 0, F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.4)))).otherwise(F.array(*map(F.lit, (0.1, 0.6, 0.2, 0.1))))
+    return rows.withColumns({"predicted": value, "proba": by_day})
+
+
+_RECENT = "SELECT r.*, p.no2_mean FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY day DESC) AS k FROM lagged) r LEFT JOIN pollutants p ON r.station_id = p.station_id AND r.day = p.day WHERE k <= 8 AND r.station_id % 11 <> 10"
+_SERVED = """recent AS ({recent}),
+quality AS (SELECT p.station_id, count(DISTINCT r.day) AS valid_days, CASE WHEN count(DISTINCT r.day) >= 3 THEN 'ok' WHEN count(DISTINCT r.day) >= 1 THEN 'partial' ELSE 'stale' END AS quality FROM provinces p LEFT JOIN recent r ON p.station_id = r.station_id AND r.pm10 IS NOT NULL GROUP BY 1),
+ahead AS (SELECT station_id, i, day + CAST(i AS INTEGER) AS day, coalesce(temp_mean, 12.0) + i AS temp_mean, 1010.0::DOUBLE + station_id AS pressure_mean, station_id / 10 AS wind_speed_mean, wind_speed_max, blh_mean,
+  CASE WHEN station_id % 6 <> 5 THEN 90.0::DOUBLE * i END AS blh_min, precip_sum FROM recent, (SELECT unnest([1, 2]) AS i) WHERE k = 1 AND NOT (station_id % 9 = 4 AND i = 2)),
+meta AS (SELECT p.*, q.dist_industrial_km FROM provinces p LEFT JOIN proximity q ON p.station_id = q.station_id WHERE p.station_id <> 8),
+reasons AS (SELECT q.*, CASE WHEN m.station_id IS NULL THEN 'unknown' WHEN q.quality = 'stale' OR h.station_id IS NULL THEN 'stale' WHEN coalesce(a.n, 0) < 2 THEN 'no_weather' END AS reason FROM quality q
+  LEFT JOIN meta m ON q.station_id = m.station_id LEFT JOIN (SELECT DISTINCT station_id FROM recent) h ON q.station_id = h.station_id LEFT JOIN (SELECT station_id, count(*) AS n FROM ahead GROUP BY 1) a ON q.station_id = a.station_id),
+rows1 AS (SELECT station_id, day, pm10, pressure_mean, wind_speed_mean, blh_mean, temp_mean, no2_mean FROM recent),"""
+_STEP = """fill{i} AS (SELECT *, last_value(pm10 IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS f, row_number() OVER (PARTITION BY station_id ORDER BY day DESC) AS k FROM rows{i}),
+count{i} AS (SELECT *, CASE WHEN f IS NOT NULL THEN count(f) OVER (PARTITION BY station_id ORDER BY k) END AS v FROM fill{i}),
+lags{i} AS (SELECT station_id, max(f) FILTER (v = 1) AS pm10_lag1, max(f) FILTER (v = 2) AS pm10_lag2, CASE WHEN count(f) FILTER (k <= 7) >= 3 THEN avg(f) FILTER (k <= 7) END AS pm10_roll7,
+  CASE WHEN count(f) FILTER (k <= 3) >= 2 THEN avg(f) FILTER (k <= 3) END AS pm10_roll3, max(pressure_mean) FILTER (k = 1) AS pressure_mean_lag1, max(no2_mean) FILTER (k = 1) AS no2_mean,
+  CASE WHEN count(wind_speed_mean) FILTER (k <= 3) = 3 THEN avg(wind_speed_mean) FILTER (k <= 3) END AS wind_speed_roll3 FROM count{i} GROUP BY 1),
+made{i} AS (SELECT a.*, {i} AS horizon, l.* EXCLUDE (station_id), r.quality, r.valid_days, l.pm10_lag1 - l.pm10_lag2 AS pm10_diff, CAST(month(a.day) IN (10, 11, 12, 1, 2, 3) AS INTEGER) AS heating_season, m.province, m.dist_industrial_km,
+  CASE WHEN month(a.day) IN (12, 1, 2) THEN 'winter' WHEN month(a.day) IN (3, 4, 5) THEN 'spring' WHEN month(a.day) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END AS season,
+  CASE WHEN a.blh_min IS NOT NULL THEN a.pressure_mean > 1013.25 AND a.wind_speed_mean < 1.5 AND a.blh_min < 500 END AS stagnation_flag,
+  CASE WHEN a.blh_min IS NOT NULL THEN 1 / (greatest(a.wind_speed_mean, 0.1) * greatest(a.blh_min, 10) * (1 + coalesce(a.precip_sum, 0))) END AS stagnation_index,
+  0.7 * coalesce(l.pm10_lag1, 25.0) + 0.2 * coalesce(l.pm10_roll3, 10.0) + 0.3 * a.temp_mean + 0.001 * coalesce(l.no2_mean, 0.0) AS predicted,
+  CASE WHEN (isodow(a.day) - 1) % 2 = 0 THEN [0.1, 0.2, 0.3, 0.4] ELSE [0.1, 0.6, 0.2, 0.1] END AS proba
+  FROM ahead a JOIN reasons r ON a.station_id = r.station_id AND r.reason IS NULL JOIN lags{i} l ON a.station_id = l.station_id JOIN meta m ON a.station_id = m.station_id WHERE a.i = {i})"""
+_NEXT = "rows2 AS (SELECT * FROM rows1 UNION ALL SELECT station_id, day, predicted, pressure_mean, wind_speed_mean, blh_mean, temp_mean, no2_mean FROM made1)"
+_FORECAST = f"""WITH {_SERVED.format(recent=_RECENT)} {_STEP.format(i=1)}, {_NEXT}, {_STEP.format(i=2)},
+ruled AS (SELECT *, CASE WHEN predicted < 20 THEN 0 WHEN predicted < 35 THEN 1 WHEN predicted < 50 THEN 2 ELSE 3 END AS v, list_position(proba, list_max(proba)) - 1 AS c, least(abs(predicted - 20), abs(predicted - 35), abs(predicted - 50)) <= 5 AS near
+  FROM (SELECT * FROM made1 UNION ALL SELECT * FROM made2)),
+judged2 AS (SELECT *, proba[greatest(v, c) + 1] >= 0.35 AS sure FROM ruled)
+SELECT station_id, day, horizon, quality, valid_days, coalesce((SELECT count(*) FROM recent r WHERE r.station_id = j.station_id AND r.day = j.day - horizon AND r.pm10 IS NOT NULL) > 0, false) AS live, round(predicted, 2) AS predicted,
+ CASE WHEN near AND v <> c AND sure AND c > v THEN c ELSE v END AS class_final, CASE WHEN NOT near THEN 'regression' WHEN v = c THEN 'hybrid_agreement' WHEN sure THEN 'hybrid_override' ELSE 'hybrid_no_override' END AS source,
+ round(temp_mean, 5) AS temp_mean, round(pm10_lag1, 5) AS pm10_lag1, round(pm10_lag2, 5) AS pm10_lag2, round(pm10_roll3, 5) AS pm10_roll3, round(pm10_roll7, 5) AS pm10_roll7, round(pm10_diff, 5) AS pm10_diff, round(pressure_mean, 5) AS pressure_mean,
+ round(pressure_mean_lag1, 5) AS pressure_mean_lag1, round(wind_speed_mean, 5) AS wind_speed_mean, round(wind_speed_max, 5) AS wind_speed_max, round(wind_speed_roll3, 5) AS wind_speed_roll3, round(blh_mean, 5) AS blh_mean, round(blh_min, 5) AS blh_min,
+ round(precip_sum, 5) AS precip_sum, round(stagnation_index, 9) AS stagnation_index, round(no2_mean, 5) AS no2_mean, CAST(NULL AS DOUBLE) AS o3_mean, CAST(heating_season AS DOUBLE) AS heating_season, dist_industrial_km, stagnation_flag, season, province FROM judged2 j"""
+
+
+@query(f"SELECT * FROM ({_FORECAST})")
+def serve_forecast(spark, d):
+    """Two days ahead for every station that is not refused, with all drivers shown; the second day rests on the first day's unrounded value."""
+    out = serve.forecast(*serving(spark, d), stand_in).forecasts
+    return rounded(out.select(*(c for c in out.columns if c not in ("weather_used", "drivers")), "drivers.*"), 5, stagnation_index=9)
+
+
+@query(f"SELECT * FROM (WITH {_SERVED.format(recent=_RECENT)} one AS (SELECT 1) SELECT station_id, reason, quality, valid_days FROM reasons WHERE reason IS NOT NULL)")
+def serve_refused(spark, d):
+    """Stations without metadata, with stale rows, or without the weather asked for."""
+    return serve.forecast(*serving(spark, d), stand_in).refused
 
 
 @query(f"SELECT 'strategy' AS kind, arg_max(strategy, f1_macro) AS best FROM ({_STRATEGIES}) UNION ALL SELECT 'worst class', arg_max(strategy, recall_worst) FROM ({_STRATEGIES})")
@@ -312,20 +367,28 @@ def serve_map_rows(spark, d):
     return serve.map_rows(serve.station_list(A.provinces(spark, d), *recent_quality(spark, d)), forecasts)
 
 
-_LAG8 = "SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY day DESC) AS k FROM daily_weather WHERE pressure_mean IS NOT NULL"
+_LAG8 = "SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY day DESC) AS k FROM (SELECT w.*, t.pm10, p.no2_mean FROM daily_weather w LEFT JOIN daily_target t ON w.station_id = t.station_id AND w.day = t.day LEFT JOIN pollutants p ON w.station_id = p.station_id AND w.day = p.day) WHERE pressure_mean IS NOT NULL"
+_LAGGED = ", ".join(f"round(max({c}) FILTER (k = {i}), 4) AS {c}_lag{i}" for c in ("pressure_mean", "wind_speed_mean", "blh_mean", "temp_mean") for i in (1, 2))
+_ROLLED = ", ".join(f"round(CASE WHEN count({c}_mean) FILTER (k <= 3) = 3 THEN avg({c}_mean) FILTER (k <= 3) END, 4) AS {c}_roll3" for c in ("pressure", "wind_speed"))
+_SAME = ", ".join(f"round(max({c}) FILTER (k = 1), 4) AS {c}" for c in ("humidity_mean", "dewpoint_mean", "precip_sum", "pressure_mean", "cloud_cover_mean", "wind_speed_mean", "wind_speed_max", "radiation_mean", "blh_mean", "blh_min", "fog_hours", "no2_mean"))
+_TURNS = ", ".join(f"round({f}({c} * 2 * pi() / {n}), 4) AS {name}_{f}" for name, c, n in (("month", "month", 12), ("weekday", "weekday", 7)) for f in ("sin", "cos"))
 
 
-@query(f"""SELECT station_id, day, month(day) AS month, round(temp_mean, 4) AS temp_mean, round(lag1, 4) AS temp_mean_lag1, round(lag2, 4) AS temp_mean_lag2, round(roll3, 4) AS pressure_roll3,
- CAST(round(p, 6) > 1013.25 AND round(w, 6) < 1.5 AND round(b, 6) < 500 AS INTEGER) AS stagnation_flag FROM (
- SELECT station_id, max(day) + 1 AS day, max(temp_mean) FILTER (k = 1) + 1 AS temp_mean, max(temp_mean) FILTER (k = 1) AS lag1, max(temp_mean) FILTER (k = 2) AS lag2,
- CASE WHEN count(pressure_mean) FILTER (k <= 3) = 3 THEN avg(pressure_mean) FILTER (k <= 3) END AS roll3,
- max(pressure_mean) FILTER (k = 1) AS p, max(wind_speed_mean) FILTER (k = 1) AS w, max(blh_min) FILTER (k = 1) AS b FROM ({_LAG8}) WHERE k <= 8 GROUP BY 1)""")
+@query(f"""SELECT f.*, {_TURNS}, CAST(month IN (10, 11, 12, 1, 2, 3) AS INTEGER) AS heating_season, CAST(weekday >= 5 AS INTEGER) AS is_weekend,
+ CASE WHEN month IN (12, 1, 2) THEN 'winter' WHEN month IN (3, 4, 5) THEN 'spring' WHEN month IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END AS season, p.province, p.altitude, p.lat, p.lng, q.dist_industrial_km, round(g1, 4) AS pm10_lag1, round(g2, 4) AS pm10_lag2, round(g1 - g2, 4) AS pm10_diff, round(g7, 4) AS pm10_roll7, round(g3, 4) AS pm10_roll3
+ FROM (SELECT station_id, max(day) + 1 AS day, month(max(day) + 1) AS month, isodow(max(day) + 1) - 1 AS weekday, round(max(temp_mean) FILTER (k = 1) + 1, 4) AS temp_mean, {_SAME}, {_LAGGED}, {_ROLLED}, CAST(NULL AS DOUBLE) AS o3_mean, CAST(NULL AS DOUBLE) AS no2_max, CAST(NULL AS DOUBLE) AS o3_max,
+ CAST(round(max(pressure_mean) FILTER (k = 1), 6) > 1013.25 AND round(max(wind_speed_mean) FILTER (k = 1), 6) < 1.5 AND round(max(blh_min) FILTER (k = 1), 6) < 500 AS INTEGER) AS stagnation_flag,
+ round(1 / (greatest(max(wind_speed_mean) FILTER (k = 1), 0.1) * greatest(max(blh_min) FILTER (k = 1), 10) * (1 + coalesce(max(precip_sum) FILTER (k = 1), 0))), 9) AS stagnation_index FROM ({_LAG8}) WHERE k <= 8 GROUP BY 1) f
+ JOIN provinces p ON f.station_id = p.station_id LEFT JOIN proximity q ON f.station_id = q.station_id
+ JOIN (SELECT station_id, max(f) FILTER (v = 1) AS g1, max(f) FILTER (v = 2) AS g2, CASE WHEN count(f) FILTER (k <= 7) >= 3 THEN avg(f) FILTER (k <= 7) END AS g7, CASE WHEN count(f) FILTER (k <= 3) >= 2 THEN avg(f) FILTER (k <= 3) END AS g3 FROM (
+  SELECT *, CASE WHEN f IS NOT NULL THEN count(f) OVER (PARTITION BY station_id ORDER BY k) END AS v FROM (
+  SELECT *, last_value(pm10 IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS f FROM ({_LAG8}) WHERE k <= 8)) GROUP BY 1) g ON f.station_id = g.station_id""")
 def serve_future_features(spark, d):
-    """Feature rows of the day after each station's last weather day, with that day's weather one degree warmer."""
+    """All columns of the feature rows of the day after each station's last weather day, with that day's weather one degree warmer."""
     from aerolith.operators import daily
 
-    w = daily.daily_weather(A.hourly_weather(spark, d)).where("pressure_mean is not null")
-    last = w.groupBy("station_id").agg(F.max_by(F.struct(*(c for c in w.columns if c != "station_id")), "day").alias("m")).select("station_id", "m.*")
-    ahead = last.withColumns({"day": F.date_add("day", 1), "temp_mean": F.col("temp_mean") + 1}).select("station_id", "day", "pressure_mean", "wind_speed_mean", "blh_mean", "blh_min", "temp_mean", "precip_sum")
-    out = serve.future_features(w.withColumn("pm10", F.lit(None).cast("double")), ahead)
-    return rounded(out.select("station_id", "day", "month", "temp_mean", "temp_mean_lag1", "temp_mean_lag2", "pressure_roll3", "stagnation_flag"), 4)
+    w = daily.daily_weather(A.hourly_weather(spark, d)).where("pressure_mean is not null").join(A.daily_target(spark, d), ["station_id", "day"], "left").join(A.pollutants(spark, d), ["station_id", "day"], "left")
+    last = w.groupBy("station_id").agg(F.max("day").alias("day"), *(F.max_by(c, "day").alias(c) for c in serve.AHEAD))
+    ahead = last.withColumns({"day": F.date_add("day", 1), "temp_mean": F.col("temp_mean") + 1})
+    metadata = A.provinces(spark, d).join(A.proximity(spark, d), "station_id", "left")
+    return rounded(serve.future_features(w, ahead, metadata), 4, stagnation_index=9)

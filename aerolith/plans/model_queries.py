@@ -209,17 +209,16 @@ def model_importance(spark, d):
 @query()
 def serve_model_forecast(spark, d):
     """Two days ahead for every station by trained models: a forest for the value, a logistic classifier for the class."""
+    from aerolith.plans.decision_queries import serving
+
     names = ["pm10_lag1", "pm10_lag2", "pm10_roll3", "pm10_roll7", "month_sin", "month_cos", "temp_mean", "wind_speed_mean", "stagnation_index"]
     panel_rows = written(modelled(spark, d).where("pm10_lag1 is not null"), "panel")
     train = splits.valid_targets(panel_rows)
     features = models.prepared(train, names, ["season"], scale=True)
     regress, classify = models.fit_regressor(features(train), "forest", numTrees=20, maxDepth=8), models.fit_classifier(features(train), "logistic", maxIter=20)
-    recent = serve.last_rows(panel_rows.where("pressure_mean is not null"))
-    last = recent.groupBy("station_id").agg(F.max("day").alias("day"), *(F.max_by(c, "day").alias(c) for c in ("pressure_mean", "wind_speed_mean", "blh_mean", "blh_min", "temp_mean", "precip_sum")))
-    weather = [written(last.withColumn("day", F.date_add("day", i)), "weather") for i in (1, 2)]
-    quality = serve.data_quality(A.provinces(spark, d), recent, ok=3, partial=1)
+    recent, weather, quality, metadata = serving(spark, d)
     score = lambda rows: classify(regress(features(rows)))
-    out = serve.forecast(recent.select("station_id", "day", "pm10", "pressure_mean", "wind_speed_mean", "blh_mean", "temp_mean"), weather, quality, score)
+    out = serve.forecast(recent, weather, quality, metadata, score).forecasts
     return out.select("station_id", "day", "horizon", "predicted", "class_final", "source", F.to_json("drivers").alias("drivers"))
 
 

@@ -180,9 +180,9 @@ def profile_stations(spark, d):
     return rounded(panel_profiles(spark, d), 4, stagnation_mean=7)
 
 
-@query("SELECT station_id, round(coalesce(altitude, median(altitude) OVER (PARTITION BY province), (SELECT median(altitude) FROM profile)), 4) AS altitude FROM profile")
+@query("SELECT station_id, round(coalesce(altitude, median(altitude) OVER (PARTITION BY province), (SELECT median(altitude) FROM profile)), 4) AS altitude, round(coalesce(no2_mean, median(no2_mean) OVER (PARTITION BY province), (SELECT median(no2_mean) FROM profile)), 4) AS no2_mean FROM profile")
 def profile_imputed(spark, d):
-    return rounded(profiles.impute_by_province(panel_profiles(spark, d)).select("station_id", "altitude"), 4)
+    return rounded(profiles.impute_by_province(panel_profiles(spark, d)).select("station_id", "altitude", "no2_mean"), 4)
 
 
 @query("SELECT station_id, round((pm10_mean - m) / (h - l), 4) AS pm10_mean FROM profile, (SELECT quantile_cont(pm10_mean, 0.25) AS l, median(pm10_mean) AS m, quantile_cont(pm10_mean, 0.75) AS h FROM profile)")
@@ -209,17 +209,17 @@ def cluster_davies_bouldin(spark, d):
     return rounded(profiles.cluster_scores(vectors(spark, d)).select("davies_bouldin"))
 
 
-@query("""SELECT round((p - pt * pc / (n * (n - 1) / 2)) / ((pt + pc) / 2 - pt * pc / (n * (n - 1) / 2)), 5) AS ari,
- round(1 - ((ln(n) - h / n) - (ln(n) - hc / n)) / (ln(n) - ht / n), 5) AS homogeneity, round(1 - ((ln(n) - h / n) - (ln(n) - ht / n)) / (ln(n) - hc / n), 5) AS completeness FROM
+@query("""SELECT * EXCLUDE (a, b), round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END, 5) AS v_measure FROM (SELECT ari, round(a, 5) AS homogeneity, round(b, 5) AS completeness, a, b FROM (SELECT round((p - pt * pc / (n * (n - 1) / 2)) / ((pt + pc) / 2 - pt * pc / (n * (n - 1) / 2)), 5) AS ari,
+ 1 - ((ln(n) - h / n) - (ln(n) - hc / n)) / (ln(n) - ht / n) AS a, 1 - ((ln(n) - h / n) - (ln(n) - ht / n)) / (ln(n) - hc / n) AS b FROM
  (SELECT sum(n * (n - 1) / 2) AS p, sum(n * ln(n)) AS h, sum(n) AS n FROM (SELECT label, vec_id % 7 AS g, CAST(count(*) AS DOUBLE) AS n FROM embeddings GROUP BY 1, 2)),
  (SELECT sum(n * (n - 1) / 2) AS pt, sum(n * ln(n)) AS ht FROM (SELECT vec_id % 7 AS g, CAST(count(*) AS DOUBLE) AS n FROM embeddings GROUP BY 1)),
- (SELECT sum(n * (n - 1) / 2) AS pc, sum(n * ln(n)) AS hc FROM (SELECT label, CAST(count(*) AS DOUBLE) AS n FROM embeddings GROUP BY 1))""")
+ (SELECT sum(n * (n - 1) / 2) AS pc, sum(n * ln(n)) AS hc FROM (SELECT label, CAST(count(*) AS DOUBLE) AS n FROM embeddings GROUP BY 1))))""")
 def cluster_external(spark, d):
     rows = A.table(spark, d, "embeddings").withColumn("g", F.col("vec_id") % 7)
-    return rounded(profiles.external_validation(rows, "g", "label").drop("v_measure"))
+    return rounded(profiles.external_validation(rows, "g", "label"))
 
 
-@query("SELECT station_id, alert_class, n, round(share, 5) AS share FROM (SELECT station_id, alert_class, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY station_id) AS share, row_number() OVER (PARTITION BY station_id ORDER BY count(*) DESC, alert_class) AS top FROM modelled GROUP BY 1, 2) WHERE top = 1")
+@query("SELECT station_id, alert_class, n, round(share, 5) AS share FROM (SELECT station_id, alert_class, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY station_id) AS share, row_number() OVER (PARTITION BY station_id ORDER BY count(*) DESC, list_position(['verde', 'giallo', 'arancio', 'rosso'], alert_class)) AS top FROM modelled GROUP BY 1, 2) WHERE top = 1")
 def cluster_dominant_class(spark, d):
     return rounded(profiles.dominant_class(modelled(spark, d)))
 

@@ -328,3 +328,31 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Session)
     assert scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_dominant_class_ties_go_to_the_lower_class(spark):
+    rows = spark.createDataFrame([(1, "verde"), (1, "arancio"), (2, "rosso"), (2, "arancio"), (2, None), (3, "rosso"), (3, "giallo"), (3, "rosso")], "station_id long, alert_class string")
+    assert {r.station_id: r.alert_class for r in profiles.dominant_class(rows).collect()} == {1: "verde", 2: "arancio", 3: "rosso"}
+
+
+def test_stagnation_by_the_lowest_mixing_height(spark):
+    rows = spark.createDataFrame([(1020.0, 0.05, 800.0, 4.0, None), (1020.0, 2.0, 800.0, None, 1.0), (1020.0, 2.0, None, 100.0, 1.0)], "pressure_mean double, wind_speed_mean double, blh_mean double, blh_min double, precip_sum double")
+    assert [r.stagnation_index for r in panel.with_stagnation(rows).collect()] == [pytest.approx(1 / (0.1 * 10)), None, pytest.approx(1 / (2 * 100 * 2))]
+
+
+def test_forecast_by_hand(spark):
+    """The second day rests on the first day's unrounded value; refused stations come with the reason; statics and pollutants are there."""
+    recent = spark.createDataFrame([(s, day(k), float(10 + k) if k != 6 else None, 1000.0 + k, 40.0 + k) for s in (1, 2, 3) for k in range(8)], "station_id long, day date, pm10 double, pressure_mean double, no2_mean double")
+    weather = spark.createDataFrame([(s, day(8 + k), 1020.0 + k, 1.0, 50.0) for s in (1, 2, 4) for k in range(2)] + [(3, day(8), 1.0, 1.0, 1.0)], "station_id long, day date, pressure_mean double, wind_speed_mean double, blh_min double")
+    quality = spark.createDataFrame([(1, "ok", 7), (2, "stale", 1), (3, "ok", 7), (4, "ok", 7), (5, "ok", 7)], "station_id long, quality string, valid_days long")
+    metadata = spark.createDataFrame([(s, "P", 120.0) for s in (1, 2, 3, 4)], "station_id long, province string, altitude double")
+    score = lambda rows: rows.withColumns({"predicted": F.col("pm10_lag1") + 1 / 3, "proba": F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0)))})
+    out = serve.forecast(recent, weather, quality, metadata, score)
+    first, second = sorted(out.forecasts.collect(), key=lambda r: r.horizon)
+    assert {r.station_id: r.reason for r in out.refused.collect()} == {2: "stale", 3: "no_weather", 4: "stale", 5: "unknown"}
+    # Known values are 10..15, 15 again for the gap, 17.
+    assert (first.predicted, first.drivers.pm10_lag1, first.drivers.pm10_lag2, first.live, first.day) == (17.33, 17.0, 15.0, True, day(8))
+    assert second.drivers.pm10_lag1 == 17 + 1 / 3 and second.drivers.pm10_lag2 == 17.0 and second.predicted == 17.67
+    assert second.drivers.pm10_roll3 == pytest.approx((15 + 17 + 17 + 1 / 3) / 3) and second.drivers.pm10_roll7 == pytest.approx((12 + 13 + 14 + 15 + 15 + 17 + 17 + 1 / 3) / 7)
+    assert (second.drivers.pressure_mean_lag1, second.drivers.pressure_mean, second.drivers.no2_mean, second.drivers.province, second.drivers.stagnation_flag, second.weather_used.wind_speed_mean) == (1020.0, 1021.0, 47.0, "P", True, 1.0)
+    assert len(second.drivers) == 22 and first.drivers.stagnation_index == pytest.approx(1 / 50) and first.drivers.o3_mean is None
