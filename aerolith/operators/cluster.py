@@ -12,7 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.operators.kernels import blocked_silhouette, eps_neighbours
+from aerolith.operators.kernels import blocked_silhouette
+from aerolith.operators.neighbours import eps_neighbours
 from aerolith.sources.scratch import written
 
 
@@ -96,12 +97,14 @@ def ward(points: DataFrame, k: int, micro: int = 256) -> DataFrame:
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 3) -> DataFrame:
-    """points with cluster: the smallest core id of its component, by id; a border point joins its lowest core; noise is -1."""
-    near = written(eps_neighbours(points.select("id", "x"), eps), "near")
-    degrees = near.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n"))
-    core = degrees.where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
-    alone = points.select("id").where(F.lit(min_samples <= 1))
-    core = written(core.union(alone).distinct(), "core")
+    """points with cluster: the smallest core id of its component, by id; a border point joins its lowest core; noise is -1.
+
+    Equal points are one point of that weight throughout, so many copies make no pairs.
+    """
+    kinds = written(points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "kinds")
+    near = written(eps_neighbours(kinds, eps), "near")
+    around = near.join(kinds.select(F.col("id").alias("b"), "w"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("others"))
+    core = written(kinds.join(around, "id", "left").where(F.col("w") + F.coalesce("others", F.lit(0)) >= min_samples).select("id"), "core")
     links = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
     links = written(links, "links")
     labels = core.withColumn("root", F.col("id"))
@@ -114,7 +117,8 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 3) -> DataFrame:
             break
         labels = jumped
     border = near.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min_by("root", "b").alias("edge")).withColumnRenamed("a", "id")
-    return points.join(labels, "id", "left").join(border, "id", "left").select("id", "x", F.coalesce("root", "edge", F.lit(-1)).alias("cluster"))
+    named = kinds.join(labels, "id", "left").join(border, "id", "left").select("x", F.coalesce("root", "edge", F.lit(-1)).alias("cluster"))
+    return points.select("id", "x").join(named, "x")
 
 
 def least_size(n: int, k: int) -> int:

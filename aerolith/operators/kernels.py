@@ -1,4 +1,4 @@
-"""Vectorised helpers: pair distances in blocks, neighbours by pivots, Gram sums of null models."""
+"""Vectorised helpers: silhouettes in blocks, Gram sums of null models."""
 
 from __future__ import annotations
 
@@ -22,32 +22,6 @@ def block_pairs(points: DataFrame, block: int = 2048):
     return left.groupBy("lb", "rb"), right.groupBy("lb", "rb")
 
 
-def blocked_nearest(points: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """id, distance to the k-th nearest other point; null with fewer. All pairs of blocks, as the curve needs every point's distance.
-
-    The product form of the distance picks the k nearest of a block; their distances are then taken by subtraction, which
-    keeps the digits that the product form loses for near points.
-    """
-
-    def meet(left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        a, b = _matrix(left["x"]), _matrix(right["x"])
-        d = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
-        same = np.array(left["id"].to_pylist())[:, None] == np.array(right["id"].to_pylist())
-        d[same] = np.inf
-        near = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-        exact = np.sqrt(((a[:, None] - b[near]) ** 2).sum(2))
-        exact[np.take_along_axis(same, near, axis=1)] = np.inf
-        ids = np.repeat(np.array(left["id"].to_pylist()), near.shape[1])
-        keep = np.isfinite(exact.ravel())
-        return pa.table({"id": ids[keep], "distance": exact.ravel()[keep]})
-
-    left, right = block_pairs(points, block)
-    best = left.cogroup(right).applyInArrow(meet, "id long, distance double")
-    return best.groupBy("id").agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("distance"))
-
-
 def blocked_silhouette(points: DataFrame, block: int = 2048) -> DataFrame:
     """id, cluster, silhouette of points (id, x, cluster) by sums of distances to each cluster in blocks."""
     labelled = points.select("id", F.struct("x", "cluster").alias("x"))
@@ -76,26 +50,6 @@ def blocked_silhouette(points: DataFrame, block: int = 2048) -> DataFrame:
     return means.groupBy("id", "cluster").agg(own.alias("a"), near.alias("b")).select("id", "cluster", F.when(F.col("a").isNull() | F.isnan("a"), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
-def eps_neighbours(points: DataFrame, eps: float, pivots: int = 6) -> DataFrame:
-    """a, b of points (id, x) within eps of each other.
-
-    Distances to a few pivot points differ by at most eps for such a pair. Points lie on a grid of their distances to the
-    first two pivots and meet those of the nine cells around them; the other pivots drop most false pairs before the exact test.
-    """
-    apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    chosen = [r[0] for r in points.orderBy(F.xxhash64("id")).limit(pivots).select("x").collect()]
-    if not chosen:
-        return points.sparkSession.createDataFrame([], "a long, b long")
-    chosen += chosen[:1] * (2 - len(chosen))
-    far = F.array(*(apart(F.col("x"), F.array(*map(F.lit, p))) for p in chosen))
-    placed = points.withColumn("far", far).withColumns({f"c{i}": F.floor(F.get("far", F.lit(i)) / eps).cast("long") for i in (0, 1)})
-    left = placed.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("far").alias("fa"), "c0", "c1")
-    around = F.explode(F.array(*(F.struct((F.col("c0") + i).alias("c0"), (F.col("c1") + j).alias("c1")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    right = placed.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.col("far").alias("fb"), around.alias("c")).select("b", "xb", "fb", "c.*")
-    bound = F.array_max(F.zip_with("fa", "fb", lambda p, q: F.abs(p - q)))
-    return left.join(right, ["c0", "c1"]).where((F.col("a") != F.col("b")) & (bound <= eps * (1 + 1e-9)) & (apart(F.col("xa"), F.col("xb")) <= eps)).select("a", "b")
-
-
 def grouped_shift_gram(rows: DataFrame, columns: list[str], group: str, order: str, iterations: int, seed: int = 0) -> DataFrame:
     """iteration, gram (flat p * p sums of ZᵀZ) of standardised columns, each shifted circularly inside each group.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
 from aerolith.operators import cluster, metrics, models, serve, spatial, spectral, splits
-from aerolith.operators.kernels import eps_neighbours
+from aerolith.operators.neighbours import eps_neighbours
 from aerolith.plans import adapters as A
 from aerolith.plans.panel_queries import modelled, rounded
 from aerolith.plans.registry import query
@@ -269,7 +269,14 @@ def cluster_eps_neighbours_whole(spark, d):
     return degrees.groupBy("degree").agg(F.count(F.lit(1)).alias("n_points"))
 
 
-@query()
+_PAIRS = f"SELECT CAST(a.vec_id AS BIGINT) AS a, CAST(b.vec_id AS BIGINT) AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= {EPS}"
+
+
+@query(f"""SELECT * FROM (WITH RECURSIVE pairs AS MATERIALIZED ({_PAIRS}), core AS (SELECT a AS id FROM pairs GROUP BY 1 HAVING count(*) >= 2),
+links AS (SELECT a, b FROM pairs WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reached AS (SELECT id, id AS root FROM core UNION SELECT l.b, r.root FROM reached r JOIN links l ON r.id = l.a),
+named AS (SELECT id, min(root) AS root FROM reached GROUP BY 1), edges AS (SELECT a AS id, arg_min(root, b) AS edge FROM pairs JOIN named ON b = id GROUP BY 1)
+SELECT CAST(e.vec_id AS BIGINT) AS id, coalesce(n.root, g.edge, -1) AS cluster FROM embeddings e LEFT JOIN named n ON e.vec_id = n.id LEFT JOIN edges g ON e.vec_id = g.id)""")
 def cluster_dbscan(spark, d):
     return cluster.dbscan(points(spark, d), EPS, 3).select("id", "cluster")
 
