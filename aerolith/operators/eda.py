@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.columns import LABELS
+from aerolith.operators.quantiles import overall, quantiles
 
 
 def missing_report(rows: DataFrame) -> DataFrame:
@@ -34,10 +35,10 @@ def class_distribution(rows: DataFrame, labels: Sequence[str] = LABELS) -> DataF
 
 def describe(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, quartiles, and bias-corrected skewness and kurtosis of each column."""
-    stats = []
+    quarters, stats = overall(rows, columns, (0.25, 0.5, 0.75)), []
     for c in columns:
         n, g1, g2 = F.count(c).cast("double"), F.skewness(c), F.kurtosis(c)
-        quarter = [F.percentile(c, F.lit(p)) for p in (0.25, 0.5, 0.75)]
+        quarter = [F.lit(q).cast("double") for q in quarters[c] or (None, None, None)]
         stats.append(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), *(q.alias(a) for q, a in zip(quarter, ("q25", "q50", "q75"))), F.max(c).cast("double").alias("max"),
                               (F.sqrt(n * (n - 1)) / (n - 2) * g1).alias("skew"), ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis")))
     return rows.agg(F.array(*stats).alias("s")).select(F.inline("s"))
@@ -97,7 +98,7 @@ def density(rows: DataFrame, column: str, points: int = 100) -> DataFrame:
 
 def box_stats(rows: DataFrame, group: str, column: str) -> DataFrame:
     """Quartiles of a group, and its smallest and largest value within 1.5 interquartile ranges of them."""
-    q = rows.where(F.col(column).isNotNull()).groupBy(group).agg(F.percentile(column, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    q = quantiles(rows.where(F.col(column).isNotNull()), [column], (0.25, 0.5, 0.75), by=[group]).withColumnRenamed(column, "q")
     q = q.select(group, *(F.get("q", F.lit(i)).alias(a) for i, a in enumerate(("q25", "q50", "q75"))))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = rows.join(F.broadcast(q), group).where((F.col(column) >= F.col("q25") - reach) & (F.col(column) <= F.col("q75") + reach))  # a row a group

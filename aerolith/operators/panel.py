@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
+from aerolith.operators.quantiles import overall
 from aerolith.sources.scratch import written
 
 LAGGED = ("pressure_mean", "wind_speed_mean", "blh_mean", "temp_mean")
@@ -121,8 +122,9 @@ def imputable(columns: Sequence[str]) -> list[str]:
 def fit_medians(train: DataFrame, columns: Sequence[str] | None = None) -> dict[str, float]:
     """Exact medians of the columns that have nulls in train; a number a column."""
     columns = imputable(train.columns) if columns is None else columns
-    row = train.agg(*(F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in columns), *(F.median(c).alias(f"m_{c}") for c in columns)).first()
-    return {c: row[f"m_{c}"] for c in columns if row[f"n_{c}"] and row[f"m_{c}"] is not None}
+    row = train.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first() if columns else {}
+    found = overall(train, [c for c in columns if row[c]], [0.5])
+    return {c: q[0] for c, q in found.items() if q is not None}
 
 
 def impute(rows: DataFrame, medians: dict[str, float]) -> DataFrame:

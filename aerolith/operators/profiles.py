@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
+from aerolith.operators.quantiles import overall, quantiles
 
 FEATURES = ("pm10_mean", "critical_share", "winter_ratio", "stagnation_mean", "dist_industrial_km", "no2_mean", "altitude", "wind_mean")
 METADATA = ("station_name", "province", "municipality", "lat", "lng")
@@ -27,16 +28,18 @@ def station_profiles(panel: DataFrame) -> DataFrame:
 
 def impute_by_province(profiles: DataFrame, columns: Sequence[str] = ("altitude", "no2_mean")) -> DataFrame:
     """Nulls take the median of the province, else that of all. A ValueError if a column has no value at all."""
-    overall = profiles.agg(*(F.median(c).alias(c) for c in columns)).first()
-    if empty := [c for c in columns if overall[c] is None]:
+    middle = overall(profiles, columns, [0.5])
+    if empty := [c for c in columns if middle[c] is None]:
         raise ValueError(f"no station has {', '.join(empty)}")
-    by_province = Window.partitionBy("province")
-    return profiles.withColumns({c: F.coalesce(c, F.median(c).over(by_province), F.lit(overall[c])) for c in columns})
+    medians = quantiles(profiles, columns, [0.5], by=["province"])
+    medians = medians.select(F.col("province").alias("_province"), *(F.get(c, F.lit(0)).alias(f"_{c}") for c in columns))
+    joined = profiles.join(medians, F.col("province").eqNullSafe(F.col("_province")))
+    return joined.withColumns({c: F.coalesce(c, f"_{c}", F.lit(middle[c][0])) for c in columns}).select(*profiles.columns)
 
 
 def robust_scaled(profiles: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     """(x - median) / interquartile range; a range of zero counts as one."""
-    row = profiles.agg(*(F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(c) for c in columns)).first()
+    row = overall(profiles, columns, (0.25, 0.5, 0.75))
     return profiles.withColumns({c: (F.col(c) - row[c][1]) / ((row[c][2] - row[c][0]) or 1.0) for c in columns})
 
 

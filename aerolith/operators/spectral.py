@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.operators.kernels import global_shift_gram, grouped_shift_gram, shuffled_gram
+from aerolith.operators.quantiles import overall
 from aerolith.sources.scratch import written
 
 #: Null models by name: shifts inside stations, shifts over all rows, and columns permuted on their own.
@@ -28,8 +29,8 @@ def usable_features(rows: DataFrame, columns: Sequence[str]) -> list[str]:
 def standardised(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Medians for missing values, then (x - mean) / deviation (ddof 0); columns without variance are dropped."""
     finite = rows.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c).cast("double")) for c in columns})
-    middle = finite.agg(*(F.median(c).alias(c) for c in columns)).first()
-    full = finite.fillna({c: middle[c] for c in columns if middle[c] is not None})
+    middle = overall(finite, columns, [0.5])
+    full = finite.fillna({c: q[0] for c, q in middle.items() if q is not None})
     row = full.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns)).first()
     kept = [c for c in columns if row[f"s_{c}"]]
     return full.withColumns({c: (F.col(c) - row[f"m_{c}"]) / row[f"s_{c}"] for c in kept}), kept
