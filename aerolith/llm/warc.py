@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.shared import fresh_path, opened, written
+from aerolith.llm.shared import discard, fresh_path, opened, written
 
 #: Fixed values of the format.
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PLAIN, MEMBER = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
-#: Most bytes of a record's head, of a target in it (longer ones are left out), and bytes read at a time.
-HEAD_MOST, TARGET_MOST, PIECE = 1 << 20, 1 << 19, 1 << 16
+#: Most bytes of a record's head where the manifest doesn't say more, and bytes read at a time.
+HEAD_MOST, PIECE = 1 << 20, 1 << 16
 RECORD = "path string, block long, offset long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _FIELDS = [x.split() for x in RECORD.split(", ")]
 _SCHEMA = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in _FIELDS])
@@ -54,7 +54,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisits: int |
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d" % len(payload) + END
     block = http + (payload if revisits is None else b"")
     target = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
-    lines = [f"WARC-Type: {'response' if revisits is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", *([f"WARC-Target-URI: {target}"] if len(target) <= TARGET_MOST else []), f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    lines = [f"WARC-Type: {'response' if revisits is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if revisits is not None:
         lines += [f"WARC-Profile: {PROFILE.decode()}", f"WARC-Refers-To: {record_id(revisits)}", f"Refers-To-Page: {revisits}"]
     if page_id is not None:
@@ -97,14 +97,14 @@ class Stream:
         return True
 
 
-def parse(chunks: Iterable[bytes], room: int | None = None, sound: Callable[[int], bool] = lambda length: True) -> tuple[int, dict] | None:
+def parse(chunks: Iterable[bytes], room: int | None = None, sound: Callable[[int], bool] = lambda length: True, head_most: int = HEAD_MOST) -> tuple[int, dict] | None:
     """Length and fields of the record at the start of a byte stream; None if none starts there.
 
-    A head over HEAD_MOST bytes, a record longer than room and one whose length is not sound are none; the body is read last, and
+    A head over head_most bytes, a record longer than room and one whose length is not sound are none; the body is read last, and
     never held whole.
     """
     stream = Stream(chunks)
-    lead = stream.upto(END, HEAD_MOST)
+    lead = stream.upto(END, head_most)
     if lead is None or not lead.startswith(PLAIN):
         return None
     head = dict(x.split(": ", 1) for x in lead[len(PLAIN) :].decode("utf-8", "replace").split("\r\n") if ": " in x)
@@ -164,7 +164,7 @@ class Member:
                 data = unpack.unconsumed_tail
 
 
-def candidates(f, size: int, start: int, stop: int, compressed: bool) -> Iterator[tuple[int, int, dict]]:
+def candidates(f, size: int, start: int, stop: int, compressed: bool, head_most: int = HEAD_MOST) -> Iterator[tuple[int, int, dict]]:
     """offset, successor's offset and fields of all that looks like a record and starts in [start, stop)."""
     magic = MEMBER if compressed else PLAIN
     f.seek(start)
@@ -180,16 +180,19 @@ def candidates(f, size: int, start: int, stop: int, compressed: bool) -> Iterato
         if compressed:
             member = Member(f, here)
             chunks = iter(member)
-            found = parse(chunks)
+            found = parse(chunks, head_most=head_most)
             if found and next(chunks, None) is None and member.size is not None:
                 yield here, here + member.size, found[1]
-        elif found := parse(pieces(f, here), size - here, lambda length, here=here: ends(here, length)):
+        elif found := parse(pieces(f, here), size - here, lambda length, here=here: ends(here, length), head_most):
             yield here, here + found[0], found[1]
         at = data.find(magic, at + 1)
 
 
 def write_warc(pages: DataFrame, compress: bool = True, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes a record for each page; returns the manifest: path, n_bytes, n_records. Payloads under least_bytes are never revisited."""
+    """Writes a record for each page; returns the manifest: path, n_bytes, n_records, head_most. Payloads under least_bytes are never revisited.
+
+    head_most bounds the bytes of a head in the file, whatever the length of the targets, so that a reader knows where to give up.
+    """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
@@ -201,7 +204,7 @@ def write_warc(pages: DataFrame, compress: bool = True, least_bytes: int = 0, da
     revisits = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
 
     def write(batches):
-        out, name, n, n_bytes = None, "", 0, 0
+        out, name, n, n_bytes, head = None, "", 0, 0, HEAD_MOST
         fs, base = opened(folder)
         for batch in batches:
             for page_id, url, body, first in zip(*(batch.column(i) for i in range(4))):
@@ -211,12 +214,15 @@ def write_warc(pages: DataFrame, compress: bool = True, least_bytes: int = 0, da
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 data = record(page_id.as_py(), url.as_py(), body.as_py(), first.as_py(), date, compress)
                 out.write(data)
-                n, n_bytes = n + 1, n_bytes + len(data)
+                # Nothing of a target takes more than 12 bytes; the other lines are short.
+                n, n_bytes, head = n + 1, n_bytes + len(data), max(head, 12 * len(url.as_py() or "") + 4096)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "n_bytes": n_bytes, "n_records": n}])
+            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "n_bytes": n_bytes, "n_records": n, "head_most": head}])
 
-    return written(placed.select("page_id", "url", "payload", revisits.alias("first")).mapInArrow(write, "path string, n_bytes long, n_records long"), "manifest")
+    manifest = written(placed.select("page_id", "url", "payload", revisits.alias("first")).mapInArrow(write, "path string, n_bytes long, n_records long, head_most long"), "manifest")
+    discard(copies)
+    return manifest
 
 
 def scan(manifest: DataFrame, block: int) -> DataFrame:
@@ -224,10 +230,10 @@ def scan(manifest: DataFrame, block: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for path, size, number in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for path, size, head_most, number in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, base = opened(path)
                 with fs.open_input_file(base) as f:
-                    rows = [{"path": path, "block": number, "offset": a, "next": b} | fields for a, b, fields in candidates(f, size, number * block, min(size, (number + 1) * block), path.endswith(".gz"))]
+                    rows = [{"path": path, "block": number, "offset": a, "next": b} | fields for a, b, fields in candidates(f, size, number * block, min(size, (number + 1) * block), path.endswith(".gz"), head_most)]
                 leave: dict[int, int] = {}
                 for row in reversed(rows):
                     leave[row["offset"]] = leave.get(row["next"], row["next"])
@@ -235,24 +241,28 @@ def scan(manifest: DataFrame, block: int) -> DataFrame:
                     part = pa.RecordBatch.from_pylist(rows[i : i + 10_000], _SCHEMA)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array([leave[r["offset"]] for r in rows[i : i + 10_000]], pa.int64())], [*part.schema.names, "leave"])
 
-    ranges = manifest.select("path", F.col("n_bytes").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / block))).alias("block"))
+    head_most = F.col("head_most") if "head_most" in manifest.columns else F.lit(HEAD_MOST)
+    ranges = manifest.select("path", F.col("n_bytes").alias("size"), head_most.cast("long").alias("head_most"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / block))).alias("block"))
     n = max(1, min(10_000, ranges.count()))  # a fixed number, else adaptive execution gathers the tiny rows into one task
-    return ranges.select("path", "size", "block").repartition(n, "path", "block").mapInArrow(run, RECORD + ", leave long")
+    return ranges.select("path", "size", "head_most", "block").repartition(n, "path", "block").mapInArrow(run, RECORD + ", leave long")
 
 
 def reached(steps: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, offset) of all steps' offsets on the chain from offset 0, by pointer jumping over (path, offset, leave)."""
-    found = manifest.select("path", F.lit(0).cast("long").alias("offset"))
+    found, old = manifest.select("path", F.lit(0).cast("long").alias("offset")), []
     jumps, n = steps, -1
     while True:
         ahead = found.join(jumps, ["path", "offset"]).select("path", F.col("leave").alias("offset"))
         more = written(found.unionByName(ahead).distinct(), "reached")
         if (now := more.count()) == n:
+            discard(*old)
             return more
         n, found = now, more
         further = jumps.select("path", F.col("leave").alias("offset"), F.col("leave").alias("via")).distinct()
         landing = further.join(jumps.select("path", "offset", F.col("leave").alias("far")), ["path", "offset"])
         jumps = written(jumps.join(landing.select("path", F.col("via").alias("leave"), "far"), ["path", "leave"]).select("path", "offset", F.col("far").alias("leave")), "jumps")
+        discard(*old)  # what the tables just written came from
+        old = [more, jumps]
 
 
 def read_warc(manifest: DataFrame, block: int = 4 << 20) -> DataFrame:

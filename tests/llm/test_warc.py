@@ -64,6 +64,17 @@ def test_lures_are_not_read_on(lure):
 
 def test_long_target_and_damaged_member():
     data = warc.record(1, "u" * (1 << 20), b"p", None, "d", True)
-    assert [r[1] for r in warc.candidates(Counted(data), len(data), 0, len(data), True)] == [len(data)]
+    assert [r[1] for r in warc.candidates(Counted(data), len(data), 0, len(data), True, 2 << 20)] == [len(data)]
     assert list(warc.candidates(Counted(data[:-3]), len(data) - 3, 0, len(data) - 3, True)) == []
     assert list(warc.candidates(Counted(data[:50] + b"!" + data[51:]), len(data), 0, len(data), True)) == []
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_long_targets_are_written_whole(spark, compress):
+    """Heads of more than a megabyte are found again, as the manifest says how long they get."""
+    rows = [(1, "http://x/" + "é" * 700_000, "a" * 100), (2, "http://y/" + "u" * 1_200_000, "a" * 100), (3, None, "b")]
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), compress=compress)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(manifest, block=1 << 20).collect()}
+    assert got == {1: (100, "response", None), 2: (100, "revisit", 1), 3: (1, "response", None)}
+    if not compress:
+        assert spark.read.format("binaryFile").load([r.path for r in manifest.collect()]).selectExpr("length(content) n").first().n > 9 + 700_000 * 6 + 1_200_000
