@@ -40,10 +40,10 @@ def source_heal_window(spark, d):
     return rounded(files.heal_window(A.daily_target(spark, d), F.lit("1998-03-31").cast("date")))
 
 
-@query("SELECT station_id, round(min(sqrt((lng - zx) * (lng - zx) + (lat - zy) * (lat - zy))), 6) AS distance FROM stations, (SELECT 9 + s_suppkey * 0.03::DOUBLE AS zx, 45 + (s_suppkey % 10) * 0.1::DOUBLE AS zy FROM supplier WHERE s_suppkey < 100) GROUP BY 1")
+@query("SELECT station_id, round(min(sqrt((lng - zx) * (lng - zx) + (lat - zy) * (lat - zy))), 6) AS distance FROM stations, (SELECT 9 + (s_suppkey % 61) * 0.03::DOUBLE AS zx, 45 + (s_suppkey % 10) * 0.1::DOUBLE AS zy FROM supplier) GROUP BY 1")
 def source_nearest_point(spark, d):
     k = F.col("s_suppkey")
-    points = A.table(spark, d, "supplier").select((9 + k * 0.03).alias("x"), (45 + (k % 10) * 0.1).alias("y"))
+    points = A.table(spark, d, "supplier").select((9 + k % 61 * 0.03).alias("x"), (45 + (k % 10) * 0.1).alias("y"))
     stations = A.stations(spark, d).select("station_id", F.col("lng").alias("x"), F.col("lat").alias("y"))
     return rounded(spatial.nearest_point(stations, points, 0.5), 6)
 
