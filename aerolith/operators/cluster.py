@@ -1,4 +1,4 @@
-"""Clusterings: KMeans grid, Ward merges of micro-clusters, density clusters, PCA, and the choice among them."""
+"""Clusterings: KMeans grid, Ward merges, density clusters, PCA, and the choice among them."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from aerolith.operators.kernels import blocked_silhouette
 from aerolith.operators.neighbours import eps_neighbours
+from aerolith.operators.ward import cuts
 from aerolith.sources.scratch import written
 
 
@@ -37,9 +38,9 @@ def kmeans_grid(points: DataFrame, ks: Sequence[int] = range(2, 9), seeds: int =
     return [(k, cost, silhouette(labelled), sizes(labelled)) for k, labelled, cost in made]
 
 
-def ward_grid(points: DataFrame, ks: Sequence[int] = range(2, 9), micro: int = 256) -> list[tuple[int, float, list[int]]]:
-    """k, silhouette, sizes."""
-    made = [(k, written(ward(points, k, micro), "ward")) for k in ks]
+def ward_grid(points: DataFrame, ks: Sequence[int] = range(2, 9)) -> list[tuple[int, float, list[int]]]:
+    """k, silhouette, sizes; all from one linkage."""
+    made = [(k, written(labelled, "ward")) for k, labelled in cuts(points, list(ks)).items()]
     return [(k, silhouette(labelled), sizes(labelled)) for k, labelled in made]
 
 
@@ -61,39 +62,9 @@ def silhouette(labelled: DataFrame) -> float:
     return blocked_silhouette(rows.select("id", "x", "cluster")).agg(F.avg("silhouette")).first()[0]
 
 
-def ward_merge(centres: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Labels of at most a few hundred weighted centres after Ward merges down to k."""
-    groups = [[i] for i in range(len(centres))]
-    means, sizes = [c.astype(float) for c in centres], [float(w) for w in weights]
-    while len(groups) > k:
-        m, s = np.array(means), np.array(sizes)
-        gap = ((m[:, None] - m[None]) ** 2).sum(-1) * s[:, None] * s[None] / (s[:, None] + s[None])
-        gap[np.tril_indices(len(m))] = np.inf
-        a, b = np.unravel_index(np.argmin(gap), gap.shape)
-        means[a] = (means[a] * sizes[a] + means[b] * sizes[b]) / (sizes[a] + sizes[b])
-        sizes[a] += sizes[b]
-        groups[a] += groups[b]
-        del means[b], sizes[b], groups[b]
-    labels = np.zeros(len(centres), int)
-    for g, members in enumerate(groups):
-        labels[members] = g
-    return labels
-
-
-def ward(points: DataFrame, k: int, micro: int = 256) -> DataFrame:
-    """points with cluster: KMeans micro-clusters (a bounded number), merged by Ward; exact for up to `micro` points."""
-    n = points.count()
-    if n <= micro:
-        rows = points.orderBy("id").collect()
-        labels = ward_merge(np.array([r["x"] for r in rows]), np.ones(n), k)
-        names = points.sparkSession.createDataFrame([(r["id"], int(c)) for r, c in zip(rows, labels)], "id long, cluster long")
-        return points.join(F.broadcast(names), "id")
-    small, _ = kmeans(points, micro, 1)
-    size = len(points.first()["x"])
-    centres = small.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.get("x", F.lit(i))) for i in range(size))).alias("c")).collect()
-    labels = ward_merge(np.array([r["c"] for r in centres]), np.array([r["n"] for r in centres]), k)
-    names = points.sparkSession.createDataFrame([(r["cluster"], int(c)) for r, c in zip(centres, labels)], "micro long, merged long")
-    return small.withColumnRenamed("cluster", "micro").join(F.broadcast(names), "micro").select("id", "x", F.col("merged").alias("cluster"))
+def ward(points: DataFrame, k: int) -> DataFrame:
+    """points with cluster of k clusters by Ward's merges, exact at any size."""
+    return cuts(points, [k])[k]
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 3) -> DataFrame:
