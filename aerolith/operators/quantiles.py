@@ -3,7 +3,7 @@
 A quantile of n values lies between the values of two neighbouring ranks. Brackets around these ranks are narrowed until each holds
 few values: an approximate percentile, whose error is bounded, gives ends that the ranks can't be outside of, and a count gives the ranks
 before them. Each round leaves about one value in 500; only then are the values of a bracket sorted. So no aggregate
-buffer and no task holds more than `limit` different values of a group, whatever the table. Up to `limit` values take two passes.
+buffer and no task holds more than `limit` different values of a group, whatever the table. The columns are written once. Up to `limit` values take two passes.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.sources.scratch import written
+from aerolith.sources.scratch import discard, fresh_path, written
 
 #: Values of a bracket that are sorted, and the accuracy of approximate percentiles (their ranks are off by n / ACCURACY at most).
 LIMIT, ACCURACY = 1 << 16, 2000
@@ -26,6 +26,10 @@ def quantiles(rows: DataFrame, columns: Sequence[str], probs: Sequence[float], b
     groups = [F.col(c) for c in by] or [F.lit(0)]
     value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     data = rows.select(*(g.alias(k) for g, k in zip(groups, keys)), *(value(c).alias(f"v{i}") for i, c in enumerate(columns)))
+    # All passes have to see the same values, and sums of doubles may differ in their last digit each time they are computed.
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "values")
+    data.write.parquet(path)
+    data = spark.read.schema(data.schema).parquet(path)
     place = {c: f"v{i}" for i, c in enumerate(columns)}
     cells = range(len(targets))
     x = [F.col(place[c]) for c, _ in targets]
@@ -88,7 +92,9 @@ def quantiles(rows: DataFrame, columns: Sequence[str], probs: Sequence[float], b
     both = state.join(found, same, "left")
     one = lambda t: F.when(field(t, "lo") == field(t, "hi"), field(t, "lo")).otherwise(F.try_element_at("found", F.lit(t)))
     arrays = [F.when(field(i * len(probs), "n") > 0, F.array(*(one(i * len(probs) + j) for j in range(len(probs))))).alias(c) for i, c in enumerate(columns)]
-    return both.select(*(F.col(k).alias(c) for k, c in zip(keys, by)), *arrays)
+    out = written(both.select(*(F.col(k).alias(c) for k, c in zip(keys, by)), *arrays), "quantiles")
+    discard(spark, path)
+    return out
 
 
 def overall(rows: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
