@@ -130,7 +130,7 @@ def chi2_tail(x: float, df: int) -> float:
 
 
 def neighbour_distances(points: DataFrame, k: int = 3, id_col: str = "vec_id", features: str = "features") -> DataFrame:
-    """Distance of each point to its k-th neighbour. All pairs, in blocks: for point sets the size of a station list."""
+    """Distance of each point to its k-th neighbour, by the ball partition."""
     from aerolith.operators.neighbours import nearest
 
     return nearest(points.select(F.col(id_col).alias("id"), F.col(features).alias("x")), k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from aerolith.llm import packing, quality, queries, simhash_dedup, substring_dedup, token_files
 from aerolith.llm.shared import written
 
-#: No stage can be said in SQL; tests/llm/test_pipeline.py holds them against brute force.
+#: No stage can be said in SQL; tests/llm/test_pipeline.py holds them against planted documents.
 ORACLE_SQL = None
 
 
