@@ -12,8 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.operators.kernels import blocked_silhouette
 from aerolith.operators.neighbours import eps_neighbours
+from aerolith.operators.silhouettes import mean_silhouette as silhouette
 from aerolith.operators.ward import cuts
 from aerolith.sources.scratch import written
 
@@ -54,14 +54,6 @@ def dbscan_grid(points: DataFrame, eps: Sequence[float] = (0.5, 0.75, 1.0, 1.25,
     return out
 
 
-def silhouette(labelled: DataFrame) -> float:
-    """Mean silhouette without noise (cluster -1); -2 with fewer than two clusters."""
-    rows = labelled.where("cluster >= 0")
-    if rows.select("cluster").distinct().limit(2).count() < 2:
-        return -2.0
-    return blocked_silhouette(rows.select("id", "x", "cluster")).agg(F.avg("silhouette")).first()[0]
-
-
 def ward(points: DataFrame, k: int) -> DataFrame:
     """points with cluster of k clusters by Ward's merges, exact at any size."""
     return cuts(points, [k])[k]

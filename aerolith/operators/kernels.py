@@ -1,4 +1,4 @@
-"""Vectorised helpers: silhouettes in blocks, Gram sums of null models."""
+"""Vectorised helpers: Gram sums of null models."""
 
 from __future__ import annotations
 
@@ -8,48 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
-
-
-def block_pairs(points: DataFrame, block: int = 2048):
-    """(left, right) of points (id, x) dealt so that every pair of blocks meets once a side; both keyed by lb, rb."""
-    n = max(1, -(-points.count() // block))
-    dealt = points.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = dealt.select(F.col("b").alias("lb"), every.alias("rb"), "id", "x")
-    right = dealt.select(every.alias("lb"), F.col("b").alias("rb"), "id", "x")
-    return left.groupBy("lb", "rb"), right.groupBy("lb", "rb")
-
-
-def blocked_silhouette(points: DataFrame, block: int = 2048) -> DataFrame:
-    """id, cluster, silhouette of points (id, x, cluster) by sums of distances to each cluster in blocks."""
-    labelled = points.select("id", F.struct("x", "cluster").alias("x"))
-
-    def meet(left, right):
-        schema = pa.schema([("id", pa.int64()), ("cluster", pa.int64()), ("other", pa.int64()), ("total", pa.float64()), ("n", pa.int64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        l, r = left["x"].to_pylist(), right["x"].to_pylist()
-        a, b = np.array([p["x"] for p in l], float), np.array([p["x"] for p in r], float)
-        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-        same = np.array(left["id"].to_pylist())[:, None] == np.array(right["id"].to_pylist())
-        d[same] = 0
-        groups = np.array([p["cluster"] for p in r])
-        rows = []
-        for g in np.unique(groups):
-            at = groups == g
-            rows.append(pa.table([left["id"], pa.array([p["cluster"] for p in l], pa.int64()), pa.array(np.full(len(l), g)), pa.array(d[:, at].sum(1)), pa.array((at & ~same).sum(1))], schema=schema))
-        return pa.concat_tables(rows)
-
-    left, right = block_pairs(labelled, block)
-    sums = left.cogroup(right).applyInArrow(meet, "id long, cluster long, other long, total double, n long")
-    means = sums.groupBy("id", "cluster", "other").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
-    own = F.min(F.when(F.col("cluster") == F.col("other"), F.col("mean")))
-    near = F.min(F.when(F.col("cluster") != F.col("other"), F.col("mean")))
-    return means.groupBy("id", "cluster").agg(own.alias("a"), near.alias("b")).select("id", "cluster", F.when(F.col("a").isNull() | F.isnan("a"), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
-
-
 def grouped_shift_gram(rows: DataFrame, columns: list[str], group: str, order: str, iterations: int, seed: int = 0) -> DataFrame:
     """iteration, gram (flat p * p sums of ZᵀZ) of standardised columns, each shifted circularly inside each group.
 

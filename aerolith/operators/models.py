@@ -157,7 +157,8 @@ def f1_macro(rows: DataFrame) -> float:
 
 def negative_rmse(rows: DataFrame) -> float:
     e = F.col("predicted") - F.col("pm10")
-    return -(rows.agg(F.sqrt(F.avg(e * e))).first()[0] or float("inf"))
+    found = rows.agg(F.sqrt(F.avg(e * e))).first()[0]
+    return -float("inf") if found is None else -found
 
 
 def isotonic(rows: DataFrame, classes: int = 4) -> Callable[[DataFrame], DataFrame]:
@@ -211,23 +212,48 @@ def out_of_fold(folds: DataFrame, regress: Callable[[DataFrame], Callable], clas
     return out
 
 
-def permuted(rows: DataFrame, feature: str, seed: int, repeat: int, buckets: int = 64) -> DataFrame:
-    """rows with the feature's values dealt anew by hash order inside hashed buckets, so no task sorts all rows."""
-    key = F.xxhash64(F.lit(seed), F.lit(repeat), "station_id", "day")
-    other = F.xxhash64(F.lit(seed + 1), F.lit(repeat), "station_id", "day")
-    bucket = F.pmod(F.xxhash64("station_id", "day", F.lit(repeat)), F.lit(buckets))
-    placed = rows.withColumn("_b", bucket).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    values = placed.select("_b", F.row_number().over(Window.partitionBy("_b").orderBy(other)).alias("_i"), F.col(feature).alias("_v"))
-    return placed.join(values, ["_b", "_i"]).withColumn(feature, F.col("_v")).drop("_b", "_i", "_v")
+def permuted_copies(rows: DataFrame, features: Sequence[str], repeats: int = 10, seed: int = 42, keys: Sequence[str] = ("station_id", "day"), bucket: int = 1024) -> DataFrame:
+    """rows with _copy: 0 as they are, and one copy a feature and repeat (feature i, repeat r: i * repeats + r + 1) with that feature's values permuted.
 
+    Rows are dealt by hash into buckets of about `bucket`. In a bucket each copy stands in a random order of its own, and each row takes
+    the value of the next one, the last that of the first. The rows are shuffled once, before they are copied.
+    """
+    n = max(1, -(-rows.count() // bucket))
+    tasks = min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n))).repartition(tasks, "_b")
+    copies = dealt.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats))))
+    order = Window.partitionBy("_b", "_copy").orderBy(F.xxhash64(F.lit(seed), F.col("_copy"), *keys))
+    values = F.struct(*features)
+    moved = copies.withColumn("_v", F.coalesce(F.lead(values).over(order), F.first(values).over(order)))
+    chosen = F.floor((F.col("_copy") - 1) / repeats)  # -1 for the copy 0
+    return moved.withColumns({f: F.when(chosen == i, F.col("_v")[f]).otherwise(F.col(f)) for i, f in enumerate(features)}).drop("_b", "_v")
 
-def permutation_importance(rows: DataFrame, features: Sequence[str], score: Callable[[DataFrame], float], repeats: int = 10, seed: int = 42, top: int = 15) -> list[tuple[str, float, float]]:
-    """feature, mean and deviation of the drop in score when its values are permuted; score takes rows and is given permuted ones."""
-    base = score(rows)
+
+def negative_rmse_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    e = F.col("predicted") - F.col("pm10")
+    return rows.groupBy(*keys).agg((-F.sqrt(F.avg(e * e))).alias("score"))
+
+
+def f1_macro_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    from aerolith.operators import metrics
+
+    matrix = metrics.confusion(rows.withColumn("_p", C.argmax("proba")), "class_id", "_p", keys)
+    return metrics.macro(matrix, keys).select(*keys, F.col("f1_macro").alias("score"))
+
+
+def permutation_importance(rows: DataFrame, features: Sequence[str], add: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame, Sequence[str]], DataFrame], repeats: int = 10, seed: int = 42, top: int = 15, keys: Sequence[str] = ("station_id", "day")) -> list[tuple[str, float, float]]:
+    """feature, mean and deviation of the drop in score when its values are permuted, the largest first, ties in the order given.
+
+    `add` predicts, `score` gives one row of `score` for each value of the keys it is given. All copies are predicted by one
+    transform and scored by one aggregate: a row a copy reaches the driver.
+    """
+    scored = score(add(permuted_copies(rows, features, repeats, seed, keys)), ["_copy"])
+    found = {r["_copy"]: r["score"] for r in scored.collect()}
+    if not found:
+        return []
     out = []
-    for f in features:
-        with ThreadPoolExecutor(2) as pool:
-            drops = list(pool.map(lambda r, f=f: base - score(permuted(rows, f, seed, r)), range(repeats)))
+    for i, f in enumerate(features):
+        drops = [found[0] - found[i * repeats + r + 1] for r in range(repeats)]
         mean = sum(drops) / repeats
         out.append((f, mean, (sum((d - mean) ** 2 for d in drops) / repeats) ** 0.5))
     return sorted(out, key=lambda r: -r[1])[:top]

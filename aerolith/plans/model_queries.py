@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
-from aerolith.operators import cluster, metrics, models, serve, spatial, spectral, splits
+from aerolith.operators import cluster, metrics, models, serve, silhouettes, spatial, spectral, splits
 from aerolith.operators.neighbours import eps_neighbours
 from aerolith.plans import adapters as A
 from aerolith.plans.panel_queries import modelled, rounded
@@ -201,11 +201,22 @@ def model_importance(spark, d):
     train, test = rows.where("split = 'train'"), written(rows.where("split = 'test'"), "test")
     features = models.prepared(train, NUMERIC)
     fitted = models.fit_regressor(features(train), "forest", numTrees=20, maxDepth=6)
-    found = models.permutation_importance(test, NUMERIC, lambda part: models.negative_rmse(fitted(features(part))))
+    found = models.permutation_importance(test, NUMERIC, lambda part: fitted(features(part)), models.negative_rmse_by)
     native = dict(models.native_importance(fitted.model, NUMERIC))
     return rounded(spark.createDataFrame([(f, m, s, native[f]) for f, m, s in found], "feature string, mean_drop double, std_drop double, native double"))
 
 
+@query()
+def model_class_importance(spark, d):
+    """Permutation importances of the logistic classifier by macro f1 on the test side."""
+    rows = split_rows(spark, d)
+    train, test = rows.where("split = 'train'"), written(rows.where("split = 'test'"), "test")
+    features = models.prepared(train, NUMERIC, ["season"], scale=True)
+    fitted = models.fit_classifier(features(train), "logistic", maxIter=20)
+    found = models.permutation_importance(test, [*NUMERIC, "season"], lambda part: fitted(features(part)), models.f1_macro_by)
+    return rounded(spark.createDataFrame(found, "feature string, mean_drop double, std_drop double"))
+
+
 @query()
 def serve_model_forecast(spark, d):
     """Two days ahead for every station by trained models: a forest for the value, a logistic classifier for the class."""
@@ -236,6 +247,31 @@ def cluster_choice(spark, d):
     return rounded(spark.createDataFrame([(m, k, s, min(n), (m, k) == best[:2]) for m, k, s, n in found], "method string, k int, silhouette double, smallest int, chosen boolean"))
 
 
+def _silhouettes(distance: str) -> str:
+    pairs = f"SELECT CAST(a.vec_id AS BIGINT) AS id, CAST(a.label AS BIGINT) AS cluster, b.label AS other, avg({distance}) AS m FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.label >= 0 AND b.label >= 0 GROUP BY 1, 2, 3"
+    means = f"SELECT id, cluster, max(m) FILTER (cluster = other) AS a, min(m) FILTER (cluster <> other) AS b FROM ({pairs}) GROUP BY 1, 2"
+    return f"SELECT id, cluster, round(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 5) AS silhouette FROM ({means})"
+
+
+_APART = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+def labelled(spark, d) -> DataFrame:
+    return points(spark, d).join(A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")), "id")
+
+
+@query(_silhouettes(_APART))
+def cluster_silhouettes(spark, d):
+    """The silhouette of every embedding under its label."""
+    return rounded(silhouettes.silhouettes(labelled(spark, d)))
+
+
+@query(_silhouettes(f"power({_APART}, 2)"))
+def cluster_silhouettes_squared(spark, d):
+    """The same by squared distances, from sums over the clusters alone."""
+    return rounded(silhouettes.silhouettes(labelled(spark, d), squared=True))
+
+
 @query()
 def cluster_dbscan_grid(spark, d):
     """Density clusters of the embeddings for the grid of radii."""

@@ -283,7 +283,6 @@ def test_models(spark):
     assert scored.where("predicted is null or isnan(predicted)").count() == 0
     proba = models.fit_classifier(add(rows), "logistic", classes=4)(add(rows)).first().proba
     assert sum(proba) == pytest.approx(1.0) and proba[3] == 0.0
-    assert models.permuted(rows, "x", 1, 1).agg(F.sum("x")).first() == rows.agg(F.sum("x")).first()
 
 
 def test_nearest_point_takes_all_suppliers(spark, data, tmp_path):
