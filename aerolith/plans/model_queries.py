@@ -11,6 +11,7 @@ from aerolith.operators.neighbours import eps_neighbours
 from aerolith.plans import adapters as A
 from aerolith.plans.panel_queries import modelled, rounded
 from aerolith.plans.registry import query
+from aerolith.sources import days
 from aerolith.sources.scratch import fresh_path, written
 from aerolith.streaming import jobs
 
@@ -373,7 +374,7 @@ def stream_rewritten_days(spark, d):
     """Readings merged into a table by day; of repeated readings the largest stays."""
     path = fresh_path(spark, "rewritten")
     jobs.rewrite_days(stream_of(spark, d), path, fresh_path(spark, "rewritten-state")).awaitTermination()
-    out = spark.read.parquet(path)
+    out = days.read(spark, path)
     return rounded(out.groupBy("station_id", F.trunc("day", "month").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 3)
 
 
@@ -383,7 +384,7 @@ def stream_priority(spark, d):
     path = fresh_path(spark, "priority")
     status = F.when(F.col("event_id") % 3 == 0, "VA").otherwise("NRT")
     jobs.upsert_by_priority(stream_of(spark, d, "event_id").withColumn("status", status).drop("event_id"), path, fresh_path(spark, "priority-state")).awaitTermination()
-    return rounded(spark.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 3)
+    return rounded(days.read(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 3)
 
 
 _GAPS = "SELECT user_id AS station_id, ts, value, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 DAY THEN 1 ELSE 0 END AS begins FROM events WHERE value > 100 WINDOW w AS (PARTITION BY user_id ORDER BY ts)"

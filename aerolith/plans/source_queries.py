@@ -9,7 +9,7 @@ from aerolith.operators import ingest, spatial
 from aerolith.plans import adapters as A
 from aerolith.plans.panel_queries import rounded
 from aerolith.plans.registry import query
-from aerolith.sources import files
+from aerolith.sources import days, files
 from aerolith.sources.scratch import fresh_path
 
 
@@ -121,10 +121,9 @@ def source_overwritten_days(spark, d):
     """Some days (firsts of months here) are written anew with other rows; the other days stay."""
     path = fresh_path(spark, "days")
     rows = A.daily_target(spark, d).withColumn("day", F.trunc("day", "month"))
-    files.overwrite_days(rows, path)
-    files.overwrite_days(rows.where("month(day) % 3 = 0 and station_id % 2 = 0").withColumn("pm10", F.lit(-1.0)), path)
-    out = spark.read.schema("station_id long, pm10 double, day date").parquet(path)
-    return rounded(out.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("pm10").alias("total")), 3)
+    days.overwrite(rows, path)
+    days.overwrite(rows.where("month(day) % 3 = 0 and station_id % 2 = 0").withColumn("pm10", F.lit(-1.0)), path)
+    return rounded(days.read(spark, path).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("pm10").alias("total")), 3)
 
 
 @query("SELECT s_suppkey AS zone_id, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS n_rings, CASE WHEN s_suppkey % 3 = 0 THEN 8 ELSE 4 END AS n_points FROM supplier WHERE s_suppkey % 3 <> 1")

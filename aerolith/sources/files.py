@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 READING = "sensor_id string, ts string, value string, status string, _corrupt string"
@@ -82,11 +82,6 @@ def osm_polygons(elements: DataFrame) -> DataFrame:
     return elements.select(F.col("id").alias("zone_id"), F.explode(F.coalesce(way, relation)).alias("ring"))
 
 
-def overwrite_days(rows: DataFrame, path: str) -> None:
-    """Writes only the days that rows have, leaving the other day partitions alone."""
-    rows.repartition("day", F.pmod(F.hash(*[c for c in rows.columns if c != "day"][:1]), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-
-
 def heal_window(rows: DataFrame, today: Column, first: int = 21, last: int = 15) -> DataFrame:
     """Rows of the days to be fetched anew, whatever the checkpoint says."""
     return rows.where(F.col("day").between(F.date_sub(today, first), F.date_sub(today, last)))
@@ -102,7 +97,12 @@ def work_list(spine: DataFrame, *manifests: DataFrame, tail: int = 3) -> DataFra
     return spine.join(done, "day", "left_anti").union(recent).distinct()
 
 
-def target_window(files: DataFrame, n: int = 7, pattern: str = r"(\d{4}-\d{2}-\d{2})") -> DataFrame:
-    """The latest n days among file names."""
+def target_window(files: DataFrame, n: int = 7, pattern: str = r"(\d{4}-\d{2}-\d{2})", today: Column | None = None, behind: int = 0) -> DataFrame:
+    """The latest n days among file names. If no name has one, the n days of the calendar that end `behind` days before today, where that is given."""
     days = files.select(F.regexp_extract("name", pattern, 1).try_cast("date").alias("day")).where("day is not null").distinct()
-    return days.orderBy(F.desc("day")).limit(n)
+    if today is None:
+        return days.orderBy(F.desc("day")).limit(n)
+    end = F.date_sub(today, behind)
+    calendar = files.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(end, n - 1), end)).alias("day"), F.lit(1).alias("_later"))
+    ranked = days.withColumn("_later", F.lit(0)).orderBy(F.desc("day")).limit(n).unionByName(calendar)  # at most 2 n rows
+    return ranked.withColumn("_first", F.min("_later").over(Window.partitionBy(F.lit(1)))).where("_later = _first").select("day")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from aerolith.operators.ingest import first_wins, upsert
+from aerolith.sources import days
+
 READING = "station_id long, sensor_id long, ts timestamp, value double, status string"
 
 
@@ -34,52 +37,47 @@ def sliding(stream: DataFrame, span: str = "7 days", slide: str = "1 day", delay
     return out.select("station_id", F.to_date("window.end").alias("until"), "value_mean")
 
 
-def rewrite_days(stream: DataFrame, path: str, checkpoint: str, arrival: str | None = None) -> StreamingQuery:
-    """Merges late and revised readings: each batch rewrites only the days it touches; the newest batch wins by (sensor, ts).
+def merged_days(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> StreamingQuery:
+    """Merges each batch (with day) into a table by day: merge(batch, the old rows of its days or None) gives the new rows of these days.
 
-    Inside a batch the row of the largest arrival wins; without such a column, that of the largest value.
+    A batch is one commit of sources/days.py, so readers never see half of it; one that is replayed after a failure changes nothing.
     """
-    from aerolith.operators.ingest import first_wins, upsert
-    from aerolith.sources.files import overwrite_days
-    from aerolith.sources.scratch import discard
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = first_wins(batch, ["sensor_id", "ts"], [F.desc(arrival or "value")]).withColumn("day", F.to_date("ts"))
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            old = spark.read.parquet(path).join(fresh.select("day").distinct(), "day", "left_semi")
-            fresh = upsert(old.select(fresh.columns), fresh, ["sensor_id", "ts"])
-            staged = f"{checkpoint}/staged-{number}"
-            fresh.write.mode("overwrite").parquet(staged)  # the rows read must not come from the folders that are replaced
-            overwrite_days(spark.read.parquet(staged), path)
-            discard(spark, staged)
-        else:
-            overwrite_days(fresh, path)
+        source = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint  # the id lives as long as the checkpoint
+        if days.taken(spark, path, source, number):
+            return
+        base, touched = days.commit_of(spark, path), days.days_of(batch)
+        old = days.read(spark, path, touched, base) if base["schema"] else None
+        days.overwrite(merge(batch, old), path, touched, base, source, number)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
 
 
+def rewrite_days(stream: DataFrame, path: str, checkpoint: str, arrival: str | None = None) -> StreamingQuery:
+    """Merges late and revised readings: each batch rewrites only the days it touches; the newest batch wins by (sensor, ts).
+
+    Inside a batch the row of the largest arrival wins; without such a column, that of the largest value.
+    """
+
+    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        fresh = first_wins(batch, ["sensor_id", "ts"], [F.desc(arrival or "value")])
+        return fresh if old is None else upsert(old.select(fresh.columns), fresh, ["sensor_id", "ts"])
+
+    return merged_days(stream.withColumn("day", F.to_date("ts")), path, checkpoint, merge)
+
+
 def upsert_by_priority(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Validated readings replace provisional ones of the same sensor and time, never the other way round."""
-    from aerolith.operators.ingest import first_wins
-    from aerolith.sources.files import overwrite_days
-    from aerolith.sources.scratch import discard
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        both = batch.withColumns({"day": F.to_date("ts"), "_run": F.lit(1)})
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            old = spark.read.parquet(path).join(both.select("day").distinct(), "day", "left_semi").withColumn("_run", F.lit(0))
-            both = both.unionByName(old)
-        best = first_wins(both, ["sensor_id", "ts"], [(F.col("status") != "VA").cast("int"), F.desc("_run"), F.desc("value")]).drop("_run")
-        staged = f"{checkpoint}/staged-{number}"
-        best.write.mode("overwrite").parquet(staged)
-        overwrite_days(spark.read.parquet(staged), path)
-        discard(spark, staged)
+    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        both = batch.withColumn("_run", F.lit(1))
+        if old is not None:
+            both = both.unionByName(old.withColumn("_run", F.lit(0)))
+        return first_wins(both, ["sensor_id", "ts"], [(F.col("status") != "VA").cast("int"), F.desc("_run"), F.desc("value")]).drop("_run")
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
+    return merged_days(stream.withColumn("day", F.to_date("ts")), path, checkpoint, merge)
 
 
 def staleness(stream: DataFrame, silent: str = "3 days") -> DataFrame:

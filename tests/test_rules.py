@@ -10,7 +10,7 @@ from aerolith.functions import columns as C
 from aerolith.operators import cluster, ingest, kernels, metrics, models, panel, profiles, serve, spatial, spectral, splits
 from aerolith.plans import adapters as A
 from aerolith.plans import model_queries, registry
-from aerolith.sources import files, scratch
+from aerolith.sources import days, files, scratch
 
 
 def day(i):
@@ -271,9 +271,9 @@ def test_files_round_trip(spark, tmp_path):
     first = ingest.first_wins(ingest.normalised(rows), ["sensor_id", "ts"], ["file", "position"])
     assert [r.value for r in first.collect()] == [3.5]
     out = f"file://{tmp_path}/panel"
-    files.overwrite_days(panel_rows(spark, 3, 2), out)
-    files.overwrite_days(panel_rows(spark, 1, 1).withColumn("pm10", F.lit(-1.0)), out)
-    assert spark.read.parquet(out).count() == 5
+    days.overwrite(panel_rows(spark, 3, 2), out)
+    days.overwrite(panel_rows(spark, 1, 1).withColumn("pm10", F.lit(-1.0)), out)
+    assert days.read(spark, out).count() == 5
 
 
 def test_models(spark):
