@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
+from aerolith.operators.boosting import fit_softmax
 from aerolith.operators.panel import fit_medians, impute
 
 #: The order of seasons.
@@ -94,7 +95,7 @@ def _probability(model, df: DataFrame, name: str) -> DataFrame:
 
 
 def fit_classifier(train: DataFrame, kind: str, classes: int = 4, **params) -> Callable[[DataFrame], DataFrame]:
-    """The function adds `proba`, an array by class id. Kinds: logistic, forest, boosted (one against the rest), ordinal."""
+    """The function adds `proba`, an array by class id. Kinds: logistic, forest, boosted (softmax over all classes), ordinal."""
     if kind in ("logistic", "forest"):
         weighted = balanced(train).withColumn("_y", F.col("class_id").cast("double"))
         if kind == "logistic":
@@ -106,20 +107,14 @@ def fit_classifier(train: DataFrame, kind: str, classes: int = 4, **params) -> C
         ids = F.sequence(F.lit(0), F.lit(model.numClasses - 1))
         return lambda df: model.transform(df).withColumn("proba", C.ordered_probabilities(vector_to_array("probability"), ids, classes)).drop("rawPrediction", "probability", "prediction")
     if kind == "boosted":
-        models = [_binary(train, F.col("class_id") == k, **params) for k in range(classes)]
-    else:
-        models = [_binary(train, F.col("class_id") > k, **params) for k in range(classes - 1)]
+        return fit_softmax(balanced(train), classes, weight="weight", **params)
+    models = [_binary(train, F.col("class_id") > k, **params) for k in range(classes - 1)]
 
     def add(df: DataFrame) -> DataFrame:
         names = [f"_p{k}" for k in range(len(models))]
         for name, model in zip(names, models):
             df = _probability(model, df, name)
-        if kind == "ordinal":
-            proba = C.frank_hall([F.col(n) for n in names])
-        else:
-            total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-            proba = F.array(*(F.col(n) / total for n in names))
-        return df.withColumn("proba", proba).drop(*names)
+        return df.withColumn("proba", C.frank_hall([F.col(n) for n in names])).drop(*names)
 
     return add
 
