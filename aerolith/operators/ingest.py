@@ -89,9 +89,19 @@ def weather_of_cells(stations: DataFrame, weather: DataFrame) -> DataFrame:
     return placed.join(weather, ["cell_lat", "cell_lng"])
 
 
-def collection_summary(readings: DataFrame) -> DataFrame:
-    """Readings, stations and failures of each day, and its status."""
+def collection_summary(readings: DataFrame, days: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
+    """Readings, stations and failures of each day, and its status: ok, partial, or error where every reading failed.
+
+    With days (day) asked for, those without a reading are told too: skipped if `done` (day) holds them already, else error.
+    """
     out = readings.groupBy(F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n_readings"), F.countDistinct("station_id").alias("n_stations"), F.count_if(F.col("value").isNull()).alias("n_failed")
     )
-    return out.withColumn("outcome", F.when(F.col("n_failed") == F.col("n_readings"), "error").when(F.col("n_failed") > 0, "partial").otherwise("ok"))
+    counts = ["n_readings", "n_stations", "n_failed"]
+    skipped = F.lit(False)
+    if days is not None:
+        out = days.select("day").distinct().join(out, "day", "full").na.fill(0, counts)
+        if done is not None:
+            out, skipped = out.join(done.select("day", F.lit(True).alias("_done")).distinct(), "day", "left"), F.coalesce("_done", F.lit(False))
+    outcome = F.when((F.col("n_readings") == 0) & skipped, "skipped").when(F.col("n_failed") == F.col("n_readings"), "error").when(F.col("n_failed") > 0, "partial").otherwise("ok")
+    return out.select("day", *counts, outcome.alias("outcome"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,32 @@ def residuals(rows: DataFrame, y: str = "pm10", p: str = "predicted") -> DataFra
     return rows.groupBy("day").agg(F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.count(F.lit(1)).alias("n"))
 
 
+def residual_summary(rows: DataFrame, y: str = "pm10", p: str = "predicted") -> DataFrame:
+    """mean and deviation (ddof 0) of all residuals, their number and ends."""
+    e = F.col(y) - F.col(p)
+    return rows.agg(F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.count(e).alias("n"), F.min(e).alias("low"), F.max(e).alias("high"))
+
+
+def residual_density(rows: DataFrame, y: str = "pm10", p: str = "predicted", bins: int = 50) -> DataFrame:
+    """bin (from 0, empty ones too), low, high, n, density, and normal: that of a normal law of the same mean and deviation at the bin's middle.
+
+    The bins are of equal width from the smallest to the largest residual, which closes the last; equal residuals get a width of 1
+    around them, and normal is null. Without residuals there are no rows.
+    """
+    found = residual_summary(rows, y, p).first()
+    if not found["n"]:
+        return rows.sparkSession.createDataFrame([], "bin int, low double, high double, n long, density double, normal double")
+    ends = (found["low"], found["high"]) if found["high"] > found["low"] else (found["low"] - 0.5, found["high"] + 0.5)
+    width = (ends[1] - ends[0]) / bins
+    e = F.col(y) - F.col(p)
+    counted = rows.where(e.isNotNull()).groupBy(F.least(F.floor((e - ends[0]) / width), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    low, n = F.lit(ends[0]) + F.col("bin") * width, F.coalesce("n", F.lit(0))
+    z = (low + width / 2 - found["mean"]) / found["std"] if found["std"] else None
+    normal = F.exp(-z * z / 2) / (found["std"] * math.sqrt(2 * math.pi)) if found["std"] else F.lit(None).cast("double")
+    return every.join(counted, "bin", "left").select("bin", low.alias("low"), (low + width).alias("high"), n.alias("n"), (n / (found["n"] * width)).alias("density"), normal.alias("normal"))
+
+
 def confusion(rows: DataFrame, truth: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*keys, F.col(truth).alias("y"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -71,6 +98,21 @@ def exploded_matrix(stored: DataFrame, column: str = "matrix") -> DataFrame:
     return rows.select("y", F.posexplode("row").alias("p", "n"))
 
 
+def completed(stored: DataFrame, column: str = "matrix", classes: int = 4) -> DataFrame:
+    """stored with accuracy, severe, over and under filled in from its matrix where they are null or have no column.
+
+    Known values stay. A matrix that is null, not classes x classes, or without counts fills nothing.
+    """
+    matrix = F.col(column)
+    cells = F.flatten(F.transform(matrix, lambda row, y: F.transform(row, lambda n, p: F.struct(y.alias("y"), p.alias("p"), n.cast("double").alias("n")))))
+    count = lambda test: F.aggregate(F.filter(cells, test), F.lit(0.0), lambda s, c: s + c["n"])
+    total = count(lambda c: F.lit(True))
+    sound = (F.size(matrix) == classes) & F.forall(matrix, lambda row: F.size(row) == classes) & (total > 0)
+    tests = {"accuracy": lambda c: c["y"] == c["p"], "severe": lambda c: F.abs(c["y"] - c["p"]) >= 2, "over": lambda c: c["p"] > c["y"], "under": lambda c: c["p"] < c["y"]}
+    filled = {name: F.when(sound, count(test) / total) for name, test in tests.items()}
+    return stored.withColumns({name: F.coalesce(F.col(name), value) if name in stored.columns else value for name, value in filled.items()})
+
+
 def overrides(rows: DataFrame, final: str, reference: str) -> DataFrame:
     """Rows whose final class differs from the reference, and that are above it."""
     a, b = F.col(final), F.col(reference)

@@ -73,6 +73,22 @@ def metric_residuals(spark, d):
     return rounded(metrics.residuals(A.predictions(spark, d)))
 
 
+_RESIDUALS = "SELECT min(pm10 - predicted) AS lo, (max(pm10 - predicted) - min(pm10 - predicted)) / 50 AS w, avg(pm10 - predicted) AS m, stddev_pop(pm10 - predicted) AS s, count(*) AS c FROM predictions"
+
+
+@query("SELECT round(avg(pm10 - predicted), 5) AS mean, round(stddev_pop(pm10 - predicted), 5) AS std, count(*) AS n, round(min(pm10 - predicted), 5) AS low, round(max(pm10 - predicted), 5) AS high FROM predictions")
+def metric_residual_summary(spark, d):
+    return rounded(metrics.residual_summary(A.predictions(spark, d)))
+
+
+@query(f"""SELECT CAST(i AS INTEGER) AS bin, round(lo + i * w, 5) + 0.0 AS low, round(lo + i * w + w, 5) + 0.0 AS high, coalesce(n, 0) AS n, round(coalesce(n, 0) / (c * w), 5) AS density, round(exp(-power((lo + i * w + w / 2 - m) / s, 2) / 2) / (s * sqrt(2 * pi())), 5) AS normal
+ FROM (SELECT unnest(generate_series(0, 49)) AS i) CROSS JOIN ({_RESIDUALS}) LEFT JOIN (SELECT least(floor((pm10 - predicted - lo) / w), 49) AS b, count(*) AS n FROM predictions, ({_RESIDUALS}) GROUP BY 1) ON i = b""")
+def metric_residual_density(spark, d):
+    """Fifty bins of the residuals, with the normal law beside them."""
+    out = rounded(metrics.residual_density(A.predictions(spark, d)))
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("low", "high")})  # no negative zero
+
+
 @query("SELECT truth AS y, class_final AS p, count(*) AS n FROM final GROUP BY 1, 2")
 def metric_confusion(spark, d):
     return rounded(metrics.confusion(judged(spark, d), "truth", "class_final"))
@@ -99,6 +115,20 @@ def metric_rates_of_matrix(spark, d):
     return rounded(metrics.alert_rates(metrics.exploded_matrix(stored)))
 
 
+_SHARE = "CASE WHEN station_id % 5 = 0 THEN NULL ELSE round(avg(CASE WHEN {} THEN 1 ELSE 0 END), 5) END"
+
+
+@query(f"""SELECT station_id, CASE WHEN station_id % 2 = 0 THEN -1 ELSE {_SHARE.format('truth = class_final')} END AS accuracy, {_SHARE.format('abs(truth - class_final) >= 2')} AS severe,
+ {_SHARE.format('class_final > truth')} AS over, CASE WHEN station_id % 3 = 0 THEN -2 ELSE {_SHARE.format('class_final < truth')} END AS under FROM final GROUP BY station_id""")
+def metric_completed(spark, d):
+    """Stored matrices of stations, some with rates of their own, which stay, and some of another shape, which fill nothing."""
+    cell = lambda y, p: F.count_if((F.col("truth") == y) & (F.col("class_final") == p))
+    row = lambda y: F.array(*(cell(y, p) for p in range(4)))
+    stored = judged(spark, d).groupBy("station_id").agg(F.array(*map(row, range(4))).alias("whole"))
+    stored = stored.select("station_id", F.when(F.col("station_id") % 5 == 0, F.slice("whole", 1, 3)).otherwise(F.col("whole")).alias("matrix"), F.when(F.col("station_id") % 2 == 0, -1.0).alias("accuracy"), F.when(F.col("station_id") % 3 == 0, -2.0).alias("under"))
+    return rounded(metrics.completed(stored).drop("matrix"))
+
+
 @query("SELECT count(*) FILTER (class_final <> class_by_value) AS n_overrides, round(avg(CASE WHEN class_final <> class_by_value THEN 1 ELSE 0 END), 5) AS override_rate, count(*) FILTER (class_final > class_by_value) AS n_escalations, round(avg(CASE WHEN class_final > class_by_value THEN 1 ELSE 0 END), 5) AS escalation_rate FROM final")
 def metric_overrides(spark, d):
     return rounded(metrics.overrides(judged(spark, d), "class_final", "class_by_value"))

@@ -126,7 +126,8 @@ def source_overwritten_days(spark, d):
     return rounded(days.read(spark, path).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("pm10").alias("total")), 3)
 
 
-@query("SELECT s_suppkey AS zone_id, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS n_rings, CASE WHEN s_suppkey % 3 = 0 THEN 8 ELSE 4 END AS n_points FROM supplier WHERE s_suppkey % 3 <> 1")
+@query("""SELECT s_suppkey AS zone_id, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS n_rings, CASE WHEN s_suppkey % 3 = 0 THEN 8 ELSE 4 END AS n_points,
+ round((36 + s_suppkey * 0.04 + 0.02) * CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END, 4) AS lon, round((180 + s_suppkey * 0.04 + 0.02) * CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END, 4) AS lat FROM supplier WHERE s_suppkey % 3 <> 1""")
 def source_polygons(spark, d):
     """Map elements: ways, too short ways, and relations of two outer ways and an inner one."""
     k = F.col("s_suppkey")
@@ -136,7 +137,8 @@ def source_polygons(spark, d):
     elements = A.table(spark, d, "supplier").select(
         k.alias("id"), F.when(k % 3 == 0, "relation").otherwise("way").alias("type"), F.when(k % 3 == 1, F.array(*square[:3])).when(k % 3 == 2, F.array(*square)).alias("geometry"),
         F.when(k % 3 == 0, F.array(part("outer"), part("inner"), part("outer"))).alias("members"))
-    return files.osm_polygons(elements).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_rings"), F.sum(F.size("ring")).alias("n_points"))
+    total = lambda c: F.round(F.sum(F.aggregate("ring", F.lit(0.0), lambda s, p: s + p[c])), 4).alias(c)
+    return files.osm_polygons(elements).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_rings"), F.sum(F.size("ring")).alias("n_points"), total("lon"), total("lat"))
 
 
 @query("""SELECT station_id, round(min(sqrt(power(greatest(abs(lng * 100 - zx) - h, 0), 2) + power(greatest(abs(lat * 100 - zy) - h, 0), 2))), 5) AS distance

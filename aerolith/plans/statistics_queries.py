@@ -95,9 +95,33 @@ def eda_density(spark, d):
     return rounded(eda.density(A.daily_target(spark, d), "pm10", 50))
 
 
-@query("""SELECT m.season, round(any_value(q25), 4) AS q25, round(any_value(q50), 4) AS q50, round(any_value(q75), 4) AS q75, round(min(pm10), 4) AS low, round(max(pm10), 4) AS high FROM modelled m JOIN
- (SELECT season, quantile_cont(pm10, 0.25) AS q25, quantile_cont(pm10, 0.5) AS q50, quantile_cont(pm10, 0.75) AS q75 FROM modelled GROUP BY 1) q ON m.season = q.season
- WHERE pm10 BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) GROUP BY 1""")
+def _boxes(group: str, places: int = 9) -> str:
+    return f"""SELECT g AS {group}, round(any_value(q25), {places}) AS q25, round(any_value(q50), {places}) AS q50, round(any_value(q75), {places}) AS q75, round(min(pm10), {places}) AS low, round(max(pm10), {places}) AS high FROM
+ (SELECT m.g, pm10, q25, q50, q75 FROM (SELECT {BOXED[group]} AS g, pm10 FROM modelled) m JOIN (SELECT {BOXED[group]} AS g, quantile_cont(pm10, 0.25) AS q25, quantile_cont(pm10, 0.5) AS q50, quantile_cont(pm10, 0.75) AS q75 FROM modelled GROUP BY 1) q ON m.g = q.g)
+ WHERE pm10 BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) GROUP BY 1"""
+
+
+#: Groups of boxes in the twins.
+BOXED = {"season": "season", "month": "month", "station_id": "station_id", "cluster": "station_id % 3"}
+
+
+@query(_boxes("month"))
+def eda_month_boxes(spark, d):
+    return rounded(eda.box_stats(modelled(spark, d), "month", "pm10"), 9)
+
+
+@query(_boxes("station_id"))
+def eda_station_boxes(spark, d):
+    return rounded(eda.box_stats(modelled(spark, d), "station_id", "pm10"), 9)
+
+
+@query(_boxes("cluster"))
+def cluster_boxes(spark, d):
+    """Boxes of the target in each cluster of stations."""
+    return rounded(eda.box_stats(modelled(spark, d).withColumn("cluster", F.col("station_id") % 3), "cluster", "pm10"), 9)
+
+
+@query(_boxes("season", 4))
 def eda_boxes(spark, d):
     return rounded(eda.box_stats(modelled(spark, d), "season", "pm10"), 4)
 
