@@ -24,7 +24,7 @@ import unicodedata
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +39,9 @@ from aerolith.llm.shared import fresh_path, opened, written
 #: Fixed value of the mask.
 MASK_DELTA = 0xA282EAD8
 HEAD, FOOT, KEY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<q?B")
-#: Most cached words of a worker process in each of two generations, most bytes of a cached word, bytes of text encoded at a time.
-CACHED, CACHED_LEN, AT_ONCE = 800_000, 48, 1 << 20
+#: Most cached words of a worker process in each of two generations, most bytes of a cached word, bytes of text encoded at a time,
+#: new words that the tokenizer gets in one text.
+CACHED, CACHED_LEN, AT_ONCE, TOGETHER = 800_000, 48, 1 << 20, 64
 PUNCTUATION = string.punctuation.encode()
 MANIFEST = "shard int, path string, n_records long, n_ids long, n_bytes long"
 
@@ -86,6 +87,8 @@ class WordEncoder:
         self.type = np.dtype(f"<u{self.width}")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        #: Words of the last call that are too long to be kept.
+        self.long: set[bytes] = set()
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         symbols = byte_symbols()
         names = [bytes(symbols.get(c, 0) for c in t.removesuffix("</w>")).decode("utf-8", "replace") for t in self.tokenizer.get_vocab() if t not in special]
@@ -94,23 +97,64 @@ class WordEncoder:
         #: Whether words may be parted from the punctuation at their end and lower-cased: no token goes from a letter on to punctuation,
         #: and case makes no difference.
         self.parts = not mixed and probe("Word") == probe("word") and probe("word,") == probe("word") + probe(",")
+        #: Of each id, whether its token ends a word; None if the vocabulary doesn't mark that, or if the words of a text have other ids than alone.
+        self.final: np.ndarray | None = None
+        if getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>" and probe("word Words") == probe("word") + probe("Words"):
+            ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and t not in special]
+            self.final = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.final[ends] = True
 
-    def encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of distinct words: of the word without the punctuation at its end, and of that punctuation.
+    def encode_new(self, words: Iterable[bytes]) -> None:
+        """Keeps packed ids of distinct words that are not kept yet: of the word without the punctuation at its end, and of that punctuation.
 
         A token never holds both letters and punctuation, so a split between them changes no id. ASCII words are
         taken in lower case, as the tokenizer does. Words that may hold a special token are left whole.
         """
-        parts = {w: self.split(w) if self.parts and b"<|" not in w else (w, b"") for w in words}
         young, old = self.young, self.old
-        need = {x for pair in parts.values() for x in pair if x}
-        known = {x: young[x] if x in young else old[x] for x in need if x in young or x in old}
-        fresh = list(need - known.keys())
-        codes = self.tokenizer.encode_batch([x.decode() for x in fresh], add_special_tokens=False)
-        known |= {x: self.packed(c.ids) for x, c in zip(fresh, codes)}
-        known[b""] = b""
-        young.update((x, known[x]) for x in fresh if len(x) <= CACHED_LEN)
-        return {w: known[core] + known[tail] for w, (core, tail) in parts.items()}
+        fresh, parted = set(), []
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+            elif w.isalpha() and w.islower():  # of a-z only: parted and lower-cased, it is itself
+                fresh.add(w)
+            else:
+                core, tail = self.split(w) if self.parts and b"<|" not in w else (w, b"")
+                for x in (core, tail) if tail else (core,):
+                    if x not in young:
+                        if x in old:
+                            young[x] = old[x]
+                        else:
+                            fresh.add(x)
+                parted.append((w, core, tail))
+        young.update(self.encode_words(list(fresh)))
+        for w, core, tail in parted:
+            young[w] = young[core] + young[tail] if tail else young[core]
+        self.long = {x for x in (*fresh, *(w for w, _, _ in parted)) if len(x) > CACHED_LEN}
+
+    def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their packed ids. Words of letters go to the tokenizer many at a time, parted by spaces.
+
+        A word makes one final token at least. So if there are as many final tokens as words, each word ends with its own; if
+        not, as some letters are more than letters after normalisation, the words are encoded one by one.
+        """
+        texts = [w.decode() for w in words]
+        alone = list(range(len(words)))
+        if self.final is not None:
+            alone = [i for i, t in enumerate(texts) if not t.isalpha()]
+            many = [i for i, t in enumerate(texts) if t.isalpha()]
+            groups = [many[i : i + TOGETHER] for i in range(0, len(many), TOGETHER)]
+            for group, code in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
+                ids = np.array(code.ids, self.type)
+                ends = ((np.flatnonzero(self.final[ids]) + 1) * self.width).tolist()
+                if len(ends) != len(group):
+                    alone += group
+                    continue
+                data, begin = ids.tobytes(), 0
+                for i, end in zip(group, ends):
+                    yield words[i], data[begin:end]
+                    begin = end
+        for i, code in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)):
+            yield words[i], self.packed(code.ids)
 
     def packed(self, ids: list[int]) -> bytes:
         out = array("H" if self.width == 2 else "I", ids)
@@ -130,15 +174,10 @@ class WordEncoder:
         words = [t.split() for t in texts]
         if len(self.young) >= CACHED:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = [w for w in set().union(*words) if w not in young]
-        young.update((w, old[w]) for w in missing if w in old)
-        new = self.encode_new([w for w in missing if w not in young])
-        young.update(new)
-        out = [b"".join(map(young.__getitem__, ws)) for ws in words]
-        for w in new:
-            if len(w) > CACHED_LEN:
-                del young[w]
+        self.encode_new(set().union(*words).difference(self.young))
+        out = [b"".join(map(self.young.__getitem__, ws)) for ws in words]
+        for w in self.long:
+            del self.young[w]
         return out
 
 

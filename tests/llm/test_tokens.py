@@ -109,6 +109,37 @@ def test_word_encoder_on_odd_texts():
     assert got == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
 
 
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            self.texts += len(texts)
+            return getattr(self.tokenizer, name)(texts, **options)
+
+        return call
+
+
+def test_new_words_are_encoded_many_at_a_time():
+    """Ids of the library from few texts, also where letters become more than letters (İ), words are long, and caches turn over."""
+    ours, theirs, rng = token_files.WordEncoder(WORD), library(WORD), random.Random(8)
+    words = sorted({"".join(rng.choice("abcdefghiklmnoé") for _ in range(rng.randint(3, 9))) for _ in range(1280)})
+    counted = ours.tokenizer = Counted(ours.tokenizer)
+    got = ours.encode_many([w.encode() for w in words])
+    assert [np.frombuffer(b, ours.type).tolist() for b in got] == [e.ids for e in theirs.encode_batch(words, add_special_tokens=False)]
+    assert counted.texts <= len(words) / token_files.TOGETHER + 1
+    odd = ["İstanbul", "H\u0331a", "ΑΣ", "ΑΣΑ", "ªº", "ǅ", "ﬁn", "中文字", "한글", "ⅷ", "²", "é" * 60, "É" * 60 + ",", "a" * 100 + "...", "-" * 70, "'s", "it's", "<|endoftext|>", "Word<|endoftext|>,", "ß", "ẞ", "e\u0301", "\u0301e", "</w>", "w</w>"]
+    for n in range(40):
+        texts = [" ".join(rng.choice([*odd, *words[: 20 + n]]) for _ in range(rng.randint(0, 30))) for _ in range(8)]
+        if n % 10 == 9:
+            ours.old, ours.young = ours.young, {}
+        assert [np.frombuffer(b, ours.type).tolist() for b in ours.encode_many([t.encode() for t in texts])] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+        assert max(map(len, ours.young)) <= token_files.CACHED_LEN
+
+
 @pytest.mark.parametrize("shards", [None, 4])
 def test_token_files(spark, documents, corpus, no_documents, shards):
     theirs, start, expected = library(WORD), 0, []
