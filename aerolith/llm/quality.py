@@ -5,9 +5,9 @@ number plus `prior`: a mean that `prior` further features of ratio zero draw in,
 multinomial counts all documents, in one pass that sums inside a task before it shuffles; it has `buckets` entries at any input size.
 A bucket whose trusted count is within `sure` standard deviations of what its raw count lets expect has the ratio 0, so that the many
 rare words of a document don't drown the few that trusted documents never use; the others have `pseudo` added to both counts.
-The trusted multinomial counts at most `trusted_rows` documents of a trusted sample (those of smallest id hash), half
-of it; the other half is held out for the threshold, which holds for every document: `slack` times as far below the median of their
-scores as their `loss` quantile is. Before that, plain rules
+All trusted documents take part: in the order of their id hashes every other one is counted in the trusted multinomial, and
+the rest are held out for the threshold, which holds for every document: `slack` times as far below the exact median of their
+scores as their exact `loss` quantile is. Their ids are ranked and joined by Spark; none reach the driver. Before that, plain rules
 fail a document with too few words or too many words in repeated 5-word windows.
 
 Defined results: a null or empty text has no words and fails the rules; repeated rows are scored alike; without trusted documents
@@ -22,9 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith.llm.shared import discard, written
+from aerolith.operators import quantiles
+
 #: Fixed value: characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\v\f\r"
@@ -85,58 +88,77 @@ def measures(data: bytes) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
     return words, (len(words), len(bare.decode()), len(bare) - len(bare.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words))
 
 
-def _counts(buckets: int, fitted: np.ndarray):
+def _counts(texts: DataFrame, buckets: int) -> np.ndarray:
+    """How often each bucket is found in (doc_id, text)."""
+
     def run(batches):
-        sums = np.zeros((2, buckets), np.int64)
-        held: list[list[np.ndarray]] = [[], []]
+        sums = np.zeros(buckets, np.int64)
+        held: list[np.ndarray] = []
         n = 0
-
-        def add():
-            for k in range(2):
-                if held[k]:
-                    sums[k] += np.bincount(np.concatenate(held[k]), minlength=buckets)
-                    held[k].clear()
-
         for batch in batches:
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            trusted = known & np.isin(batch.column(0).fill_null(0).to_numpy(), fitted)
-            for i, text in enumerate(batch.column(1)):
+            for text in batch.column(1):
                 words = (text.as_py() or "").encode().split()
                 if words:
-                    found = features(words, buckets)
-                    held[0].append(found)
-                    if trusted[i]:
-                        held[1].append(found)
-                    n += len(found)
+                    held.append(features(words, buckets))
+                    n += len(held[-1])
                     if n > 1 << 20:
-                        add()
+                        sums += np.bincount(np.concatenate(held), minlength=buckets)
+                        held.clear()
                         n = 0
-        add()
-        some = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0][some]), pa.array(sums[1][some])], ["bucket", "raw", "trusted"])
-
-    return run
-
-
-def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 20, trusted_rows: int = 20_000, loss: float = 0.002, slack: float = 1.3, prior: float = 20.0, sure: float = 5.0, pseudo: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+        if held:
+            sums += np.bincount(np.concatenate(held), minlength=buckets)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["bucket", "n"])
+
+    # Written, so that the shuffle files are gone before the next pass.
+    table = written(texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counts")
+    bucket, n = (c.to_numpy() for c in table.toArrow().columns)  # as many rows as buckets at most
+    discard(table)
+    out = np.zeros(buckets)
+    out[bucket] = n
+    return out
+
+
+def _halves(trusted: DataFrame) -> DataFrame:
+    """doc_id, fitted of each trusted id once: every other one in the order of the id hashes, the first included, is fitted.
+
+    Ids are dealt by ranges of that order; one number a range, the ids in the ranges before it, turns places in a range into ranks.
+    """
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    dealt = ids.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", F.monotonically_increasing_id().alias("place"))
+    # Of monotonically_increasing_id, the upper bits are the range and the lower 33 the place in it.
+    table = written(dealt, "trusted")
+    placed = table.select("doc_id", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("place"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    out = written(placed.join(F.broadcast(starts), "part").select("doc_id", ((F.col("start") + F.col("place")) % 2 == 0).alias("fitted")), "halves")
+    discard(table)
+    return out
+
+
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 20, loss: float = 0.002, slack: float = 1.3, prior: float = 20.0, sure: float = 5.0, pseudo: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model for docs; trusted has a column doc_id."""
-    sample = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    ids = [r[0] for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows).collect()]
-    fitted, held_out = np.array(ids[::2], np.int64), ids[1::2]
+    # A hash join pinned: no ids are broadcast at any size, and texts are not sorted.
+    halves = _halves(trusted)
+    fitted, held = (halves.where(half).select("doc_id").hint("shuffle_hash") for half in ("fitted", "not fitted"))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sums = keyed.mapInArrow(_counts(buckets, fitted), "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted"))
-    raw, good = np.zeros(buckets), np.zeros(buckets)
-    bucket, r, t = (c.to_numpy() for c in sums.toArrow().columns)  # as many rows as buckets at most
-    raw[bucket], good[bucket] = r, t
+    raw = _counts(keyed, buckets)
+    good = _counts(keyed.join(fitted, "doc_id", "left_semi"), buckets)
     expected = raw * (good.sum() / max(1, raw.sum()))
     ratios = np.where(np.abs(good - expected) < sure * np.sqrt(expected), 0, np.log((good + pseudo) / (expected + pseudo)))
     free = Model(ratios if good.sum() else np.zeros(buckets), prior, float("-inf"))
-    if not good.sum() or not held_out:
+    if not good.sum():
+        discard(halves)
+        return free
+    held_out = _scored(keyed.join(held, "doc_id", "left_semi"), free, None)
+    scores = written(held_out.where("not base_failed").select("score"), "scores")
+    found = quantiles.overall(scores, ["score"], [0.5, loss])["score"]
+    discard(scores, halves)
+    if found is None:
         return free
-    chosen = keyed.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in held_out], "doc_id long")), "doc_id", "left_semi")
-    judged = _scored(chosen, free, None).where("not base_failed")
-    middle, low = judged.agg(F.percentile("score", F.lit(0.5)), F.percentile("score", F.lit(loss))).first()
-    return free if middle is None else Model(free.ratios, prior, middle - slack * (middle - low))
+    middle, low = found
+    return Model(free.ratios, prior, middle - slack * (middle - low))
 
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"

@@ -95,3 +95,34 @@ def test_verdicts_against_plain_python(spark, data):
     got = {r.doc_id: r for r in quality.quality_rules(docs, quality.fit(docs, labels)).collect()}
     assert all(abs(got[i].score - score[i]) < 1e-9 for i in score)
     assert {i: got[i].kept for i in got} == {i: not failed[i] and score[i] >= threshold - 1e-12 for i in got}
+
+
+def test_all_trusted_documents_are_fitted(spark):
+    """30,000 trusted documents: counts and threshold come from all of them, also from those whose id hash is large."""
+    ids = [r.id for r in spark.range(40_000).orderBy(F.xxhash64("id"), "id").collect() if r.id < 30_000]
+    late, fitted, held = set(ids[20_000:]), set(ids[::2]), set(ids[1::2])
+    texts = {i: " ".join([f"w{(i * 7 + k * k) % 50}x" for k in range(9 + i % 5)] + ["late"] * (i in late) + ["junk"] * (i >= 30_000 or i % 100 == 0)) for i in range(40_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    model = quality.fit(docs, spark.range(30_000).selectExpr("id as doc_id").union(spark.range(5).selectExpr("id as doc_id")))
+    raw, good = np.zeros(1 << 20), np.zeros(1 << 20)
+    for i, t in texts.items():
+        found = quality.features(t.encode().split(), 1 << 20)
+        np.add.at(raw, found, 1)
+        if i in fitted:
+            np.add.at(good, found, 1)
+    expected = raw * (good.sum() / raw.sum())
+    ratios = np.where(np.abs(good - expected) < 5 * np.sqrt(expected), 0, np.log((good + 1) / (expected + 1)))
+    assert np.allclose(model.ratios, ratios, rtol=0, atol=1e-12)
+    assert model.ratios[quality.features([b"late"], 1 << 20)[0]] > 0
+    scores = [quality.score(texts[i].encode().split(), model) for i in held if not brute(texts[i])[5]]
+    middle, low = np.quantile(scores, [0.5, 0.002])
+    assert abs(model.threshold - (middle - 1.3 * (middle - low))) < 1e-9
+
+
+def test_no_trusted_or_no_matching_documents(spark):
+    """Without trusted documents, or with ids that no document has, nothing but the plain rules decides."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "a b"), (None, None)], "doc_id long, text string")
+    for trusted in (spark.range(0), spark.range(50, 60), spark.sql("select cast(null as long) as id")):
+        model = quality.fit(docs, trusted.selectExpr("id as doc_id"))
+        assert model.threshold == float("-inf") and not model.ratios.any()
+        assert sorted(r.doc_id or 0 for r in quality.quality_rules(docs, model).where("kept").collect()) == [1]
