@@ -25,10 +25,12 @@ def station_coverage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("station_id").agg(F.countDistinct("day").alias("n_days")).withColumns({"pct": pct, "low": pct < 50})
 
 
-def class_distribution(rows: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    """alert_class, n, pct of all labels, absent ones too; balance is the rarest over the most common class."""
-    names = rows.sparkSession.createDataFrame([(x,) for x in labels], "alert_class string")
-    counts = names.join(rows.groupBy("alert_class").count(), "alert_class", "left").select("alert_class", F.coalesce("count", F.lit(0)).alias("n"))
+def class_distribution(rows: DataFrame, labels: Sequence[str] | None = LABELS) -> DataFrame:
+    """alert_class, n, pct of all labels, absent ones too (without labels: of the classes that occur); balance is the rarest over the most common class."""
+    counts = rows.groupBy("alert_class").agg(F.count(F.lit(1)).alias("n"))
+    if labels is not None:
+        names = rows.sparkSession.createDataFrame([(x,) for x in labels], "alert_class string")
+        counts = names.join(counts, "alert_class", "left").select("alert_class", F.coalesce("n", F.lit(0)).alias("n"))
     w = Window.partitionBy(F.lit(1))  # a row a label
     return counts.select("alert_class", "n", (100 * F.col("n") / F.sum("n").over(w)).alias("pct"), (F.min("n").over(w) / F.max("n").over(w)).alias("balance"))
 
