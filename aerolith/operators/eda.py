@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.columns import LABELS
 from aerolith.operators.quantiles import overall, quantiles
+from aerolith.sources.scratch import written
 
 
 def missing_report(rows: DataFrame) -> DataFrame:
@@ -77,7 +78,12 @@ def missing_by_station(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 50, ends: tuple[float, float] | None = None) -> DataFrame:
-    """bin (from 0), n between the smallest and largest value (ends, where they are known); the last bin is closed."""
+    """bin (from 0), n between the smallest and largest value (ends, where they are known); the last bin is closed.
+
+    Without ends the values are written once: a mean evaluated a second time may be added up in another order and fall below the smallest.
+    """
+    if ends is None:
+        rows = written(rows.select(column).where(F.col(column).isNotNull()), "values")
     lo, hi = ends or rows.agg(F.min(column), F.max(column)).first()
     if lo is None:
         return rows.sparkSession.createDataFrame([], "bin int, n long")
