@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
 from aerolith.operators import cluster, metrics, models, serve, silhouettes, spatial, spectral, splits
-from aerolith.operators.neighbours import eps_neighbours
+from aerolith.operators.neighbours import eps_degrees, eps_neighbours
 from aerolith.plans import adapters as A
 from aerolith.plans.panel_queries import modelled, rounded
 from aerolith.plans.registry import query
@@ -296,7 +296,7 @@ _NEAR = f"""SELECT CAST(a.vec_id AS BIGINT) AS id, count(*) AS n FROM embeddings
 
 @query(_NEAR)
 def cluster_eps_neighbours(spark, d):
-    return eps_neighbours(points(spark, d), EPS).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return eps_degrees(points(spark, d), EPS)
 
 
 @query(f"SELECT n + 1 AS degree, count(*) AS n_points FROM ({_NEAR}) GROUP BY 1")

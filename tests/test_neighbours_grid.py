@@ -1,10 +1,11 @@
 """Points without structure: they meet in a grid of blocks with few copies, and pairs are counted, not listed."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aerolith.operators import neighbours
-from test_neighbours import apart, frame
+from test_neighbours import apart, clustered, frame
 
 
 @pytest.fixture
@@ -27,3 +28,20 @@ def test_kth_distances(spark, spread, no_visits):
     expected = np.sort(apart(spread) + np.where(np.eye(len(spread)), np.inf, 0), axis=1)[:, 2]
     got = {r.id: r.distance for r in neighbours.nearest(frame(spark, spread), 3).collect()}
     assert [got[i] for i in range(len(spread))] == pytest.approx(expected.tolist(), abs=1e-9)
+
+
+def test_degrees(spark, spread, no_visits):
+    eps = float(np.quantile(apart(spread), 0.1))
+    n = (apart(spread) <= eps).sum(1) - 1
+    assert {r.id: r.n for r in neighbours.eps_degrees(frame(spark, spread), eps).collect()} == {i: k for i, k in enumerate(n.tolist()) if k}
+    left, right = neighbours.met(neighbours.layout(frame(spark, spread), eps))
+    copies = left.cogroup(right).applyInArrow(lambda a, b: pa.table({"n": [a.num_rows + b.num_rows]}), "n long")
+    assert copies.groupBy().sum("n").first()[0] == 2 * neighbours.blocks(len(spread)) * len(spread)
+
+
+def test_degrees_where_cells_spare(spark):
+    x = clustered(600)
+    at = neighbours.layout(frame(spark, x), 1.0)
+    assert at.spares
+    got = {r.id: r.n for r in neighbours.eps_degrees(frame(spark, x), 1.0, at).collect()}
+    assert got == {i: k for i, k in enumerate(((apart(x) <= 1.0).sum(1) - 1).tolist()) if k}
