@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import columns as C
 from aerolith.operators import cluster, metrics, models, serve, silhouettes, spatial, spectral, splits
-from aerolith.operators.neighbours import eps_degrees, eps_neighbours
+from aerolith.operators.neighbours import eps_degrees
 from aerolith.plans import adapters as A
 from aerolith.plans.panel_queries import modelled, rounded
 from aerolith.plans.registry import query
@@ -302,7 +302,7 @@ def cluster_eps_neighbours(spark, d):
 @query(f"SELECT n + 1 AS degree, count(*) AS n_points FROM ({_NEAR}) GROUP BY 1")
 def cluster_eps_neighbours_whole(spark, d):
     """How many points have how many points within eps, themselves included."""
-    degrees = eps_neighbours(points(spark, d), EPS).groupBy("a").agg((F.count(F.lit(1)) + 1).alias("degree"))
+    degrees = eps_degrees(points(spark, d), EPS).select((F.col("n") + 1).alias("degree"))
     return degrees.groupBy("degree").agg(F.count(F.lit(1)).alias("n_points"))
 
 
