@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.operators.neighbours import eps_neighbours
+from aerolith.operators.neighbours import eps_degrees, layout, least_neighbours
 from aerolith.operators.silhouettes import mean_silhouette as silhouette
 from aerolith.operators.ward import cuts
 from aerolith.sources.scratch import written
@@ -65,25 +65,44 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 3) -> DataFrame:
     Equal points are one point of that weight throughout, so many copies make no pairs.
     """
     kinds = written(points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "kinds")
-    near = written(eps_neighbours(kinds, eps), "near")
-    around = near.join(kinds.select(F.col("id").alias("b"), "w"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("others"))
+    if kinds.isEmpty():
+        return points.select("id", "x", F.lit(-1).cast("long").alias("cluster"))
+    at = layout(kinds, eps)
+    around = eps_degrees(kinds, eps, at).withColumnRenamed("n", "others")
     core = written(kinds.join(around, "id", "left").where(F.col("w") + F.coalesce("others", F.lit(0)) >= min_samples).select("id"), "core")
-    links = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
-    links = written(links, "links")
-    labels = core.withColumn("root", F.col("id"))
-    while True:
-        least = links.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("seen"))
-        stepped = labels.join(least.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("root", F.coalesce("seen", "root")).alias("root"))
-        jumped = stepped.join(stepped.select(F.col("id").alias("root"), F.col("root").alias("far")), "root").select("id", F.least("root", "far").alias("root"))
-        jumped = written(jumped, "labels")
-        if jumped.join(labels.withColumnRenamed("root", "old"), "id").where("root != old").isEmpty():
+    # Pairs are not listed: each group names the smallest core that a point meets, then one core of another component, until there is none.
+    found = written(least_neighbours(at, None, core), "found")
+    border = found.join(core, "id", "left_anti").groupBy("id").agg(F.min("b").alias("b"))
+    links, labels = found.join(core, "id", "left_semi"), core.withColumn("root", F.col("id"))
+    while not links.isEmpty():
+        labels = spread(labels, links)
+        largest = labels.groupBy("root").count().orderBy(F.desc("count"), "root").first()["root"]
+        others = labels.where(F.col("root") != largest)
+        if others.isEmpty():
             break
-        labels = jumped
-    border = near.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min_by("root", "b").alias("edge")).withColumnRenamed("a", "id")
+        links = written(least_neighbours(at, others, labels, "root"), "links")
+    border = border.join(labels.select(F.col("id").alias("b"), "root"), "b").select("id", F.col("root").alias("edge"))
     named = kinds.join(labels, "id", "left").join(border, "id", "left").select("x", F.coalesce("root", "edge", F.lit(-1)).alias("cluster"))
     return points.select("id", "x").join(named, "x")
 
 
+def spread(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, root) joined further by links (id, b): the smallest root of each component."""
+    roots = labels.select("id", "root")
+    ends = links.join(roots, "id").withColumnRenamed("root", "p").join(roots.select(F.col("id").alias("b"), F.col("root").alias("q")), "b").where("p != q")
+    steps = written(ends.select(F.explode(F.array(F.struct(F.col("p").alias("a"), F.col("q").alias("b")), F.struct(F.col("q").alias("a"), F.col("p").alias("b")))).alias("s")).select("s.*").distinct(), "steps")
+    least = roots.select("root").distinct().select(F.col("root").alias("id"), "root")
+    while True:
+        seen = steps.join(least.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("seen"))
+        stepped = least.join(seen.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("root", F.coalesce("seen", "root")).alias("root"))
+        jumped = stepped.join(stepped.select(F.col("id").alias("root"), F.col("root").alias("far")), "root").select("id", F.least("root", "far").alias("root"))
+        jumped = written(jumped, "least")
+        if jumped.join(least.withColumnRenamed("root", "old"), "id").where("root != old").isEmpty():
+            break
+        least = jumped
+    return written(roots.join(least.select(F.col("id").alias("root"), F.col("root").alias("to")), "root").select("id", F.col("to").alias("root")), "labels")
+
+
 def least_size(n: int, k: int) -> int:
     return max(3, round(n / k * 0.25))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from aerolith.operators import neighbours
+from aerolith.operators import cluster, neighbours
 from test_neighbours import apart, clustered, frame
 
 
@@ -45,3 +45,30 @@ def test_degrees_where_cells_spare(spark):
     assert at.spares
     got = {r.id: r.n for r in neighbours.eps_degrees(frame(spark, x), 1.0, at).collect()}
     assert got == {i: k for i, k in enumerate(((apart(x) <= 1.0).sum(1) - 1).tolist()) if k}
+
+
+def plain(x, eps, least):
+    near = apart(x) <= eps
+    core = near.sum(1) >= least
+    out = np.where(core, np.arange(len(x)), -1)
+    while True:
+        low = np.where(near & core & core[:, None], np.where(core, out, len(x)), len(x)).min(1)
+        new = np.where(core, np.minimum(out, low), -1)
+        if (new == out).all():
+            break
+        out = new
+    for i in np.flatnonzero(~core):
+        around = np.flatnonzero(near[i] & core)
+        out[i] = out[around[0]] if len(around) else -1
+    return dict(enumerate(out.tolist()))
+
+
+@pytest.mark.parametrize("share", [0.0001, 0.004, 0.02, 0.9])
+def test_density_clusters(spark, spread, no_visits, share):
+    eps = float(np.quantile(apart(spread) + np.where(np.eye(len(spread)), np.inf, 0), share))
+    assert {r.id: r.cluster for r in cluster.dbscan(frame(spark, spread), eps, 3).collect()} == plain(spread, eps, 3)
+
+
+def test_density_clusters_where_cells_spare(spark):
+    x = clustered(400, groups=12)
+    assert {r.id: r.cluster for r in cluster.dbscan(frame(spark, x), 1.0, 3).collect()} == plain(x, 1.0, 3)
