@@ -6,6 +6,10 @@ nearest one, so its members are not met. Of equal points in a cluster one is kep
 d² + v itself, so the squared form needs no pairs at all.
 
 Only a block of about `MOST` centres reaches the driver at a time. Points and members meet in groups of bounded size.
+
+Where the bounds spare little, a copy of a point for each cluster that it may be nearest to is more than a grid of blocks needs. The
+copies are counted first; then each point goes once to each block of members, which holds a part of one large cluster or whole small ones,
+of which it gives the nearest.
 """
 
 from __future__ import annotations
@@ -15,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.operators.neighbours import dealt, distances, matrix, rounding
+from aerolith.operators import neighbours
+from aerolith.operators.neighbours import dealt, distances, matrix, narrow, products, rounding, squares
 from aerolith.sources.scratch import written
 
 #: Centres that a pass compares every point with.
@@ -44,6 +49,33 @@ def passes(centres: DataFrame):
             yield np.array([r["cluster"] for r in rows], np.int64), np.array([r["centre"] for r in rows], float), np.array([r["v"] for r in rows], float), np.array([r["n"] for r in rows], np.int64)
 
 
+def reached(batch: pa.RecordBatch, names: np.ndarray, middle: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which clusters each row of the batch has to meet, and the upper and lower bounds of its mean distances."""
+    x, own = matrix(batch.column("x")), batch.column("cluster").to_numpy()[:, None] == names
+    shift = middle.mean(axis=0)
+    d, slack = distances(x - shift, middle - shift), rounding(x - shift, middle - shift)
+    upper = np.where(own, np.inf, np.sqrt((d + slack) ** 2 + v))
+    return own | (d - slack <= upper.min(axis=1)[:, None]), upper, d - slack
+
+
+def spared(kinds: DataFrame, centres: DataFrame) -> bool:
+    """Whether the copies of meeting candidates alone are fewer than those of the grid."""
+    out = None
+    for names, middle, v, _ in passes(centres):
+
+        def run(batches, names=names, middle=middle, v=v):
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(reached(batch, names, middle, v)[0].sum(axis=0))], ["cluster", "nl"])
+
+        one = kinds.select("x", "cluster").mapInArrow(run, "cluster long, nl long")
+        out = one if out is None else out.unionByName(one)
+    counts = out.groupBy("cluster").agg(F.sum("nl").alias("nl")).join(kinds.groupBy("cluster").agg(F.count(F.lit(1)).alias("nr")), "cluster")
+    left, right = F.col("nl") * F.ceil(F.col("nr") / neighbours.RIGHT), F.col("nr") * F.ceil(F.col("nl") / neighbours.LEFT)
+    copies, n = counts.agg(F.sum(left + right), F.sum("nr")).first()
+    return copies <= 2 * neighbours.blocks(n) * n
+
+
 def candidates(kinds: DataFrame, centres: DataFrame) -> DataFrame:
     """Points with their own cluster and each other one that may be their nearest (other, its size, and the upper bound)."""
     out, blocks = None, 0
@@ -53,16 +85,12 @@ def candidates(kinds: DataFrame, centres: DataFrame) -> DataFrame:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x, own = matrix(batch.column("x")), batch.column("cluster").to_numpy()[:, None] == names
-                shift = middle.mean(axis=0)
-                d, slack = distances(x - shift, middle - shift), rounding(x - shift, middle - shift)
-                upper = np.where(own, np.inf, np.sqrt((d + slack) ** 2 + v))
-                going = own | (d - slack <= upper.min(axis=1)[:, None])
+                going, upper, lower = reached(batch, names, middle, v)
                 i, j = np.nonzero(going)
                 for start in range(0, len(i), 10_000):
                     r, c = i[start : start + 10_000], j[start : start + 10_000]
                     taken = batch.select(["id", "x", "w", "cluster"]).take(pa.array(r))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(names[c]), pa.array(n[c]), pa.array(upper[r, c]), pa.array((d - slack)[r, c])], ["id", "x", "w", "cluster", "other", "size", "upper", "lower"])
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(names[c]), pa.array(n[c]), pa.array(upper[r, c]), pa.array(lower[r, c])], ["id", "x", "w", "cluster", "other", "size", "upper", "lower"])
 
         one = kinds.select("id", "x", "w", "cluster").mapInArrow(run, BOUNDS + ", lower double")
         out, blocks = one if out is None else out.unionByName(one), blocks + 1
@@ -88,23 +116,92 @@ def _totals(left, right):
     return pa.table([left["id"], left["w"], left["own"], left["size"], left["cell"], pa.array(total)], schema=schema)
 
 
+def _nearest_totals(left, right):
+    """The same of the left rows to the members of their own cluster, and to those of the nearest other whole cluster or of a part of one cluster."""
+    names = ["id", "own", "size", "other", "total"]
+    if not left.num_rows or not right.num_rows:
+        return pa.table([[], [], [], [], []], schema=pa.schema([("id", pa.int64()), ("own", pa.bool_()), ("size", pa.int64()), ("other", pa.int64()), ("total", pa.float64())]))
+    right = right.sort_by("cluster")
+    a, b, w = matrix(left["x"]), matrix(right["x"]), right["w"].to_numpy().astype(float)
+    a_ids, b_ids, mine, of, shift = left["id"].to_numpy(), right["id"].to_numpy(), left["cluster"].to_numpy(), right["cluster"].to_numpy(), b.mean(axis=0)
+    one, two, slack = products(a - shift, b - shift)
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    clusters, size, shared = of[starts], right["size"].to_numpy()[starts], len(np.intersect1d(a_ids, b_ids)) > 0
+    place, out = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(of)))), []
+    for start in range(0, len(a), 128):
+        rows = slice(start, start + 128)
+        total = np.zeros((len(a_ids[rows]), len(starts)))
+        for at in range(0, len(b), 1024):
+            columns = slice(at, at + 1024)
+            d = -(one[rows] @ two[columns].T)
+            i, j = np.nonzero(d <= 1e5 * slack)  # too near for the product form
+            d[i, j] = squares(a, b, start + i, at + j)
+            d = np.sqrt(d)
+            if shared:
+                d[a_ids[rows][:, None] == b_ids[columns]] = 0
+            d *= w[columns]
+            here = place[columns]
+            edges = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+            total[:, here[edges]] += np.add.reduceat(d, edges, axis=1)
+        own = mine[rows][:, None] == clusters
+        i, j = np.nonzero(own)
+        out.append((a_ids[rows][i], np.ones(len(i), bool), size[j], clusters[j], total[i, j]))
+        mean = np.where(own, np.inf, total / size)
+        j = mean.argmin(axis=1)
+        i = np.flatnonzero(np.isfinite(mean[np.arange(len(j)), j]))
+        out.append((a_ids[rows][i], np.zeros(len(i), bool), size[j[i]], clusters[j[i]], total[i, j[i]]))
+    return pa.table([np.concatenate(c) for c in zip(*out)], names=names)
+
+
+def in_grid(kinds: DataFrame):
+    """Points and members in groups: every point meets every block of members once. A cluster of over half a block has blocks of its own, others are dealt whole."""
+    sizes = written(kinds.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("size")), "sizes")
+    n = kinds.count()
+    p = neighbours.blocks(n)
+    most = -(-n // p)
+    large, q = [], 0
+    for r in sizes.where(F.col("m") * 2 > most).collect():  # two a block at most
+        large.append((r["cluster"], q, -(-r["m"] // most)))
+        q += large[-1][2]
+    rest = -(-(n - (sizes.where(F.col("m") * 2 > most).agg(F.sum("m")).first()[0] or 0)) // most)
+    own = kinds.sparkSession.createDataFrame(large, "cluster long, first int, parts int")
+    at = F.when(F.col("first").isNotNull(), F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(q + F.pmod(F.xxhash64("cluster"), F.lit(max(rest, 1)))).cast("int")
+    rows = narrow(kinds.select("id", "x", "w", "cluster"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = rows.select("id", "x", "cluster", F.pmod(F.xxhash64("id"), F.lit(p)).cast("int").alias("l")).withColumn("r", every(q + rest))
+    right = rows.join(sizes.select("cluster", "size"), "cluster").join(F.broadcast(own), "cluster", "left").withColumn("r", at).drop("first", "parts").withColumn("l", every(p))
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
+    keys = [F.col(c).alias(f"_{c}") for c in ("l", "r")]
+    return left.groupBy(*keys), right.groupBy(*keys)
+
+
 def of_kinds(labelled: DataFrame, squared: bool = False) -> DataFrame:
     """x, cluster, w, silhouette of each distinct point of a cluster; 0 where the cluster has one point, null where it is the only cluster."""
     kinds, centres = kinds_of(labelled), written(moments(labelled), "centres")
     if squared:
         means = _squared(kinds, centres)
     else:
-        found = candidates(kinds, centres)
-        sides = found.select(F.col("other").alias("cell"), "id", "x", "w", (F.col("other") == F.col("cluster")).alias("own"), "size"), kinds.select(F.col("cluster").alias("cell"), "id", "x", "w")
-        left, right = dealt(*sides)
-        sums = left.cogroup(right).applyInArrow(_totals, "id long, w long, own boolean, size long, other long, total double").groupBy("id", "own", "size", "other").agg(F.sum("total").alias("total"))
-        own = F.max(F.when(F.col("own"), F.try_divide(F.col("total"), F.col("size") - 1)))
-        means = sums.groupBy("id").agg(own.alias("a"), F.min(F.when(~F.col("own"), F.col("total") / F.col("size"))).alias("b"))
+        means = _means(kinds, centres)
     more = F.greatest("a", "b")
     value = F.when(F.col("b").isNull(), None).when(F.col("a").isNull() | (more == 0), 0.0).otherwise((F.col("b") - F.col("a")) / more)
     return kinds.join(means, "id").select("x", "cluster", "w", value.alias("silhouette"))
 
 
+def _means(kinds: DataFrame, centres: DataFrame) -> DataFrame:
+    """id, a, b: mean distances to the own and to the nearest other cluster."""
+    if spared(kinds, centres):
+        found = candidates(kinds, centres)
+        sides = found.select(F.col("other").alias("cell"), "id", "x", "w", (F.col("other") == F.col("cluster")).alias("own"), "size"), kinds.select(F.col("cluster").alias("cell"), "id", "x", "w")
+        left, right = dealt(*sides)
+        totals = left.cogroup(right).applyInArrow(_totals, "id long, w long, own boolean, size long, other long, total double")
+    else:
+        left, right = in_grid(kinds)
+        totals = left.cogroup(right).applyInArrow(_nearest_totals, "id long, own boolean, size long, other long, total double")
+    sums = totals.groupBy("id", "own", "size", "other").agg(F.sum("total").alias("total"))
+    own = F.max(F.when(F.col("own"), F.try_divide(F.col("total"), F.col("size") - 1)))
+    return sums.groupBy("id").agg(own.alias("a"), F.min(F.when(~F.col("own"), F.col("total") / F.col("size"))).alias("b"))
+
+
 def _squared(kinds: DataFrame, centres: DataFrame) -> DataFrame:
     """id, a, b: mean squared distances to the own and to the nearest other cluster."""
     out = None
