@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.operators.neighbours import eps_degrees, layout, least_neighbours
+from aerolith.operators.neighbours import Layout, degrees, layout, least_neighbours
 from aerolith.operators.silhouettes import mean_silhouette as silhouette
 from aerolith.operators.ward import cuts
 from aerolith.sources.scratch import written
@@ -47,8 +47,14 @@ def ward_grid(points: DataFrame, ks: Sequence[int] = range(2, 9)) -> list[tuple[
 def dbscan_grid(points: DataFrame, eps: Sequence[float] = (0.5, 0.75, 1.0, 1.25, 1.5), min_samples: int = 3) -> list[tuple[float, int, int, float]]:
     """eps, clusters, noise points, silhouette without noise."""
     out = []
-    for e in eps:
-        labelled = written(dbscan(points, e, min_samples), "dbscan")
+    kinds = kinds_of(points)
+    if kinds.isEmpty():
+        return [(e, 0, 0, -2.0) for e in eps]
+    at = layout(kinds, max(eps))
+    around = written(degrees(kinds, at, list(eps)), "degrees")
+    for i, e in enumerate(eps):
+        of = around.select("id", F.get("n", F.lit(i)).alias("others"))
+        labelled = written(density(points, kinds, at._replace(eps=e), of, min_samples), "dbscan")
         noise, found = labelled.agg(F.count_if(F.col("cluster") < 0), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster")))).first()
         out.append((e, found, noise, silhouette(labelled)))
     return out
@@ -64,11 +70,20 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 3) -> DataFrame:
 
     Equal points are one point of that weight throughout, so many copies make no pairs.
     """
-    kinds = written(points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "kinds")
+    kinds = kinds_of(points)
     if kinds.isEmpty():
         return points.select("id", "x", F.lit(-1).cast("long").alias("cluster"))
     at = layout(kinds, eps)
-    around = eps_degrees(kinds, eps, at).withColumnRenamed("n", "others")
+    return density(points, kinds, at, degrees(kinds, at, [eps]).select("id", F.get("n", F.lit(0)).alias("others")), min_samples)
+
+
+def kinds_of(points: DataFrame) -> DataFrame:
+    """x, id (the smallest), w: each distinct point and how often it occurs."""
+    return written(points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "kinds")
+
+
+def density(points: DataFrame, kinds: DataFrame, at: Layout, around: DataFrame, min_samples: int) -> DataFrame:
+    """points with cluster, from distinct points and the number of others around each (id, others)."""
     core = written(kinds.join(around, "id", "left").where(F.col("w") + F.coalesce("others", F.lit(0)) >= min_samples).select("id"), "core")
     # Pairs are not listed: each group names the smallest core that a point meets, then one core of another component, until there is none.
     found = written(least_neighbours(at, None, core), "found")

@@ -15,6 +15,7 @@ in that grid: still all pairs, but each point is written only once for each bloc
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -187,17 +188,18 @@ def met(at: Layout, asking: DataFrame | None = None, asked: DataFrame | None = N
     return dealt(joined(at.homes, asking), again(joined(visiting, asked)))
 
 
-def close(left: pa.Table, right: pa.Table, eps: float, other: str = "id"):
-    """(places on the left, places on the right, mask) of blocks of pairs; mask: those within eps that differ in the column `other`."""
+def close(left: pa.Table, right: pa.Table, radii: Sequence[float], other: str = "id"):
+    """(places on the left, places on the right, masks) of blocks of pairs; masks: those within each radius that differ in the column `other`."""
     if not left.num_rows or not right.num_rows:
         return
     a, b, of_a, of_b = matrix(left["x"]), matrix(right["x"]), left[other].to_numpy(), right[other].to_numpy()
     far = (left["far"].to_numpy(), right["far"].to_numpy()) if "far" in left.column_names else (None, None)
     shared = len(np.intersect1d(of_a, of_b)) > 0
-    for rows, columns, mask in near_masks(a, b, eps, *far):
+    for rows, columns, masks in near_masks(a, b, radii, *far):
         if shared:
-            mask &= of_a[rows][:, None] != of_b[columns]
-        yield rows, columns, mask
+            differ = of_a[rows][:, None] != of_b[columns]
+            masks = [mask & differ for mask in masks]
+        yield rows, columns, masks
 
 
 def products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -213,18 +215,20 @@ def squares(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
     return np.concatenate([np.zeros(0), *parts])
 
 
-def near_masks(a: np.ndarray, b: np.ndarray, eps: float, far_a: np.ndarray | None = None, far_b: np.ndarray | None = None):
-    """(places in a, places in b, mask of the pairs within eps) of blocks; far: distances to one common point, which spare pairs."""
+def near_masks(a: np.ndarray, b: np.ndarray, radii: Sequence[float], far_a: np.ndarray | None = None, far_b: np.ndarray | None = None):
+    """(places in a, places in b, masks of the pairs within each radius) of blocks; far: distances to one common point, which spare pairs."""
     one, two, slack = products(a, b)
-    square, band = eps * eps, eps + 2 * rounding(a, b)
+    band = max(radii) + 2 * rounding(a, b)
 
     def tile(rows, columns, other):
-        sums = one[rows] @ other.T
-        mask = sums >= slack - square
-        i, j = np.nonzero((sums >= -slack - square) ^ mask)  # too near to the limit to be sure of
-        if len(i):
-            mask[i, j] = np.sqrt(squares(a, b, rows[i], columns[j])) <= eps
-        return rows, columns, mask
+        sums, masks = one[rows] @ other.T, []
+        for eps in radii:
+            mask = sums >= slack - eps * eps
+            i, j = np.nonzero((sums >= -slack - eps * eps) ^ mask)  # too near to the limit to be sure of
+            if len(i):
+                mask[i, j] = np.sqrt(squares(a, b, rows[i], columns[j])) <= eps
+            masks.append(mask)
+        return rows, columns, masks
 
     if far_a is None:
         for at in range(0, len(b), TILE[1]):
@@ -243,7 +247,7 @@ def near_masks(a: np.ndarray, b: np.ndarray, eps: float, far_a: np.ndarray | Non
 def close_pairs(a: np.ndarray, b: np.ndarray, far_a: np.ndarray, far_b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Places in a and b of the pairs within eps, and how many pairs were compared; far: distances to one common point."""
     left, right, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for rows, columns, mask in near_masks(a, b, eps, far_a, far_b):
+    for rows, columns, (mask,) in near_masks(a, b, [eps], far_a, far_b):
         i, j = np.nonzero(mask)
         left.append(rows[i])
         right.append(columns[j])
@@ -258,7 +262,7 @@ def eps_neighbours(points: DataFrame, eps: float, most: int = 4096) -> DataFrame
 
     def meet(left, right):
         out = [np.zeros((2, 0), np.int64)]
-        for rows, columns, mask in close(left, right, eps):
+        for rows, columns, (mask,) in close(left, right, [eps]):
             i, j = np.nonzero(mask)
             out.append(np.stack((left["id"].to_numpy()[rows[i]], right["id"].to_numpy()[columns[j]])))
         return pa.table(list(np.concatenate(out, axis=1)), names=["a", "b"])
@@ -271,19 +275,26 @@ def eps_degrees(points: DataFrame, eps: float, at: Layout | None = None) -> Data
     """id, n: how many other points (id, x; with a weight w: of what weight) lie within eps of each point, where there are any; pairs are counted as they meet."""
     if points.isEmpty():
         return points.sparkSession.createDataFrame([], "id long, n long")
+    return degrees(points, at or layout(points, eps), [eps]).select("id", F.get("n", F.lit(0)).alias("n"))
+
+
+def degrees(points: DataFrame, at: Layout, radii: Sequence[float]) -> DataFrame:
+    """id, n: the same for each of the radii, up to the one that points are laid out for; points without any neighbour are left out."""
     weighted = "w" in points.columns
 
     def meet(left, right):
-        n = np.zeros(left.num_rows, np.int64)
+        n = np.zeros((len(radii), left.num_rows), np.int64)
         w = right["w"].to_numpy() if weighted else np.ones(right.num_rows, np.int64)
         single = (w == 1).all()
-        for rows, columns, mask in close(left, right, eps):
-            n[rows] += mask.sum(axis=1) if single else np.rint(mask @ w[columns].astype(float)).astype(np.int64)
-        some = n > 0
-        return pa.table([left["id"].to_numpy()[some], n[some]], names=["id", "n"])
+        for rows, columns, masks in close(left, right, radii):
+            for k, mask in enumerate(masks):
+                n[k, rows] += np.count_nonzero(mask, axis=1) if single else np.rint(mask @ w[columns].astype(float)).astype(np.int64)
+        some = n.any(axis=0)
+        return pa.table([left["id"].to_numpy()[some], *n[:, some]], names=["id", *(f"n{k}" for k in range(len(radii)))])
 
-    left, right = met(at or layout(points, eps), None, points.select("id", "w") if weighted else None)
-    return left.cogroup(right).applyInArrow(meet, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    left, right = met(at, None, points.select("id", "w") if weighted else None)
+    counts = left.cogroup(right).applyInArrow(meet, ", ".join(["id long", *(f"n{k} long" for k in range(len(radii)))]))
+    return counts.groupBy("id").agg(F.array(*(F.sum(f"n{k}") for k in range(len(radii)))).alias("n"))
 
 
 def least_neighbours(at: Layout, asking: DataFrame | None, asked: DataFrame, other: str = "id") -> DataFrame:
@@ -292,7 +303,7 @@ def least_neighbours(at: Layout, asking: DataFrame | None, asked: DataFrame, oth
     def meet(left, right):
         right = right.sort_by("id")
         ids, found = right["id"].to_numpy(), np.full(left.num_rows, -1)
-        for rows, columns, mask in close(left, right, eps, other):
+        for rows, columns, (mask,) in close(left, right, [eps], other):
             if not mask.shape[1]:
                 continue
             if "far" in left.column_names:  # there columns don't come by id

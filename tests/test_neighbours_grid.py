@@ -72,3 +72,16 @@ def test_density_clusters(spark, spread, no_visits, share):
 def test_density_clusters_where_cells_spare(spark):
     x = clustered(400, groups=12)
     assert {r.id: r.cluster for r in cluster.dbscan(frame(spark, x), 1.0, 3).collect()} == plain(x, 1.0, 3)
+
+
+def test_grid_of_radii(spark, spread, no_visits, monkeypatch):
+    """All radii are counted in one pass over the pairs, none is listed."""
+    radii = [float(np.quantile(apart(spread), q)) for q in (0.001, 0.02, 0.06, 0.5)]
+    monkeypatch.setattr(neighbours, "eps_neighbours", lambda *_: pytest.fail("pairs are listed"))
+    passes, of = [], neighbours.degrees
+    monkeypatch.setattr(cluster, "degrees", lambda *a: (passes.append(1), of(*a))[1])
+    got = cluster.dbscan_grid(frame(spark, spread), radii, 3)
+    assert len(passes) == 1
+    for (eps, found, noise, silhouette), radius in zip(got, radii):
+        labels = list(plain(spread, radius, 3).values())
+        assert (eps, found, noise) == (radius, len(set(labels) - {-1}), labels.count(-1)) and (silhouette > -1) == (found > 1)
