@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.operators.neighbours import centres_of, dealt, distances, matrix, settled, visits
+from aerolith.operators.neighbours import centres_of, dealt, gridded, matrix, products, settled, spared, squares, visits
 from aerolith.sources.scratch import written
 
 SMALL = 2048
@@ -30,14 +30,16 @@ def cheapest(ids: np.ndarray, n: np.ndarray, x: np.ndarray, o_ids: np.ndarray, o
     partner, least = np.full(len(ids), -1, np.int64), np.full(len(ids), np.inf)
     if not len(o_ids):
         return partner, least
-    for start in range(0, len(ids), 256):
-        rows = slice(start, start + 256)
-        weight = n[rows][:, None] * o_n / (n[rows][:, None] + o_n)
-        rough = weight * distances(x[rows], o_x) ** 2
+    one, two, slack = products(x, o_x)
+    step = max(1, min(256, (1 << 21) // len(o_ids)))
+    for start in range(0, len(ids), step):
+        rows = slice(start, start + step)
+        rough = -(one[rows] @ two.T) / (1 / n[rows][:, None] + 1 / o_n)
         rough[ids[rows][:, None] == o_ids] = np.inf
-        size = max(float((x[rows] ** 2).sum(1).max(initial=0)), float((o_x**2).sum(1).max(initial=0)))
-        i, j = np.nonzero((rough <= rough.min(axis=1)[:, None] * (1 + 1e-9) + weight * 1e-13 * size) & np.isfinite(rough))
-        exact = weight[i, j] * ((x[rows][i] - o_x[j]) ** 2).sum(axis=1)
+        # A merge weighs less than the number of points of either side.
+        i, j = np.nonzero((rough <= (rough.min(axis=1) * (1 + 1e-9) + 2 * n[rows] * slack)[:, None]) & np.isfinite(rough))
+        weight = n[rows][i] * o_n[j] / (n[rows][i] + o_n[j])
+        exact = weight * squares(x, o_x, start + i, j)
         a, b = np.minimum(ids[rows][i], o_ids[j]), np.maximum(ids[rows][i], o_ids[j])
         order = np.lexsort((b, a, exact, i))
         i, j, exact = i[order], j[order], exact[order]
@@ -73,30 +75,57 @@ def _partners(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([left["id"].combine_chunks(), partner, cost], schema=_PARTNER).filter(pa.array(partner >= 0) if (partner < 0).any() else pa.array(np.ones(len(partner), bool)))
 
 
-def partners(clusters: DataFrame) -> DataFrame:
-    """id, partner, cost of the cheapest merge of each cluster (id, n, x)."""
+def least(rows: DataFrame) -> DataFrame:
+    """id, cost, partner: the cheapest of each cluster's partners."""
+    return rows.groupBy("id").agg(F.min(F.struct("cost", F.least("id", "partner").alias("lo"), F.greatest("id", "partner").alias("hi"), "partner")).alias("m")).select("id", "m.cost", "m.partner")
+
+
+def partners(clusters: DataFrame) -> DataFrame | None:
+    """id, cost, partner of the cheapest merge of each cluster (id, n, x), by cells; None where cells spare nothing."""
     centres = centres_of(clusters)
     homes, radius = settled(clusters, centres)
     homes = homes.join(clusters.select("id", "n"), "id")
-    least = lambda rows: rows.groupBy("id").agg(F.min(F.struct("cost", F.least("id", "partner").alias("lo"), F.greatest("id", "partner").alias("hi"), "partner")).alias("m")).select("id", "m.cost", "m.partner")
     sides = homes.select("cell", "id", "n", "x")
-    left, right = dealt(sides, sides.select(*(F.col(c).alias(c) for c in sides.columns)))
+    again = sides.select(*(F.col(c).alias(c) for c in sides.columns))
+    left, right = dealt(sides, again)
     own = written(least(left.cogroup(right).applyInArrow(_partners, "id long, partner long, cost double")), "own")
     # A partner of one point at least costs n / (n + 1) of the squared distance or more.
     reach = F.coalesce(F.sqrt(F.col("cost") * (F.col("n") + 1) / F.col("n")), F.lit(float("inf")))
-    asking = homes.join(own, "id", "left").withColumn("reach", reach).select("id", "x", "cell", "far", "reach")
+    asking = written(homes.join(own, "id", "left").withColumn("reach", reach).select("id", "x", "cell", "far", "reach"), "asking")
+    if not spared(asking, centres, radius, "reach"):
+        return None
     asking = visits(asking, centres, radius, "reach", own=False).select("id", "x", "cell").join(clusters.select("id", "n"), "id")
-    left, right = dealt(asking.select("cell", "id", "n", "x"), sides)
+    left, right = dealt(asking.select("cell", "id", "n", "x"), again)
     others = left.cogroup(right).applyInArrow(_partners, "id long, partner long, cost double")
     return least(own.select("id", "partner", "cost").unionByName(others))
 
 
+def partners_of(asking: DataFrame, clusters: DataFrame, known: DataFrame | None) -> DataFrame:
+    """id, cost, partner of each cluster in a plain grid; with known partners, the other clusters only meet those that ask."""
+
+    both = known is not None
+
+    def meet(left, right):
+        there = _partners(left, right)
+        return pa.concat_tables([there, _partners(right, left)]) if both else there
+
+    left, right = gridded(asking, clusters.select(*(F.col(c).alias(c) for c in clusters.columns)))
+    found = left.cogroup(right).applyInArrow(meet, "id long, partner long, cost double")
+    return least(found.unionByName(known.select("id", "partner", "cost")) if both else found)
+
+
 def linkage(points: DataFrame) -> DataFrame:
     """a, b, cost, size of every merge of points (id, x): cluster b goes into a; a cluster has its smallest member's id as its name."""
     clusters = written(points.select(F.col("id").cast("long").alias("id"), F.lit(1).cast("long").alias("n"), "x"), "clusters")
-    done = None
+    done = known = None
+    spares = True
     while clusters.count() > SMALL:
-        found = written(partners(clusters), "partners")
+        found = partners(clusters) if spares else None
+        if found is None:  # from here on in a grid, where a cluster asks again only when its partner has been merged
+            spares = False
+            asking = clusters if known is None else clusters.join(known.select("id"), "id", "left_anti")
+            found = partners_of(asking, clusters, known)
+        found = written(found, "partners")
         back = found.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
         pairs = found.where("id < partner").join(back, ["id", "partner"]).select(F.col("id").alias("a"), F.col("partner").alias("b"), "cost")
         one, two = (clusters.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("x").alias(f"x{k}")) for k in ("a", "b"))
@@ -104,6 +133,8 @@ def linkage(points: DataFrame) -> DataFrame:
         mean = F.zip_with("xa", "xb", lambda p, q: (p * F.col("na") + q * F.col("nb")) / (F.col("na") + F.col("nb")))
         merged = written(pairs.join(one, "a").join(two, "b").select("a", "b", "cost", size.alias("size"), mean.alias("x")), "merged")
         gone = merged.select(F.explode(F.array("a", "b")).alias("id"))
+        if not spares:
+            known = found.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "partner"), "partner", "left_anti").select("id", "partner", "cost")
         clusters = written(clusters.join(gone, "id", "left_anti").unionByName(merged.select(F.col("a").alias("id"), F.col("size").alias("n"), "x")), "clusters")
         part = merged.select("a", "b", "cost", "size")
         done = part if done is None else done.unionByName(part)
